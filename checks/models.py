@@ -297,11 +297,7 @@ TOPK_COLUMNS = ", ".join(
 @query("tfidf_centroids", f"{sql_tfidf_rank(1)} SELECT lang AS class_name, term, round(w, 6) AS w FROM cent")
 def tfidf_centroids(spark, sf):
     model = centroid.fit_tfidf(documents(spark, sf), "doc_id", "text", "lang", TermOptions((1, 1), max_df=0.95))
-    return (
-        model.terms.select("term", F.inline("shares"))
-        .join(model.classes, "class_id")
-        .select("class_name", "term", r6("w"))
-    )
+    return model.centroids().withColumn("w", r6("w"))
 
 
 @query(

@@ -9,12 +9,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfwise.fixed_values import TOP_K
 from shelfwise.functions.text import prep_model_text
-from shelfwise.operators.rows import class_ids
 from shelfwise.operators.weights import (
     TermOptions,
     count_of,
@@ -34,7 +33,12 @@ SCORE_DIGITS = 9
 @dataclass(frozen=True)
 class CentroidModel:
     """``terms``: ``(term, weight, shares array<struct<class_id, w>>)``;
-    ``classes``: ``(class_id, class_name)``."""
+    ``classes``: ``(class_id, class_name, length)``.
+
+    A class is known by its first row, which orders classes as their running
+    number would and needs no numbering. ``shares`` are not normalized; the
+    length of each centroid is in ``classes``.
+    """
 
     terms: DataFrame
     classes: DataFrame
@@ -45,37 +49,44 @@ class CentroidModel:
         self.classes.write.mode("overwrite").parquet(f"{path}/classes")
 
     @classmethod
-    def load(cls, spark, path: str, options: TermOptions) -> CentroidModel:
+    def load(cls, spark: SparkSession, path: str, options: TermOptions) -> CentroidModel:
         read = spark.read.parquet
         return cls(read(f"{path}/terms"), read(f"{path}/classes"), options)
 
+    def centroids(self) -> DataFrame:
+        """Unit centroids: ``(class_name, term, w)``."""
+        shares = self.terms.select("term", F.inline("shares"))
+        return shares.join(self.classes, "class_id").select(
+            "class_name", "term", (F.col("w") / F.col("length")).alias("w")
+        )
 
-def _labelled(df: DataFrame, row_id: str, text: str, label: str) -> tuple[DataFrame, DataFrame]:
-    """Rows with a class id, and the classes. Names are prepared before they are compared."""
-    prepared = df.select(row_id, text, prep_model_text(label).alias("class_name"))
-    classes = class_ids(prepared, "class_name", row_id)
-    return prepared.join(classes, "class_name").select(row_id, text, "class_id"), classes
 
+def _labelled(df: DataFrame, row_id: str, text: str, label: str) -> tuple[DataFrame, DataFrame]:
+    """Rows with a class id, and the classes with their sizes.
 
-def _with_shares(centroids: DataFrame, weights: DataFrame) -> DataFrame:
-    """Scale ``(class_id, term, w)`` to unit length per class, one row per term."""
-    lengths = centroids.groupBy("class_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_len"))
-    shares = (
-        centroids.join(lengths, "class_id")
-        .groupBy("term")
-        .agg(F.collect_list(F.struct("class_id", (F.col("w") / F.col("_len")).alias("w"))).alias("shares"))
+    Names are prepared before they are compared.
+    """
+    named = df.select(row_id, text, prep_model_text(label).alias("class_name"))
+    classes = named.groupBy("class_name").agg(
+        F.min(row_id).cast("long").alias("class_id"), F.count("*").alias("n_docs")
     )
-    return weights.join(shares, "term").select("term", "weight", "shares")
-
+    rows = named.join(classes, "class_name").select(row_id, text, "class_id", "n_docs")
+    return rows, classes
 
-def centroids_of(unit: DataFrame, rows: DataFrame) -> DataFrame:
-    """Mean document vector per class: ``(class_id, term, w)``.
 
-    The divisor counts all documents of the class, also those without any term.
-    """
-    sizes = rows.groupBy("class_id").agg(F.count("*").alias("_n"))
-    sums = unit.groupBy("class_id", "term").agg(F.sum("w").alias("_sum"))
-    return sums.join(sizes, "class_id").select("class_id", "term", (F.col("_sum") / F.col("_n")).alias("w"))
+def _model(shares: DataFrame, classes: DataFrame, options: TermOptions) -> CentroidModel:
+    """A model from ``(class_id, term, weight, w)``."""
+    terms = shares.groupBy("term").agg(
+        F.any_value("weight").alias("weight"), F.collect_list(F.struct("class_id", "w")).alias("shares")
+    )
+    lengths = (
+        terms.select(F.inline("shares"))
+        .groupBy("class_id")
+        .agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
+    )
+    # a class whose documents have no term at all keeps a place, with length null
+    known = classes.select("class_id", "class_name").join(lengths, "class_id", "left")
+    return CentroidModel(terms, known, options)
 
 
 def fit_tfidf(
@@ -85,13 +96,19 @@ def fit_tfidf(
     label: str,
     options: TermOptions = TermOptions(max_df=0.95),
 ) -> CentroidModel:
-    """Centroids of L2-normalized TF-IDF vectors."""
+    """Centroids of L2-normalized TF-IDF vectors.
+
+    A mean divides by all documents of the class, also those without any term.
+    """
     rows, classes = _labelled(df, row_id, text, label)
-    posted = postings(rows, row_id, text, options, ["class_id"])
+    posted = postings(rows, row_id, text, options, ["class_id", "n_docs"])
     n_docs = count_of(df)
     weights = vocabulary(term_stats(posted), n_docs, options).select("term", idf(n_docs).alias("weight"))
     unit = unit_postings(weighted_postings(posted, weights, options), row_id)
-    return CentroidModel(_with_shares(centroids_of(unit, rows), weights), classes, options)
+    shares = unit.groupBy("class_id", "term").agg(
+        F.any_value("weight").alias("weight"), F.sum(F.col("w") / F.col("n_docs")).alias("w")
+    )
+    return _model(shares, classes, options)
 
 
 def fit_icf_tdcb(
@@ -104,37 +121,34 @@ def fit_icf_tdcb(
     """
     rows, classes = _labelled(df, row_id, text, label)
     n_docs = count_of(df)
-    sums = (
-        postings(rows, row_id, text, options, ["class_id"])
+    per_term = (
+        postings(rows, row_id, text, options, ["class_id", "n_docs"])
         .groupBy("term", "class_id")
         .agg(
             F.count("*").alias("df"),
             F.sum("tf").alias("cf"),
             F.sum(F.col("tf") * F.col("tf")).alias("tf2"),
+            F.any_value("n_docs").alias("n_docs"),
         )
-    )
-    per_term = (
-        sums.groupBy("term")
+        .groupBy("term")
         .agg(
             F.sum("df").alias("df"),
             F.sum("cf").alias("cf"),
             F.sum("tf2").alias("tf2"),
-            F.collect_list(F.struct("class_id", F.col("cf").alias("n"))).alias("counts"),
+            F.collect_list(F.struct("class_id", (F.col("cf") / F.col("n_docs")).alias("mean"))).alias("means"),
         )
         .where(F.col("df") >= options.min_df)
-        .select("term", icf_tdcb(n_docs).alias("weight"), "counts")
+        .select("term", icf_tdcb(n_docs).alias("weight"), "means")
     )
-    sizes = rows.groupBy("class_id").agg(F.count("*").alias("_n"))
-    centroids = (
-        per_term.select("term", "weight", F.inline("counts"))
-        .join(sizes, "class_id")
-        .select("class_id", "term", (F.col("n") / F.col("_n") * F.col("weight")).alias("w"))
+    shares = per_term.select("term", "weight", F.inline("means")).select(
+        "class_id", "term", "weight", (F.col("mean") * F.col("weight")).alias("w")
     )
-    return CentroidModel(_with_shares(centroids, per_term.select("term", "weight")), classes, options)
+    return _model(shares, classes, options)
 
 
 def scores(model: CentroidModel, df: DataFrame, row_id: str, text: str) -> DataFrame:
-    """Cosine of each item to the classes it shares terms with: ``(row_id, class_id, score)``.
+    """Cosine of each item to the classes it shares terms with:
+    ``(row_id, class_id, class_name, score)``.
 
     Each posting also carries its own weight under ``LENGTH_SLOT``, so one
     aggregate yields the products with all classes and the item's length.
@@ -155,7 +169,13 @@ def scores(model: CentroidModel, df: DataFrame, row_id: str, text: str) -> DataF
             F.collect_list(F.when(~is_length, F.struct("class_id", "product"))).alias("_found"),
         )
         .select(row_id, "_len", F.inline("_found"))
-        .select(row_id, "class_id", (F.col("product") / F.col("_len")).alias("score"))
+        .join(model.classes, "class_id")
+        .select(
+            row_id,
+            "class_id",
+            "class_name",
+            (F.col("product") / (F.col("_len") * F.col("length"))).alias("score"),
+        )
     )
 
 
@@ -168,41 +188,30 @@ def predict(
     an item without any known term has all its scores 0, as a full matrix product
     would give. With fewer than ``k`` classes the last columns are null.
     """
-    # classes that can fill a place when an item meets fewer than k of them:
-    # among the k lowest ids plus the k met, k are always enough
-    lowest = model.classes.orderBy("class_id").limit(k)
-    fillers = lowest.agg(F.sort_array(F.collect_list("class_id")).alias("c")).scalar()
-    met = scores(model, df, row_id, text).groupBy(row_id).agg(
-        F.collect_list(
-            F.struct((-F.round("score", SCORE_DIGITS)).alias("neg"), F.col("class_id"), F.col("score"))
-        ).alias("met")
-    )
-    candidates = F.coalesce(F.col("met"), F.array().cast("array<struct<neg:double,class_id:bigint,score:double>>"))
-    missing = F.transform(
-        F.array_except("_fillers", F.transform(candidates, lambda m: m["class_id"])),
-        lambda c: F.struct(F.lit(0.0).alias("neg"), c.alias("class_id"), F.lit(0.0).alias("score")),
-    )
-    best = F.slice(F.array_sort(F.concat(candidates, missing)), 1, k)
+
+    def place(neg, class_id, class_name, score):
+        return F.struct(
+            neg.alias("neg"), class_id.alias("class_id"), class_name.alias("class_name"), score.alias("score")
+        )
+
+    # an item that meets m < k classes fills its places with the lowest ids it
+    # has not met; at most m of the k lowest ids are met, so these k suffice
+    zero = place(F.lit(0.0), F.col("class_id"), F.col("class_name"), F.lit(0.0))
+    lowest = model.classes.orderBy("class_id").limit(k).agg(F.collect_list(zero)).scalar()
+    met = place(-F.round("score", SCORE_DIGITS), F.col("class_id"), F.col("class_name"), F.col("score"))
+    found = scores(model, df, row_id, text).groupBy(row_id).agg(F.collect_list(met).alias("_met"))
     placed = (
         df.select(row_id, prep_model_text(text).alias("product_text"))
-        .join(met, row_id, "left")
-        .withColumn("_fillers", fillers)
-        .select(row_id, "product_text", best.alias("best"))
+        .join(found, row_id, "left")
+        .withColumn("_lowest", lowest)
+        .withColumn("_met", F.coalesce("_met", F.slice("_lowest", 1, 0)))
+        .withColumn("_ids", F.transform("_met", lambda m: m["class_id"]))
+        .withColumn("_unmet", F.filter("_lowest", lambda c: ~F.array_contains("_ids", c["class_id"])))
+        .withColumn("_best", F.slice(F.array_sort(F.concat("_met", "_unmet")), 1, k))
     )
-    return _named(placed, model.classes, row_id, k)
-
-
-def _named(placed: DataFrame, classes: DataFrame, row_id: str, k: int) -> DataFrame:
-    """Class names for the k places, by one equi-join per place."""
-    for place in range(1, k + 1):
-        found = F.get("best", F.lit(place - 1))
-        names = classes.select(
-            F.col("class_id").alias(f"_id_{place}"), F.col("class_name").alias(f"class_{place}_name")
-        )
-        placed = (
-            placed.withColumn(f"_id_{place}", found["class_id"])
-            .withColumn(f"score_{place}", found["score"])
-            .join(names, f"_id_{place}", "left")
-        )
-    columns = [F.col(f"{c}") for p in range(1, k + 1) for c in (f"class_{p}_name", f"score_{p}")]
-    return placed.select(row_id, "product_text", F.col("class_1_name").alias("label"), *columns)
+    columns = []
+    for j in range(k):
+        at = F.get("_best", F.lit(j))
+        columns += [at["class_name"].alias(f"class_{j + 1}_name"), at["score"].alias(f"score_{j + 1}")]
+    label = F.get("_best", F.lit(0))["class_name"].alias("label")
+    return placed.select(row_id, "product_text", label, *columns)

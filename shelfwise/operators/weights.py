@@ -113,14 +113,12 @@ def icf_tdcb_weights(posted: DataFrame, n_docs: Column, min_df: int = 1) -> Data
 
 
 def weighted_postings(posted: DataFrame, weights: DataFrame, options: TermOptions) -> DataFrame:
-    """Postings of the weighted terms with ``w = tf * weight``, not normalized.
+    """Postings of the weighted terms and ``w = tf * weight``, not normalized.
 
     A frequent term makes this join skewed on the postings side only; terms are
     unique on the other, so AQE splits the hot partitions.
     """
-    return posted.join(weights, "term").withColumn(
-        "w", term_frequency(options) * F.col("weight")
-    ).drop("weight")
+    return posted.join(weights, "term").withColumn("w", term_frequency(options) * F.col("weight"))
 
 
 def unit_postings(weighted: DataFrame, doc: str) -> DataFrame:
