@@ -25,6 +25,7 @@ from shelfwise.operators.weights import (
     vocabulary,
     weighted_postings,
 )
+from shelfwise.session import new_path
 
 LENGTH_SLOT = -1  # class id under which an item's own squared length is summed
 SCORE_DIGITS = 9
@@ -75,18 +76,26 @@ def _labelled(df: DataFrame, row_id: str, text: str, label: str) -> tuple[DataFr
 
 
 def _model(shares: DataFrame, classes: DataFrame, options: TermOptions) -> CentroidModel:
-    """A model from ``(class_id, term, weight, w)``."""
-    terms = shares.groupBy("term").agg(
+    """A model from ``(class_id, term, weight, w)``.
+
+    Fitting ends here: both tables are written to the shared folder, so scoring
+    does not fit again, however often it reads them.
+    """
+    spark = shares.sparkSession
+    path = new_path(spark, "centroids")
+    shares.groupBy("term").agg(
         F.any_value("weight").alias("weight"), F.collect_list(F.struct("class_id", "w")).alias("shares")
-    )
+    ).write.parquet(f"{path}/terms")
     lengths = (
-        terms.select(F.inline("shares"))
+        spark.read.parquet(f"{path}/terms")
+        .select(F.inline("shares"))
         .groupBy("class_id")
         .agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
     )
     # a class whose documents have no term at all keeps a place, with length null
     known = classes.select("class_id", "class_name").join(lengths, "class_id", "left")
-    return CentroidModel(terms, known, options)
+    known.write.parquet(f"{path}/classes")
+    return CentroidModel.load(spark, path, options)
 
 
 def fit_tfidf(
@@ -99,6 +108,8 @@ def fit_tfidf(
     """Centroids of L2-normalized TF-IDF vectors.
 
     A mean divides by all documents of the class, also those without any term.
+    The terms are found twice, for the statistics and for the weights: measured,
+    writing the postings to read them back costs more than that.
     """
     rows, classes = _labelled(df, row_id, text, label)
     posted = postings(rows, row_id, text, options, ["class_id", "n_docs"])

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -58,11 +58,12 @@ def _best(items: np.ndarray, classes: np.ndarray, k: int) -> tuple[np.ndarray, n
     distances = np.empty((len(items), k))
     step = max(1, MAX_SCORES // max(1, len(classes)))
     for start in range(0, len(items), step):
-        distance = np.round(1.0 - items[start : start + step] @ classes.T, DISTANCE_DIGITS)
+        distance = 1.0 - items[start : start + step] @ classes.T
+        key = np.round(distance, DISTANCE_DIGITS)
         if k == 1:
-            order = distance.argmin(axis=1)[:, None]
+            order = key.argmin(axis=1)[:, None]
         else:
-            order = distance.argsort(axis=1, kind="stable")[:, :k]
+            order = key.argsort(axis=1, kind="stable")[:, :k]
         positions[start : start + step] = order
         distances[start : start + step] = np.take_along_axis(distance, order, axis=1)
     return positions, distances
@@ -181,17 +182,18 @@ def _meet_blocks(left: DataFrame, right: DataFrame, size: int, block_bytes: int)
 def top_k(scored: DataFrame, k: int) -> DataFrame:
     """The ``k`` lowest distances per item, ties to the lowest class id."""
     if k == 1:
-        best = F.min(F.struct("distance", "class_id")).alias("b")
+        best = F.min(F.struct(_order_key().alias("key"), "class_id", "distance")).alias("b")
         return scored.groupBy("item_id").agg(best).select("item_id", "b.class_id", "b.distance")
-    order = Window.partitionBy("item_id").orderBy("distance", "class_id")
-    return (
-        scored.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= k).drop("_rank")
-    )
+    return ranked(scored).where(F.col("rank") <= k).drop("rank")
+
+
+def _order_key() -> Column:
+    return F.round("distance", DISTANCE_DIGITS)
 
 
 def ranked(nearest: DataFrame) -> DataFrame:
     """Number the classes of each item by distance, from 1."""
-    order = Window.partitionBy("item_id").orderBy("distance", "class_id")
+    order = Window.partitionBy("item_id").orderBy(_order_key(), "class_id")
     return nearest.withColumn("rank", F.row_number().over(order))
 
 
