@@ -25,7 +25,7 @@ from shelfwise.operators import baseline, centroid, enrich, metrics, nearest, su
 from shelfwise.operators import taxonomy as tree
 from shelfwise.operators.weights import TermOptions
 from shelfwise.plans import nearest as nearest_plan
-from shelfwise.session import new_path
+from shelfwise.session import new_path, stored
 from shelfwise.streaming import labelling
 
 DIMS = 64
@@ -153,7 +153,7 @@ RESULTS_SQL = f"""{NEAREST_SQL}, res AS (SELECT r.vec_id AS product_id, p_name A
 def reported(spark, sf):
     name = F.concat(F.lit("class "), F.col("label"))
     vecs = table(spark, sf, "embeddings")
-    classes = class_vectors(spark, sf)
+    classes = stored(class_vectors(spark, sf), "class_vectors")
     scored = nearest_plan.nearest_class(vecs, classes, "vec_id", "label", "embedding")
     products = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("product_name"))
     actual = vecs.select(F.col("vec_id").alias("product_id"), name.alias("class_name"))
@@ -590,15 +590,14 @@ def edit_score(label):
     return -F.levenshtein(F.col("p_name"), F.lower(label))
 
 
-def scored_items(items, spark, sf):
-    kids = tree.children(edge_table(spark, sf))
+def scored_items(items, kids):
     found = tree.descend_scores(items.select("p_partkey", "p_name"), edit_score, kids)
     return found.select("p_partkey", *[f"predicted_{level}" for level in LEVELS])
 
 
 @query("hierarchical_scores", f"{SCORE_DESCENT_SQL} SELECT p_partkey, {PREDICTED} FROM d4")
 def hierarchical_scores(spark, sf):
-    return scored_items(table(spark, sf, "part"), spark, sf)
+    return scored_items(table(spark, sf, "part"), tree.children(edge_table(spark, sf)))
 
 
 @query("result_views", f"{DESCENT_SQL} SELECT p_name, {PREDICTED} FROM d4")
@@ -824,11 +823,12 @@ def translate_distinct(spark, sf):
 @query("stream_classify", f"{SCORE_DESCENT_SQL} SELECT p_partkey, {PREDICTED} FROM d4")
 def stream_classify(spark, sf):
     base = new_path(spark, "stream_classify")
+    kids = tree.children(edge_table(spark, sf))
     stream = labelling.file_stream(spark, sf, table(spark, sf, "part").schema, "part.parquet")
 
     def start():
         return labelling.start_labelling(
-            stream, lambda batch: scored_items(batch, spark, sf), f"{base}/out", f"{base}/checkpoint"
+            stream, lambda batch: scored_items(batch, kids), f"{base}/out", f"{base}/checkpoint"
         )
 
     labelling.drain(start)

@@ -7,16 +7,17 @@ from pyspark.sql import functions as F
 
 from shelfwise.fixed_values import SPLIT_SEED, TEST_SHARE
 from shelfwise.functions.codes import hash_hex, hash_unit
+from shelfwise.session import stored
 
 STRATEGIES = ("most_frequent", "prior", "stratified", "uniform")
 HASH_PREFIX = 3  # hex digits: 4096 slices of each class
+SLOTS = 4096  # ranges of class shares: an item meets the classes of one range only
 
 
-def _shares(train: DataFrame, label: str) -> DataFrame:
+def _shares(counts: DataFrame) -> DataFrame:
     """Class counts with the running count up to and including each class."""
-    counts = train.where(F.col(label).isNotNull()).groupBy(F.col(label).alias("label")).agg(F.count("*").alias("n"))
     upto = Window.orderBy("label").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return counts.withColumn("upto", F.sum("n").over(upto))
+    return stored(counts.withColumn("upto", F.sum("n").over(upto)), "shares")
 
 
 def baseline_predict(
@@ -33,19 +34,25 @@ def baseline_predict(
     if strategy in ("most_frequent", "prior"):
         largest = counts.agg(F.min_by("label", F.struct(-F.col("n"), F.col("label")))).scalar()
         return items.select(row_id, largest.alias("label"))
-    draw = hash_unit(seed, F.col(row_id))
-    shares = _shares(train, label)
-    if strategy == "uniform":
-        shares = shares.withColumn("n", F.lit(1)).withColumn(
-            "upto", F.row_number().over(Window.orderBy("label"))
-        )
-    # one row per class: bounded by the number of labels, not of rows
-    table = shares.agg(F.array_sort(F.collect_list(F.struct("upto", "label"))).alias("t")).scalar()
+    # a class takes the positions from ``upto - n`` to ``upto``; an item draws one
+    shares = _shares(counts if strategy == "stratified" else counts.withColumn("n", F.lit(1)))
     total = shares.agg(F.max("upto")).scalar()
-    drawn = items.select(row_id, (draw * total).alias("_at"), table.alias("_t"))
-    return drawn.select(
-        row_id, F.get(F.filter("_t", lambda s: F.col("_at") < s["upto"]), F.lit(0))["label"].alias("label")
+    width = F.greatest(F.lit(1), F.ceil(F.col("_total") / SLOTS))
+    start = F.col("upto") - F.col("n")
+    slots = shares.withColumn("_total", total).select(
+        "label",
+        start.alias("_from"),
+        F.col("upto").alias("_to"),
+        F.explode(F.sequence(F.floor(start / width), F.floor((F.col("upto") - 1) / width))).alias("_slot"),
+    )
+    at = F.floor(hash_unit(seed, F.col(row_id)) * F.col("_total"))
+    drawn = (
+        items.select(row_id)
+        .withColumn("_total", total)
+        .select(row_id, at.alias("_at"), F.floor(at / width).alias("_slot"))
     )
+    hit = (F.col("_at") >= F.col("_from")) & (F.col("_at") < F.col("_to"))
+    return drawn.join(slots, "_slot").where(hit).select(row_id, "label")
 
 
 def stratified_split(
@@ -78,6 +85,7 @@ def stratified_split(
         F.col("_n"),
         F.round(F.sum("_n").over(whole) * F.lit(test_share)).cast("long").alias("_take"),
     ).where((F.col("_before") < F.col("_take")) & (F.col("_take") <= F.col("_before") + F.col("_n")))
+    located = stored(located, "slices")
     # the hash of the last test row: rank the rows of the located slices only
     rank = Window.partitionBy(*group, "_s").orderBy("_h")
     cuts = (
@@ -86,6 +94,7 @@ def stratified_split(
         .where(F.col("_rank") == F.col("_take") - F.col("_before"))
         .select(*group, F.col("_h").alias("_cut"))
     )
+    cuts = stored(cuts, "cuts")
     return (
         df.withColumn("_c", F.coalesce(stratum.cast("string"), F.lit("")))
         .withColumn("_null", stratum.isNull())

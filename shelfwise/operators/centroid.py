@@ -25,7 +25,7 @@ from shelfwise.operators.weights import (
     vocabulary,
     weighted_postings,
 )
-from shelfwise.session import new_path
+from shelfwise.session import new_path, stored
 
 LENGTH_SLOT = -1  # class id under which an item's own squared length is summed
 SCORE_DIGITS = 9
@@ -68,8 +68,11 @@ def _labelled(df: DataFrame, row_id: str, text: str, label: str) -> tuple[DataFr
     Names are prepared before they are compared.
     """
     named = df.select(row_id, text, prep_model_text(label).alias("class_name"))
-    classes = named.groupBy("class_name").agg(
-        F.min(row_id).cast("long").alias("class_id"), F.count("*").alias("n_docs")
+    classes = stored(
+        named.groupBy("class_name").agg(
+            F.min(row_id).cast("long").alias("class_id"), F.count("*").alias("n_docs")
+        ),
+        "classes",
     )
     rows = named.join(classes, "class_name").select(row_id, text, "class_id", "n_docs")
     return rows, classes

@@ -24,7 +24,7 @@ from shelfwise.operators.weights import (
     term_stats,
     vocabulary,
 )
-from shelfwise.session import shared_dir
+from shelfwise.session import shared_dir, stored
 
 
 @dataclass(frozen=True)
@@ -164,7 +164,7 @@ def _train(
     n_rows = vectors.count()
     for level in levels:
         rows = vectors.where(F.col(level).isNotNull())
-        weights = class_weights(rows, level).select(level, "weight")
+        weights = stored(class_weights(rows, level).select(level, "weight"), "class_weights")
         # class counts, not rows: the model keeps one entry per class anyway
         indexer = StringIndexer(inputCol=level, outputCol="_label", stringOrderType="alphabetAsc").fit(rows)
         fitted.labels[level] = indexer.labels

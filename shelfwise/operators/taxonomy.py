@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from shelfwise.fixed_values import LEVELS
 from shelfwise.functions.codes import path_key
 from shelfwise.functions.text import drop_repeated_words, join_non_empty, resolve_label
+from shelfwise.session import stored
 
 ROOT = ""
 
@@ -34,12 +35,14 @@ def edges(taxonomy: DataFrame, titles: Sequence[str], row_id: str) -> DataFrame:
 def children(edge_table: DataFrame) -> DataFrame:
     """``(level, parent_path, labels)``, labels in order of first appearance.
 
-    A row holds the distinct children of one node, never its products.
+    A row holds the distinct children of one node, never its products. The table
+    is stored: each level of a descent, and each batch of a stream, reads it.
     """
     ordered = F.array_sort(F.collect_list(F.struct("first_row", "label")))
-    return edge_table.groupBy("level", "parent_path").agg(
+    kids = edge_table.groupBy("level", "parent_path").agg(
         F.transform(ordered, lambda e: e["label"]).alias("labels")
     )
+    return stored(kids, "children")
 
 
 def sizes(edge_table: DataFrame, levels: Sequence[str] = LEVELS) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from shelfwise.fixed_values import LEVELS
 from shelfwise.functions.text import match_key, strip
+from shelfwise.session import stored
 
 UPPER = LEVELS[:3]
 MISMATCH_SAMPLES = 5
@@ -22,10 +23,11 @@ def brick_paths(taxonomy: DataFrame, titles: Sequence[str], row_id: str) -> tupl
     """First path per brick title, and first path per brick match key."""
     segment, family, cls, brick = titles
     path = F.struct(*[_clean(t).alias(level) for level, t in zip(UPPER, (segment, family, cls))])
-    exact = (
+    exact = stored(
         taxonomy.where(F.col(brick).isNotNull())
         .groupBy(_clean(brick).alias("brick"))
-        .agg(F.min_by(path, row_id).alias("exact_path"), F.min(row_id).alias("first_row"))
+        .agg(F.min_by(path, row_id).alias("exact_path"), F.min(row_id).alias("first_row")),
+        "bricks",
     )
     by_key = exact.groupBy(match_key("brick").alias("brick_key")).agg(
         F.min_by("exact_path", "first_row").alias("key_path")

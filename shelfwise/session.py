@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # AQE sizes broadcasts from measured shuffle output, coalesces small partitions
 # and splits skewed ones; the operators lean on it instead of fixed hints.
@@ -47,3 +47,16 @@ def shared_dir(spark: SparkSession) -> str:
 def new_path(spark: SparkSession, name: str) -> str:
     """A path no earlier run has written, inside the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/shelfwise/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write to the shared folder and read back.
+
+    For small aggregates of large tables that large tables are joined with. The
+    optimizer knows the size of a written table: it broadcasts a small one, where
+    a plain aggregate is assumed as large as its input and the large side would
+    be shuffled by what may be a hot key. A larger one is shuffled as usual.
+    """
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
