@@ -1,7 +1,8 @@
 """Title cleaning, match keys, prompts and answer resolution as Columns.
 
 Python's ``\\w``, ``\\d`` and ``\\s`` are Unicode-aware, Java's are not, and
-``(?U)\\w`` keeps combining marks that Python drops; hence the explicit classes.
+Java's Unicode mode keeps combining marks that Python drops; hence the explicit
+classes.
 """
 
 from __future__ import annotations
@@ -19,11 +20,11 @@ from shelfwise.fixed_values import PREFIX_TEXT_SLOT, PROMPT_LABELS_SLOT, PROMPT_
 # --- fixed values: character classes -------------------------------------------
 WORD = r"\p{L}\p{N}_"
 DIGIT = r"\p{Nd}"
-SPACE = r"\s\x1c-\x1f"  # used under (?U)
+SPACE = r"\t-\r\x1c-\x20\x85\p{Z}"
 ASCII_DIGITS = "0123456789"
 ASCII_PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
-_SPACES = f"(?U)[{SPACE}]+"
+_SPACES = f"[{SPACE}]+"
 
 
 def _col(c: Column | str) -> Column:
@@ -32,7 +33,7 @@ def _col(c: Column | str) -> Column:
 
 def strip(c: Column | str) -> Column:
     """Remove Unicode whitespace at both ends."""
-    return F.regexp_replace(_col(c), f"(?U)^[{SPACE}]+|[{SPACE}]+$", "")
+    return F.regexp_replace(_col(c), f"^[{SPACE}]+|[{SPACE}]+$", "")
 
 
 def collapse_spaces(c: Column | str) -> Column:
@@ -70,7 +71,7 @@ def clean_space(c: Column | str) -> Column:
 
 def clean_class(c: Column | str) -> Column:
     """Punctuation and separators to spaces, digits stay."""
-    return F.lower(F.trim(F.regexp_replace(_col(c), rf"(?U)[^\p{{L}}\p{{N}}{SPACE}]", " ")))
+    return F.lower(F.trim(F.regexp_replace(_col(c), rf"[^\p{{L}}\p{{N}}{SPACE}]", " ")))
 
 
 @F.pandas_udf(T.StringType())
@@ -133,7 +134,7 @@ def strip_punctuation(c: Column | str) -> Column:
 
 def strip_separators(c: Column | str) -> Column:
     r"""``- _ / \ |`` and whitespace to single spaces, lower case."""
-    return F.lower(F.trim(F.regexp_replace(_col(c), rf"(?U)[-_/\\|{SPACE}]+", " ")))
+    return F.lower(F.trim(F.regexp_replace(_col(c), rf"[-_/\\|{SPACE}]+", " ")))
 
 
 def clean_text(c: Column | str) -> Column:
@@ -152,7 +153,7 @@ def match_key(c: Column | str) -> Column:
     for sign in ("&", "+"):
         spelled = F.replace(spelled, F.lit(sign), F.lit("and"))
     spaced = F.translate(spelled, "/-_", "   ")
-    kept = F.regexp_replace(spaced, rf"(?U)[^{WORD}{SPACE}]", "")
+    kept = F.regexp_replace(spaced, rf"[^{WORD}{SPACE}]", "")
     return F.coalesce(collapse_spaces(kept), F.lit(""))
 
 

@@ -78,17 +78,15 @@ def _labelled(df: DataFrame, row_id: str, text: str, label: str) -> tuple[DataFr
     return rows, classes
 
 
-def _model(shares: DataFrame, classes: DataFrame, options: TermOptions) -> CentroidModel:
-    """A model from ``(class_id, term, weight, w)``.
+def _model(terms: DataFrame, classes: DataFrame, options: TermOptions) -> CentroidModel:
+    """A model from ``(term, weight, shares)``.
 
     Fitting ends here: both tables are written to the shared folder, so scoring
     does not fit again, however often it reads them.
     """
-    spark = shares.sparkSession
+    spark = terms.sparkSession
     path = new_path(spark, "centroids")
-    shares.groupBy("term").agg(
-        F.any_value("weight").alias("weight"), F.collect_list(F.struct("class_id", "w")).alias("shares")
-    ).write.parquet(f"{path}/terms")
+    terms.write.parquet(f"{path}/terms")
     lengths = (
         spark.read.parquet(f"{path}/terms")
         .select(F.inline("shares"))
@@ -122,7 +120,10 @@ def fit_tfidf(
     shares = unit.groupBy("class_id", "term").agg(
         F.any_value("weight").alias("weight"), F.sum(F.col("w") / F.col("n_docs")).alias("w")
     )
-    return _model(shares, classes, options)
+    terms = shares.groupBy("term").agg(
+        F.any_value("weight").alias("weight"), F.collect_list(F.struct("class_id", "w")).alias("shares")
+    )
+    return _model(terms, classes, options)
 
 
 def fit_icf_tdcb(
@@ -154,10 +155,10 @@ def fit_icf_tdcb(
         .where(F.col("df") >= options.min_df)
         .select("term", icf_tdcb(n_docs).alias("weight"), "means")
     )
-    shares = per_term.select("term", "weight", F.inline("means")).select(
-        "class_id", "term", "weight", (F.col("mean") * F.col("weight")).alias("w")
+    shares = F.transform(
+        "means", lambda m: F.struct(m["class_id"].alias("class_id"), (m["mean"] * F.col("weight")).alias("w"))
     )
-    return _model(shares, classes, options)
+    return _model(per_term.select("term", "weight", shares.alias("shares")), classes, options)
 
 
 def scores(model: CentroidModel, df: DataFrame, row_id: str, text: str) -> DataFrame:

@@ -21,7 +21,9 @@ def read_csv(
     multi_line: bool = True,
     encoding: str = "UTF-8",
 ) -> DataFrame:
-    """CSV with a header. Types are inferred, by one more pass, only without a schema.
+    """CSV with a header; an empty cell, quoted or not, is a missing value.
+
+    Types are inferred, by one more pass, only without a schema.
 
     ``multi_line`` reads line breaks inside quotes right but keeps a file in one
     task; turn it off for large files known to have none.
@@ -72,8 +74,8 @@ def insert_into(df: DataFrame, name: str) -> None:
 
 
 def write_csv(df: DataFrame, path: str, sep: str = ",") -> None:
-    """CSV with a header, no row index, empty text kept apart from null."""
-    df.write.mode("overwrite").options(header=True, sep=sep, quote='"', escape='"', emptyValue='""').csv(path)
+    """CSV with a header and no row index."""
+    df.write.mode("overwrite").options(header=True, sep=sep, quote='"', escape='"').csv(path)
 
 
 def describe_columns(spark: SparkSession, tables: list[str] | None = None) -> DataFrame:
