@@ -128,8 +128,9 @@ def test_idempotent(spark, name):
 @settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
 @given(st.lists(st.text(max_size=20), min_size=20, max_size=60))
 def test_match_key_of_any_text(spark, texts):
-    # surrogates cannot be stored, and unassigned characters differ by Unicode version
-    safe = ["".join(c for c in s if unicodedata.category(c) not in ("Cs", "Cn")) for s in texts]
+    # surrogates cannot be stored, and Java and Python differ on recently assigned characters
+    old = unicodedata.ucd_3_2_0.category
+    safe = ["".join(c for c in s if old(c) not in ("Cs", "Cn")) for s in texts]
     safe = [s for s in safe if s.lower().upper().lower() == s.lower()]
     got = apply(spark, tx.match_key, safe)
     wrong = [(s, g, key(s)) for s, g in zip(safe, got) if g != key(s)]
