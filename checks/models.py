@@ -616,7 +616,7 @@ BRICK_SQL = """CASE WHEN p_size <= 10 THEN upper(split_part(p_name, ' ', 2)) WHE
  WHEN p_size = 45 THEN NULL ELSE split_part(p_name, ' ', 2) END"""
 PATHS = {
     "predicted_segment": "CASE WHEN p_size <= 30 THEN lower(p_type) ELSE p_type END",
-    "predicted_family": "replace(p_brand, '#', '# ')",
+    "predicted_family": "CASE WHEN p_size <= 40 THEN replace(p_brand, '#', '') ELSE replace(p_brand, '#', '# ') END",
     "predicted_class": "split_part(p_name, ' ', 1)",
     "predicted_brick": BRICK_SQL,
 }

@@ -27,7 +27,6 @@ from shelfwise.operators.weights import (
 )
 from shelfwise.session import new_path, stored
 
-LENGTH_SLOT = -1  # class id under which an item's own squared length is summed
 SCORE_DIGITS = 9
 
 
@@ -165,18 +164,18 @@ def scores(model: CentroidModel, df: DataFrame, row_id: str, text: str) -> DataF
     """Cosine of each item to the classes it shares terms with:
     ``(row_id, class_id, class_name, score)``.
 
-    Each posting also carries its own weight under ``LENGTH_SLOT``, so one
-    aggregate yields the products with all classes and the item's length.
+    Each posting also carries its own weight under a null class, so one
+    aggregate yields the products with all classes and the item's squared length.
     """
     posted = postings(df, row_id, text, model.options)
     weighted = weighted_postings(posted, model.terms, model.options)
-    own = F.array(F.struct(F.lit(LENGTH_SLOT).cast("long").alias("class_id"), F.col("w").alias("w")))
+    own = F.array(F.struct(F.lit(None).cast("long").alias("class_id"), F.col("w").alias("w")))
     sums = (
         weighted.select(row_id, F.col("w").alias("item_w"), F.explode(F.concat("shares", own)).alias("s"))
         .groupBy(row_id, F.col("s.class_id").alias("class_id"))
         .agg(F.sum(F.col("item_w") * F.col("s.w")).alias("product"))
     )
-    is_length = F.col("class_id") == LENGTH_SLOT
+    is_length = F.col("class_id").isNull()
     return (
         sums.groupBy(row_id)
         .agg(

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfwise.functions.codes import hash_hex
-from shelfwise.session import shared_dir
+from shelfwise.session import shared_dir, stored
 
 # Position ranges of one window task: at least MIN_SPAN ids wide, at most
 # MAX_SPANS of them, so neither the ranges nor their count can grow unbounded.
@@ -64,13 +64,13 @@ def with_position(df: DataFrame, order: str, name: str = "position") -> DataFram
     end, and rows are numbered within their range only.
     """
     limits = df.agg(F.min(order).alias("low"), F.max(order).alias("high"))
-    low = limits.select("low").scalar()
-    width = limits.select(
-        F.greatest(
-            F.lit(MIN_SPAN), F.ceil((F.col("high") - F.col("low") + 1) / MAX_SPANS)
-        ).cast("long")
-    ).scalar()
-    ranged = df.withColumn("_range", F.floor((F.col(order) - low) / width))
+    width = F.greatest(F.lit(MIN_SPAN), F.ceil((F.col("high") - F.col("low") + 1) / MAX_SPANS))
+    cut = limits.select(F.struct("low", width.cast("long").alias("width"))).scalar()
+    ranged = (
+        df.withColumn("_cut", cut)
+        .withColumn("_range", F.floor((F.col(order) - F.col("_cut.low")) / F.col("_cut.width")))
+        .drop("_cut")
+    )
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
         ranged.groupBy("_range")
@@ -93,7 +93,8 @@ def class_ids(df: DataFrame, label: str, row_id: str) -> DataFrame:
         .groupBy(F.col(label).alias("class_name"))
         .agg(F.min(row_id).alias("first_row"))
     )
-    return with_position(firsts, "first_row", "class_id").select("class_id", "class_name")
+    # numbering reads the classes several times, the rows only once
+    return with_position(stored(firsts, "classes"), "first_row", "class_id").select("class_id", "class_name")
 
 
 def label_codes(df: DataFrame, label: str) -> DataFrame:
