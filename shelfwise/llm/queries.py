@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from shelfwise.llm import mixing
+from shelfwise.llm import mixing, secrets
 from shelfwise.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 
 @query("op3_mix_sources")
 def op3(spark, sf_dir):
     return mixing.taken(table(spark, sf_dir, "documents"))
+
+
+@query("op5_secret_scan")
+def op5(spark, sf_dir):
+    return secrets.report(table(spark, sf_dir, "documents"))
