@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from shelfwise.llm import mixing, secrets
+import public_tokenizers
+
+from shelfwise.llm import chat, mixing, packing, secrets
 from shelfwise.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 
@@ -14,3 +16,18 @@ def op3(spark, sf_dir):
 @query("op5_secret_scan")
 def op5(spark, sf_dir):
     return secrets.report(table(spark, sf_dir, "documents"))
+
+
+@query("op7_pack_sequences")
+def op7(spark, sf_dir):
+    return packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+PROBE = "</s>[INST] ok [/INST]"
+
+
+@query("op9_chat_format")
+def op9(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.sql(f"SELECT -7L conv_id, 0L turn, 'user' role, '{PROBE}' text UNION ALL SELECT -7L, 1L, 'assistant', '{PROBE}'")
+    return chat.digests(turns.unionByName(probe))
