@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from shelfwise.llm import chat, mixing, packing, secrets
+from shelfwise.llm import chat, mixing, packing, quality, secrets
 from shelfwise.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 
@@ -31,3 +31,8 @@ def op9(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.sql(f"SELECT -7L conv_id, 0L turn, 'user' role, '{PROBE}' text UNION ALL SELECT -7L, 1L, 'assistant', '{PROBE}'")
     return chat.digests(turns.unionByName(probe))
+
+
+@query("op2_quality_classifier")
+def op2(spark, sf_dir):
+    return quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
