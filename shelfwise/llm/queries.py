@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from shelfwise.llm import chat, mixing, packing, quality, secrets
+from shelfwise.llm import chat, mixing, neardup, packing, quality, secrets
 from shelfwise.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 
@@ -36,3 +36,8 @@ def op9(spark, sf_dir):
 @query("op2_quality_classifier")
 def op2(spark, sf_dir):
     return quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op10_minhash_neardup")
+def op10(spark, sf_dir):
+    return neardup.components(table(spark, sf_dir, "documents"))
