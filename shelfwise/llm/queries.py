@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from shelfwise.llm import chat, mixing, neardup, packing, quality, secrets
+from shelfwise.llm import chat, mixing, neardup, packing, quality, secrets, substrings
 from shelfwise.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 
@@ -41,3 +41,8 @@ def op2(spark, sf_dir):
 @query("op10_minhash_neardup")
 def op10(spark, sf_dir):
     return neardup.components(table(spark, sf_dir, "documents"))
+
+
+@query("op8_substring_dedup")
+def op8(spark, sf_dir):
+    return substrings.digests(table(spark, sf_dir, "documents"))
