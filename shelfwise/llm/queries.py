@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from shelfwise.llm import chat, mixing, neardup, packing, quality, secrets, substrings
+from shelfwise.llm import chat, ego, mixing, neardup, packing, quality, search, secrets, substrings
 from shelfwise.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 
@@ -46,3 +46,13 @@ def op10(spark, sf_dir):
 @query("op8_substring_dedup")
 def op8(spark, sf_dir):
     return substrings.digests(table(spark, sf_dir, "documents"))
+
+
+@query("op1_kdtree_topk", search.ORACLE)
+def op1(spark, sf_dir):
+    return search.topk(table(spark, sf_dir, "embeddings"))
+
+
+@query("op4_embedding_neardup", ego.ORACLE)
+def op4(spark, sf_dir):
+    return ego.links(table(spark, sf_dir, "embeddings"))
