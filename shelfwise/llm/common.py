@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pickle
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfwise.session import stored
@@ -30,6 +32,12 @@ def uniform(*cols: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*cols), 11) / F.lit(float(2**53))
 
 
+def shared_value(spark: SparkSession, value):
+    """A function that returns ``value`` on a worker; for fitted models of bounded size."""
+    sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    return lambda: pickle.loads(sent.value)
+
+
 def connected(edges: DataFrame, name: str) -> DataFrame:
     """``(id, component)`` of the ids in ``edges(a, b)``: the smallest id reachable.
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import WORDS
+from shelfwise.llm.common import WORDS, shared_value
 
 PER_LABEL = 3000
 RANK = 48
@@ -173,11 +173,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", la
 
 def scored(docs: DataFrame, model: Model, id_col="doc_id", text_col="text") -> DataFrame:
     """``docs`` with ``__score`` of every row; a null text counts as empty. The texts go through one pass."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = shared_value(docs.sparkSession, model)
     score_type = pa.float64()
 
     def task(batches):
-        d, m = Describer(), shared.value
+        d, m = Describer(), shared()
         for b in batches:
             at = b.schema.get_field_index(text_col)
             for i in range(0, b.num_rows, BLOCK):

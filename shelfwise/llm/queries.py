@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from shelfwise.llm import chat, ego, mixing, neardup, packing, quality, search, secrets, substrings
+from shelfwise.llm import chat, ego, mixing, neardup, packing, personal, quality, search, secrets, substrings
 from shelfwise.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 
@@ -56,3 +56,8 @@ def op1(spark, sf_dir):
 @query("op4_embedding_neardup", ego.ORACLE)
 def op4(spark, sf_dir):
     return ego.links(table(spark, sf_dir, "embeddings"))
+
+
+@query("op6_personal_data")
+def op6(spark, sf_dir):
+    return personal.report(table(spark, sf_dir, "documents"))
