@@ -11,12 +11,12 @@ import sys
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-import public_tokenizers  # noqa: E402
 from pyspark import cloudpickle  # noqa: E402
 from pyspark.sql import DataFrame, SparkSession  # noqa: E402
 
 import shelfwise  # noqa: E402
 from shelfwise.llm import mixing, neardup, packing, quality, secrets  # noqa: E402
+from shelfwise.llm.queries import TOKENIZER  # noqa: E402
 from shelfwise.session import new_path  # noqa: E402
 
 cloudpickle.register_pickle_by_value(shelfwise)
@@ -44,7 +44,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces in sequences of the window's length."""
-    return packing.packed(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.packed(docs, *TOKENIZER)
 
 
 STAGES = [

@@ -117,7 +117,39 @@ class Packer:
                     offset += min(fits, len(ids))
 
 
-def _tokens(tokenizer, texts: list[str]) -> Iterator[np.ndarray]:
+def encoder(tokenizer_file: str, ranks_file: str | None = None, pattern: str | None = None):
+    """A function from a list of texts to their ids.
+
+    The tokenizer's file decides. ``ranks_file`` may hold the same vocabulary as ranks,
+    which a faster library reads; it takes the texts whose characters both libraries
+    class alike (those below U+0250, unchanged in all Unicode versions).
+    """
+    import os
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(tokenizer_file)
+    tokenizer.encode_special_tokens = True
+
+    def slow(texts):
+        return [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    if not ranks_file:
+        return slow
+    import base64
+    import re
+
+    import tiktoken
+
+    with open(ranks_file, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    alike = re.compile("[\x00-\u024f]*").fullmatch
+    return lambda texts: [fast.encode_ordinary(t) if alike(t) else slow([t])[0] for t in texts]
+
+
+def _tokens(encode, texts: list[str]) -> Iterator[np.ndarray]:
     """Ids of each text and the end id, a bounded number of characters at a time."""
     i = 0
     while i < len(texts):
@@ -125,13 +157,14 @@ def _tokens(tokenizer, texts: list[str]) -> Iterator[np.ndarray]:
         while j < len(texts) and (j == i or chars + len(texts[j]) <= BATCH_CHARS):
             chars += len(texts[j])
             j += 1
-        for e in tokenizer.encode_batch_fast(texts[i:j], add_special_tokens=False):
-            yield np.asarray([*e.ids, END_ID], dtype="<u4")
+        for ids in encode(texts[i:j]):
+            yield np.asarray([*ids, END_ID], dtype="<u4")
         i = j
 
 
 def packed(
-    docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW
+    docs: DataFrame, tokenizer_file: str, ranks_file: str | None = None, pattern: str | None = None,
+    id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW,
 ) -> DataFrame:
     """One row per piece, columns of ``SCHEMA``.
 
@@ -141,13 +174,7 @@ def packed(
     """
 
     def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(tokenizer_file)
-        tokenizer.encode_special_tokens = True
+        encode = encoder(tokenizer_file, ranks_file, pattern)
         packer = Packer(window, TaskContext.get().partitionId() << 40)
         names = [x.split()[0] for x in SCHEMA.split(", ")]
 
@@ -161,7 +188,7 @@ def packed(
         for b in batches:
             keys = b.column(0).to_pylist()
             rows = []
-            for key, ids in zip(keys, _tokens(tokenizer, b.column(1).to_pylist())):
+            for key, ids in zip(keys, _tokens(encode, b.column(1).to_pylist())):
                 rows += [row(*x) for x in packer.add(key, ids)]
             yield batch(rows)
         yield batch([row(*x) for x in packer.close()])

@@ -8,6 +8,12 @@ from shelfwise.llm import chat, ego, mixing, neardup, packing, personal, quality
 from shelfwise.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 
+# a tokenizer, its vocabulary as ranks, and its pattern
+TOKENIZER = (
+    public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN,
+)
+
+
 @query("op3_mix_sources")
 def op3(spark, sf_dir):
     return mixing.taken(table(spark, sf_dir, "documents"))
@@ -20,7 +26,7 @@ def op5(spark, sf_dir):
 
 @query("op7_pack_sequences")
 def op7(spark, sf_dir):
-    return packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.packed(table(spark, sf_dir, "documents"), *TOKENIZER)
 
 
 PROBE = "</s>[INST] ok [/INST]"
