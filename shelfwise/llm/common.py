@@ -6,7 +6,7 @@ import pickle
 import re
 
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from shelfwise.session import stored
@@ -46,23 +46,22 @@ def connected(edges: DataFrame, name: str) -> DataFrame:
     node, combined before its shuffle, and a join that AQE may split at a hot node.
     The edges of each round are written to the shared folder.
     """
-    e = edges.filter("a <> b").select(
-        F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
-    ).distinct()
-    e = stored(e, name)
+    e = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     before = None
     while True:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("m", "a"))
         large = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = stored(large.filter("a <> b").distinct(), name)
+        large = large.filter("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        e = stored(
-            small.unionByName(low.select("a", F.col("m").alias("b"))).filter("a <> b").distinct(), name
+        seen = Observation()
+        step = small.unionByName(low.select("a", F.col("m").alias("b"))).filter("a <> b").distinct().observe(
+            seen, F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")
         )
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == before:
+        e = stored(step, name)
+        now = (seen.get["n"], seen.get["h"])
+        if now == before or not now[0]:
             break
         before = now
     roots = e.select(F.col("b").alias("id")).distinct()

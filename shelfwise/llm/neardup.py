@@ -7,7 +7,8 @@ in it if it has these values. Nodes of one class end. Small nodes are compared
 exhaustively. Large ones are compared with their smallest member, which links a
 group of copies in linear work, and only if they still hold several components they
 branch by further coordinates, chosen by a hash of the path. A pair at the threshold
-shares a first coordinate of at least one of the 16 trees but for 0.25^16.
+agrees on two coordinates with a chance of 0.56, so it shares no root of the 24 trees
+once in 4 * 10^8.
 
 Candidates pass a sketch filter (a pair at the threshold fails it once in 10^7) and
 are then confirmed on the full sets. Pairs that a component joins already are not
@@ -31,11 +32,12 @@ from shelfwise.session import stored
 
 SHINGLE = 5
 PERCENT = 75
-TREES = 16
+TREES = 24
 COORDINATES = 128
+STEP = 2  # coordinates a root adds to a path
 SMALL = 32  # classes of a node that are compared exhaustively
-BRANCHES = 2  # children a class may enter below a large node
-DEPTH = 6  # below that, what is still mixed is compared with every member of its node
+BRANCHES = 4  # children a class may enter below a large node, of twice as many coordinates
+DEPTH = 8  # below that, what is still mixed is compared with every member of its node
 SKETCH_AT_LEAST = 0.55
 CHUNK_ROWS = 512
 
@@ -201,15 +203,16 @@ def components(docs: DataFrame, id_col="doc_id", text_col="text", percent=PERCEN
     def value(c):
         return F.substring("sig", c * 4 + 1, F.lit(4))
 
-    roots = F.array(*[F.xxhash64(F.lit(t), value(F.lit(t))) for t in range(TREES)])
+    roots = F.array(*[
+        F.xxhash64(F.lit(t), *[value(F.lit(t * STEP + i)) for i in range(STEP)]) for t in range(TREES)
+    ])
     members = classes.select("rep", F.explode(roots).alias("key"))
     links, tested, found, sets = None, None, None, None
 
     for depth in range(DEPTH + 1):
         nodes = members.groupBy("key").agg(F.count("*").alias("size"), F.min("rep").alias("pivot"), F.max("rep").alias("top"))
         if found is None:
-            nodes = stored(nodes.filter("pivot <> top"), "near-nodes")
-            inside = members.join(nodes, "key").withColumn("component", F.col("rep"))
+            inside = members.join(nodes.filter("pivot <> top"), "key").withColumn("component", F.col("rep"))
         else:
             known = members.join(found.withColumnRenamed("id", "rep"), "rep", "left")
             known = known.withColumn("component", F.coalesce("component", "rep"))
@@ -245,7 +248,7 @@ def components(docs: DataFrame, id_col="doc_id", text_col="text", percent=PERCEN
         pairs = stored(_list_pairs(listed(found), found is None).unionByName(stars).distinct(), "near-pairs")
         if sets is None:
             ids = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).union(large.select("rep")).distinct()
-            sets = stored(_sets(docs, stored(ids, "near-ids"), id_col, text_col), "near-sets")
+            sets = stored(_sets(docs, ids, id_col, text_col), "near-sets")
             tested, links = pairs, stored(_confirmed(pairs, sets, percent), "near-links")
             found = stored(connected(links, "near-edges"), "near-components")
             pairs = stored(
@@ -281,11 +284,15 @@ def components(docs: DataFrame, id_col="doc_id", text_col="text", percent=PERCEN
             links = links.unionByName(stored(_confirmed(pairs, sets.unionByName(more), percent), "near-links"))
             found = stored(connected(links, "near-edges"), "near-components")
             break
-        branch = F.array(*[F.pmod(F.xxhash64("key", F.lit(j)), F.lit(COORDINATES)) for j in range(BRANCHES)])
+        def picked(child, i):
+            return F.pmod(F.xxhash64("key", F.lit(child), F.lit(i)), F.lit(COORDINATES)).cast("int")
+
+        paths = F.array(*[
+            F.xxhash64("key", F.lit(j), *[value(picked(j, i)) for i in range(2 * STEP)]) for j in range(BRANCHES)
+        ])
         members = mixed.select("key", "rep").join(classes.select("rep", "sig"), "rep").select(
-            "rep", "sig", "key", F.explode(branch).alias("c")
-        )
-        members = members.select("rep", F.xxhash64("key", "c", value(F.col("c").cast("int"))).alias("key")).distinct()
+            "rep", F.explode(paths).alias("key")
+        ).distinct()
 
     out = a.select("doc_id", "n", "f1", "f2").join(reps, ["f1", "f2"], "left").join(
         found.withColumnRenamed("id", "rep"), "rep", "left"
