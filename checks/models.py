@@ -111,23 +111,16 @@ def cosine_argmax(spark, sf):
     return best.select("item_id", "class_id", r6("confidence"))
 
 
-def micro(scores):
-    """Scores as text in millionths, to compare a whole matrix row at once."""
-    return joined(F.transform(scores, lambda s: F.round(s * 1e5, 0).cast("long").cast("string")))
-
-
 @query(
     "similarity_pairs",
-    f"""{NEAREST_SQL} SELECT vec_id AS item_id, string_agg(class_id::VARCHAR, '|' ORDER BY class_id) AS classes,
-    string_agg(round((1 - distance) * 1e5)::BIGINT::VARCHAR, '|' ORDER BY class_id) AS scores FROM pairs GROUP BY 1""",
+    f"""{NEAREST_SQL} SELECT vec_id AS item_id, class_id, round(1 - distance, 6) AS score
+    FROM ranked WHERE rank <= 3 AND 1 - distance >= 0.05""",
 )
 def similarity_pairs(spark, sf):
-    matrix = nearest.similarity_matrix(
-        table(spark, sf, "embeddings"), class_vectors(spark, sf), "vec_id", "label", "embedding"
-    )
-    return matrix.select(
-        "item_id", joined(F.col("class_ids").cast("array<string>")).alias("classes"), micro("scores").alias("scores")
+    found = nearest.similar(
+        table(spark, sf, "embeddings"), class_vectors(spark, sf), "vec_id", "label", "embedding", TOP_K, 0.05
     )
+    return found.select("item_id", "class_id", r6("score"))
 
 
 @query(
@@ -341,45 +334,49 @@ def icf_tdcb_predict(spark, sf):
 FIRST_SQL = """n AS (SELECT p_name, arg_min(p_type, p_partkey) AS by_name FROM part GROUP BY p_name),
 b AS (SELECT p_brand, arg_min(p_type, p_partkey) AS by_brand FROM part GROUP BY p_brand),
 v AS (SELECT p_partkey, p_type AS own, by_name, by_brand FROM part JOIN n USING (p_name) JOIN b USING (p_brand))"""
+# every fifth item has no vote by name, every seventh a null vote by brand
+GAPS_SQL = f"""{FIRST_SQL}, g AS (SELECT p_partkey, own, CASE WHEN p_partkey % 5 > 0 THEN by_name END AS by_name,
+CASE WHEN p_partkey % 7 > 0 THEN by_brand END AS by_brand FROM v)"""
 
 
 def first_of(part, key, value, name):
     return part.groupBy(key).agg(F.min_by(value, "p_partkey").alias(name))
 
 
-def vote_columns(spark, sf):
+def vote_columns(spark, sf, gaps=False):
     part = table(spark, sf, "part")
     ids = part.select("p_partkey", "p_name", "p_brand")
-    return votes.join_votes(
-        "p_partkey",
-        part.select("p_partkey", F.col("p_type").alias("own")),
-        ids.join(first_of(part, "p_name", "p_type", "by_name"), "p_name").select("p_partkey", "by_name"),
-        ids.join(first_of(part, "p_brand", "p_type", "by_brand"), "p_brand").select("p_partkey", "by_brand"),
-    )
+    by_name = ids.join(first_of(part, "p_name", "p_type", "by_name"), "p_name").select("p_partkey", "by_name")
+    by_brand = ids.join(first_of(part, "p_brand", "p_type", "by_brand"), "p_brand").select("p_partkey", "by_brand")
+    if gaps:
+        by_name = by_name.where("p_partkey % 5 > 0")
+        by_brand = by_brand.withColumn("by_brand", F.when(F.col("p_partkey") % 7 > 0, F.col("by_brand")))
+    return votes.join_votes("p_partkey", part.select("p_partkey", F.col("p_type").alias("own")), by_name, by_brand)
 
 
 @query(
     "ensemble_vote",
-    f"""WITH {FIRST_SQL} SELECT *, CASE WHEN own = by_name OR own = by_brand THEN own ELSE by_brand END AS final,
+    f"""WITH {GAPS_SQL} SELECT *, CASE WHEN own = by_name OR own = by_brand THEN own WHEN by_name = by_brand THEN by_name
+      ELSE by_brand END AS final,
     round(CASE WHEN own = by_name AND own = by_brand THEN 1 WHEN own = by_name OR own = by_brand OR by_name = by_brand
-      THEN 2.0 / 3 ELSE 1 END, 6) AS confidence FROM v""",
+      THEN 2.0 / 3 ELSE 1 END, 6) AS confidence FROM g""",
 )
 def ensemble_vote(spark, sf):
-    return votes.ensemble(vote_columns(spark, sf), "majority", "own", "by_name", "by_brand").withColumn(
+    return votes.ensemble(vote_columns(spark, sf, True), "majority", "own", "by_name", "by_brand").withColumn(
         "confidence", r6("confidence")
     )
 
 
 @query(
     "ensemble_weighted",
-    f"""WITH {FIRST_SQL}, e AS (
-      SELECT p_partkey, own AS label, 0.3 AS w, 0 AS pos FROM v UNION ALL
-      SELECT p_partkey, by_name, 0.4, 1 FROM v UNION ALL SELECT p_partkey, by_brand, 0.3, 2 FROM v),
-    s AS (SELECT p_partkey, label, sum(w) AS score, min(pos) AS pos FROM e GROUP BY ALL)
+    f"""WITH {GAPS_SQL}, e AS (
+      SELECT p_partkey, own AS label, 0.3 AS w, 0 AS pos FROM g UNION ALL
+      SELECT p_partkey, by_name, 0.4, 1 FROM g UNION ALL SELECT p_partkey, by_brand, 0.3, 2 FROM g),
+    s AS (SELECT p_partkey, label, sum(w) AS score, min(pos) AS pos FROM e WHERE label IS NOT NULL GROUP BY ALL)
     SELECT p_partkey, arg_min(label, (-score, pos)) AS final, round(max(score), 6)::DOUBLE AS confidence FROM s GROUP BY 1""",
 )
 def ensemble_weighted(spark, sf):
-    voted = votes.ensemble(vote_columns(spark, sf), "weighted", "own", "by_name", "by_brand")
+    voted = votes.ensemble(vote_columns(spark, sf, True), "weighted", "own", "by_name", "by_brand")
     return voted.select("p_partkey", "final", r6("confidence"))
 
 
@@ -766,18 +763,19 @@ def hash_embed(spark, sf):
 
 @query(
     "text_similarity_pairs",
-    f"""WITH {sql_hash('documents', 'doc_id', '1')}, {sql_hash('benchmark', 'item_id', '2')}
-    SELECT doc_id AS item_id, string_agg(round(CASE WHEN list_inner_product(h1.v, h1.v) * list_inner_product(h2.v, h2.v) = 0 THEN 0
-      ELSE list_cosine_similarity(h1.v, h2.v) END * 1e5)::BIGINT::VARCHAR, '|' ORDER BY h2.item_id) AS scores
-    FROM h1, h2 GROUP BY 1""",
+    f"""WITH {sql_hash('documents', 'doc_id', '1')}, {sql_hash('benchmark', 'item_id', '2')},
+    s AS (SELECT h1.doc_id, h2.item_id, CASE WHEN list_inner_product(h1.v, h1.v) * list_inner_product(h2.v, h2.v) = 0 THEN 0
+      ELSE list_cosine_similarity(h1.v, h2.v) END AS score FROM h1, h2),
+    r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(1 - score, 9), item_id) AS rank FROM s)
+    SELECT doc_id AS item_id, item_id AS query_id, round(score, 6) AS score FROM r WHERE rank <= 3 AND score >= 0.05""",
 )
 def text_similarity_pairs(spark, sf):
     queries = enrich.hash_embed(table(spark, sf, "benchmark"), "item_id", "text", DIMS)
     items = enrich.hash_embed(documents(spark, sf), "doc_id", "text", DIMS)
-    matrix = nearest.similarity_matrix(
-        items, queries.withColumnRenamed("item_id", "query_id"), "doc_id", "query_id", "vector"
+    found = nearest.similar(
+        items, queries.withColumnRenamed("item_id", "query_id"), "doc_id", "query_id", "vector", TOP_K, 0.05
     )
-    return matrix.select("item_id", micro("scores").alias("scores"))
+    return found.select("item_id", F.col("class_id").alias("query_id"), r6("score"))
 
 
 def text_measures():

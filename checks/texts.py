@@ -106,8 +106,10 @@ over_documents(
 def strip_brand(spark, sf):
     part = table(spark, sf, "part")
     title = F.concat_ws(" ", "p_brand", "p_name", "p_brand")
-    titled = lookup.with_brands(part.select("p_partkey", title.alias("title")), part, "p_brand")
-    return titled.select("p_partkey", tx.strip_brand("title", F.col("brands")).alias("cleaned"))
+    titled = part.select("p_partkey", title.alias("title"))
+    return lookup.strip_brand_join(titled, "p_partkey", "title", part, "p_brand").select(
+        "p_partkey", F.col("stripped").alias("cleaned")
+    )
 
 
 @query(
@@ -121,7 +123,7 @@ def strip_brand(spark, sf):
 def strip_brand_join(spark, sf):
     part = table(spark, sf, "part")
     titles = part.select("p_partkey", F.concat(F.lower("p_brand"), "p_type", "p_name").alias("title"))
-    return lookup.strip_brand_join(titles, "p_partkey", "title", part, "p_type", [5, 6, 7, 8]).select(
+    return lookup.strip_brand_join(titles, "p_partkey", "title", part, "p_type").select(
         "p_partkey", F.col("stripped").alias("cleaned")
     )
 

@@ -79,15 +79,6 @@ TAXONOMY_COLUMNS_CLEANED = (
     "BrickDefinition_Includes",
     "BrickDefinition_Excludes",
 )
-TAXONOMY_CODE_COLUMNS = (
-    "SegmentCode",
-    "FamilyCode",
-    "ClassCode",
-    "BrickCode",
-    "AttributeCode",
-    "AttributeValueCode",
-)
-
 # --- fixed values: model parameters -------------------------------------------
 VOTE_WEIGHTS = {"tfidf": 0.3, "cosine": 0.4, "answer": 0.3}
 TOP_K = 3

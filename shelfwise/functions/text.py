@@ -97,7 +97,7 @@ def drop_repeated_words(c: Column | str) -> Column:
 def strip_brand(c: Column | str, brands: Column) -> Column:
     """Remove every occurrence of the first brand found in the text.
 
-    ``brands`` is an array column; see ``operators.lookup.with_brands``.
+    ``brands`` is an array column; ``operators.lookup.strip_brand_join`` takes a table.
     """
     c = _col(c)
     found = F.get(F.filter(brands, lambda b: F.contains(c, b)), F.lit(0))

@@ -13,8 +13,7 @@ from pyspark.sql import functions as F
 
 from shelfwise.fixed_values import CLASS_NAMES_AR
 from shelfwise.operators.rows import dedup_keep_first
-
-MAX_BRANDS = 100_000
+from shelfwise.session import stored
 
 
 def map_codes(
@@ -52,18 +51,21 @@ def unmapped_codes(
 
 
 def class_names_ar(df: DataFrame) -> DataFrame:
-    """The built-in glossary as ``(term, translation)``."""
-    return df.sparkSession.createDataFrame(
-        list(CLASS_NAMES_AR.items()), "term string, translation string"
-    )
+    """The built-in glossary as ``(term, translation)``; literal rows, so that its size is known."""
+    pairs = [F.struct(F.lit(a).alias("term"), F.lit(b).alias("translation")) for a, b in CLASS_NAMES_AR.items()]
+    return df.sparkSession.range(1).select(F.inline(F.array(*pairs)))
 
 
 def translate_terms(
     df: DataFrame, column: str, glossary: DataFrame, name: str = "translated_name"
 ) -> DataFrame:
-    """Replace terms found in a ``(term, translation)`` table, keep the others."""
-    terms = glossary.groupBy(F.col("term").alias(column)).agg(
-        F.min("translation").alias("_translation")
+    """Replace terms found in a ``(term, translation)`` table, keep the others.
+
+    The glossary is written first: its measured size lets Spark broadcast a small one
+    instead of shuffling the rows by what may be a hot term.
+    """
+    terms = stored(
+        glossary.groupBy(F.col("term").alias(column)).agg(F.min("translation").alias("_translation")), "glossary"
     )
     return (
         df.join(terms, column, "left")
@@ -72,34 +74,17 @@ def translate_terms(
     )
 
 
-def with_brands(df: DataFrame, brands: DataFrame, column: str, name: str = "brands") -> DataFrame:
-    """Add a brand dictionary as one array value, longest brand first, then by text.
-
-    A dictionary above ``MAX_BRANDS`` is refused; ``strip_brand_join`` has no
-    such limit.
-    """
-    # one more than the limit is enough to know, and bounds what one task holds
-    bounded = brands.select(column).where(F.col(column) != "").distinct().limit(MAX_BRANDS + 1)
-    ordered = F.array_sort(F.collect_list(F.struct(-F.length(column), F.col(column))))
-    checked = bounded.agg(ordered.alias("b")).select(
-        F.when(F.size("b") <= MAX_BRANDS, F.transform("b", lambda s: s[column])).otherwise(
-            F.raise_error(F.lit(f"more than {MAX_BRANDS} brands: use strip_brand_join"))
-        )
-    )
-    return df.withColumn(name, checked.scalar())
-
-
-def strip_brand_join(
-    df: DataFrame, key: str, text: str, brands: DataFrame, column: str, lengths: list[int]
-) -> DataFrame:
-    """``strip_brand`` for a dictionary of any size: ``(key, text, stripped)``.
+def strip_brand_join(df: DataFrame, key: str, text: str, brands: DataFrame, column: str) -> DataFrame:
+    """Remove the longest brand a text holds, ties by text: ``(key, text, stripped)``.
 
-    Every substring with the length of some brand is looked up by an equi-join;
-    ``lengths`` lists the brand lengths that occur.
+    Every substring with the length of some brand is looked up by an equi-join, so
+    the dictionary may have any size. The lengths come from the brand table: an
+    array of at most as many numbers as the longest brand has characters.
     """
-    sizes = F.explode(F.array(*[F.lit(n) for n in lengths]))
+    known = brands.select(F.col(column).alias("_brand")).where(F.length("_brand") > 0).distinct()
+    sizes = known.agg(F.collect_set(F.length("_brand"))).scalar()
     pieces = (
-        df.select(key, text, sizes.alias("_n"))
+        df.select(key, text, F.explode(sizes).alias("_n"))
         .where(F.length(text) >= F.col("_n"))
         .select(
             key,
@@ -112,7 +97,6 @@ def strip_brand_join(
         )
         .distinct()
     )
-    known = brands.select(F.col(column).alias("_brand")).distinct()
     found = (
         pieces.join(known, "_brand")
         .groupBy(key)

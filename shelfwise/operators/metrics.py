@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -51,7 +51,8 @@ def class_metrics(
         .agg(F.sum("tp").alias("tp"), F.sum("support").alias("support"), F.sum("predicted").alias("predicted"))
     )
     if labels is not None:
-        counts = labels.join(counts, "label", "left").na.fill(0, ["tp", "support", "predicted"])
+        wanted = labels.crossJoin(counts.select(*by).distinct()) if by else labels
+        counts = wanted.join(counts, [*by, "label"], "left").na.fill(0, ["tp", "support", "predicted"])
     tp, support, predicted_n = F.col("tp"), F.col("support"), F.col("predicted")
     return counts.select(
         *by,
@@ -105,17 +106,23 @@ def long_levels(
     return df.select(F.lit(dataset).alias("dataset"), F.inline(F.array(*cells)))
 
 
-def f1_by_level(frames: Sequence[DataFrame]) -> DataFrame:
+def f1_by_level(frames: Sequence[DataFrame], not_in_mean: Sequence[str] = ()) -> DataFrame:
     """Weighted F1 per dataset and level of ``long_levels`` frames.
 
     ``dataset_f1`` is the mean over a dataset's levels, ``mean_f1`` the mean over
-    the datasets.
+    the datasets but those of ``not_in_mean``. The means are windows over the result,
+    a row per dataset and level, so the frames are read once.
     """
     rows = reduce(lambda a, b: a.unionByName(b), frames)
     per_level = weighted_f1(rows, "actual", "predicted", ["dataset", "level"])
-    per_set = per_level.groupBy("dataset").agg(F.avg("weighted_f1").alias("dataset_f1"))
-    mean = per_set.agg(F.avg("dataset_f1").alias("mean_f1")).scalar()
-    return per_level.join(per_set, "dataset").withColumn("mean_f1", mean)
+    own = Window.partitionBy("dataset")
+    per_set = per_level.withColumns(
+        {"dataset_f1": F.avg("weighted_f1").over(own), "_n": F.count("*").over(own)}
+    )
+    counted = F.when(F.col("dataset").isin(list(not_in_mean)), 0.0).otherwise(1.0) / F.col("_n")
+    everything = Window.partitionBy()
+    mean = F.sum(F.col("dataset_f1") * counted).over(everything) / F.sum(counted).over(everything)
+    return per_set.withColumn("mean_f1", mean).drop("_n")
 
 
 def class_weights(df: DataFrame, label: str) -> DataFrame:

@@ -28,11 +28,16 @@ def mean_vectors(df: DataFrame, label: str, vector: str, dims: int) -> DataFrame
     """Mean vector per label: ``(label, vector)``.
 
     One fixed-width average per dimension keeps this a hash aggregate with
-    partial sums, whatever the number of labels or the size of one.
+    partial sums, whatever the number of labels or the size of one. A vector of
+    another length than ``dims`` is an error.
     """
-    sums = [F.avg(F.col(vector)[i].cast("double")) for i in range(dims)]
+    whole = F.when(F.size(vector) == dims, F.col(vector)).otherwise(
+        F.raise_error(F.concat(F.lit(f"vectors must all have {dims} dimensions, one has "), F.size(vector).cast("string")))
+    )
+    sums = [F.avg(F.col("_v")[i].cast("double")) for i in range(dims)]
     return (
         df.where(F.col(label).isNotNull() & F.col(vector).isNotNull())
+        .select(label, whole.alias("_v"))
         .groupBy(label)
         .agg(F.array(*sums).alias(vector))
     )
@@ -197,77 +202,22 @@ def ranked(nearest: DataFrame) -> DataFrame:
     return nearest.withColumn("rank", F.row_number().over(order))
 
 
-def similarity_matrix(
+def similar(
     items: DataFrame,
     classes: DataFrame,
     item_id: str,
     class_id: str,
     vector: str,
+    k: int,
+    at_least: float = -1.0,
     max_matrix_bytes: int = MAX_MATRIX_BYTES,
 ) -> DataFrame:
-    """Cosine similarity of each item to all classes, a matrix row per item.
+    """The ``k`` most similar classes of each item: ``(item_id, class_id, score)``.
 
-    ``(item_id, class_ids, scores)`` with both arrays in class order. Beyond the
-    matrix bound an item has one such row per block of classes.
+    Only similarities of ``at_least`` count, so the output is linear in the items.
     """
-    left, right = _prepare(items, classes, item_id, class_id, vector)
-    schema = T.StructType(
-        [
-            T.StructField("item_id", left.schema["item_id"].dataType),
-            T.StructField("class_ids", T.ArrayType(right.schema["class_id"].dataType)),
-            T.StructField("scores", T.ArrayType(T.DoubleType())),
-        ]
-    )
-    arrow_schema = to_arrow_schema(schema)
-    right = right.persist()
-    count, dims = _measure(right)
-    if count == 0:
-        right.unpersist()
-        return left.sparkSession.createDataFrame([], schema)
-
-    def matrix_rows(ids: pa.Array, rows: np.ndarray, class_ids: pa.Array, classes_m: np.ndarray):
-        step = max(1, MAX_SCORES // len(classes_m))
-        for start in range(0, len(rows), step):
-            scores = rows[start : start + step] @ classes_m.T
-            n, width = scores.shape
-            offsets = pa.array(np.arange(0, n * width + 1, width, dtype=np.int32))
-            labels = class_ids.take(pa.array(np.tile(np.arange(width), n)))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    ids.slice(start, n),
-                    pa.ListArray.from_arrays(offsets, labels).cast(arrow_schema.field(1).type),
-                    pa.ListArray.from_arrays(offsets, pa.array(scores.ravel())).cast(
-                        arrow_schema.field(2).type
-                    ),
-                ],
-                schema=arrow_schema,
-            )
-
-    if count * dims * 8 <= max_matrix_bytes:
-        shared = left.sparkSession.sparkContext.broadcast(_class_matrix(right, dims))
-        right.unpersist()
-
-        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            class_ids, matrix = shared.value
-            for batch in batches:
-                yield from matrix_rows(batch.column(0), _matrix(batch.column(1), dims), class_ids, matrix)
-
-        return left.mapInArrow(score, schema)
-
-    def block_rows(block: pa.Table, chunk: pa.Table) -> pa.Table:
-        block = block.sort_by("class_id")
-        if not len(block) or not len(chunk):
-            return arrow_schema.empty_table()
-        return pa.Table.from_batches(
-            matrix_rows(
-                chunk.column("item_id").combine_chunks(),
-                _matrix(chunk.column("vector"), dims),
-                block.column("class_id").combine_chunks(),
-                _matrix(block.column("vector"), dims),
-            )
-        )
-
-    return _meet_blocks(left, right, count * dims * 8, max_matrix_bytes).applyInArrow(block_rows, schema)
+    best = nearest_classes(items, classes, item_id, class_id, vector, k, max_matrix_bytes)
+    return best.select("item_id", "class_id", (F.lit(1.0) - F.col("distance")).alias("score")).where(F.col("score") >= at_least)
 
 
 def cosine_argmax(

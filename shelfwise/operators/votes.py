@@ -11,8 +11,8 @@ STRATEGIES = ("majority", "weighted")
 
 
 def join_votes(row_id: str, tfidf: DataFrame, cosine: DataFrame, answer: DataFrame) -> DataFrame:
-    """The three predictions side by side, by item."""
-    return tfidf.join(cosine, row_id).join(answer, row_id)
+    """The three predictions side by side; an item that lacks some has null votes there."""
+    return tfidf.join(cosine, row_id, "full").join(answer, row_id, "full")
 
 
 def ensemble(
@@ -26,12 +26,12 @@ def ensemble(
 
     ``majority``: the label with two or more votes, else the answer with
     confidence 1. ``weighted``: the label with the largest sum of vote weights,
-    ties to the earlier vote. Any other strategy takes the answer.
+    ties to the earlier vote. A null vote agrees with no other and has no weight. Any other strategy takes the answer.
     """
     a, b, c = F.col(tfidf), F.col(cosine), F.col(answer)
     if strategy == "majority":
         agreed = F.when((a == b) | (a == c), a).when(b == c, b)
-        n_equal = (a == b).cast("int") + (a == c).cast("int") + (b == c).cast("int")
+        n_equal = sum(F.coalesce((x == y).cast("int"), F.lit(0)) for x, y in ((a, b), (a, c), (b, c)))
         confidence = F.when(n_equal == 3, 1.0).when(n_equal == 1, 2.0 / 3.0).otherwise(1.0)
         return votes.withColumns({"final": F.coalesce(agreed, c), "confidence": confidence})
     if strategy != "weighted":
@@ -39,10 +39,13 @@ def ensemble(
     cast_votes = [(a, VOTE_WEIGHTS["tfidf"]), (b, VOTE_WEIGHTS["cosine"]), (c, VOTE_WEIGHTS["answer"])]
     # a label's score is the sum of the weights of the votes equal to it
     ranked = [
-        F.struct(
-            F.round(sum(F.when(label == other, w).otherwise(0.0) for other, w in cast_votes), 9).alias("score"),
-            F.lit(-place).alias("place"),
-            label.alias("label"),
+        F.when(
+            label.isNotNull(),
+            F.struct(
+                F.round(sum(F.when(label == other, w).otherwise(0.0) for other, w in cast_votes), 9).alias("score"),
+                F.lit(-place).alias("place"),
+                label.alias("label"),
+            ),
         )
         for place, (label, _) in enumerate(cast_votes)
     ]

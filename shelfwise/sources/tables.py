@@ -18,15 +18,15 @@ def read_csv(
     path: str,
     schema: T.StructType | str | None = None,
     sep: str = ",",
-    multi_line: bool = True,
+    multi_line: bool = False,
     encoding: str = "UTF-8",
 ) -> DataFrame:
     """CSV with a header; an empty cell, quoted or not, is a missing value.
 
     Types are inferred, by one more pass, only without a schema.
 
-    ``multi_line`` reads line breaks inside quotes right but keeps a file in one
-    task; turn it off for large files known to have none.
+    A file is split over tasks. ``multi_line`` reads line breaks inside quotes, but
+    keeps a file in one task.
     """
     reader = spark.read.options(header=True, sep=sep, multiLine=multi_line, quote='"', escape='"', encoding=encoding)
     return (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(path)

@@ -69,16 +69,16 @@ def test_brand_ways_agree(spark):
     df = spark.createDataFrame([(0, "xabcab"), (1, "ab ab"), (2, "none"), (3, "")], "i long, s string")
     from shelfwise.functions.text import strip_brand
 
-    by_array = lookup.with_brands(df, brands, "b").select("i", strip_brand("s", F.col("brands")).alias("o"))
-    by_join = lookup.strip_brand_join(df, "i", "s", brands, "b", [2, 3]).select("i", "stripped")
+    listed = F.array(*[F.lit(b) for b in ("abc", "ab", "zz")])
+    by_array = df.select("i", strip_brand("s", listed).alias("o"))
+    by_join = lookup.strip_brand_join(df, "i", "s", brands, "b").select("i", "stripped")
     assert values(by_array) == values(by_join) == [(0, "xab"), (1, " "), (2, "none"), (3, "")]
 
 
-def test_brand_limit(spark, monkeypatch):
-    monkeypatch.setattr(lookup, "MAX_BRANDS", 2)
-    brands = spark.createDataFrame([(f"b{i}",) for i in range(5)], "b string")
-    with pytest.raises(Exception, match="strip_brand_join"):
-        lookup.with_brands(spark.range(1), brands, "b").collect()
+def test_brands_of_every_length(spark):
+    brands = spark.createDataFrame([("acme",), ("zenith",)], "b string")
+    df = spark.createDataFrame([(0, "zenith tv"), (1, "acme tv")], "i long, s string")
+    assert values(lookup.strip_brand_join(df, "i", "s", brands, "b"), "i", "stripped") == [(0, " tv"), (1, " tv")]
 
 
 def test_glossary(spark):
@@ -124,17 +124,17 @@ def test_nearest_edges(spark):
         nearest.nearest_classes(items, uneven, "i", "c", "v")
 
 
-def test_similarity_blocks(spark):
+def test_similar_has_one_shape(spark):
     items = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(5)], "i long, v array<double>")
     classes = spark.createDataFrame([(c, [1.0, float(c)]) for c in range(4)], "c long, v array<double>")
-    whole = nearest.similarity_matrix(items, classes, "i", "c", "v")
-    blocks = nearest.similarity_matrix(items, classes, "i", "c", "v", max_matrix_bytes=32)
+    whole, blocks = (values(nearest.similar(items, classes, "i", "c", "v", 2, 0.5, n)) for n in (1 << 20, 32))
+    assert whole == blocks and len(whole) == 10 and all(r[2] >= 0.5 for r in whole)
 
-    def cells(df):
-        pairs = df.select("item_id", F.explode(F.arrays_zip("class_ids", "scores")).alias("z"))
-        return {(r.item_id, r.z.class_ids): round(r.z.scores, 9) for r in pairs.collect()}
 
-    assert whole.count() == 5 and len(cells(whole)) == 20 and cells(whole) == cells(blocks)
+def test_unequal_vectors_have_no_mean(spark):
+    df = spark.createDataFrame([(1, [1.0, 2.0]), (1, [1.0, 2.0, 3.0])], "c long, v array<double>")
+    with pytest.raises(Exception, match="dimensions"):
+        nearest.mean_vectors(df, "c", "v", 2).collect()
 
 
 def test_vectors(spark):
@@ -258,6 +258,23 @@ def test_majority_is_the_mode(spark):
     assert {r.final == r.answer for r in votes.ensemble(df, "answer").collect()} == {True}
 
 
+def test_votes_that_are_missing(spark):
+    one = spark.createDataFrame([(1, "x"), (2, None)], "i long, tfidf string")
+    two = spark.createDataFrame([(1, "x"), (3, "z")], "i long, cosine string")
+    three = spark.createDataFrame([(2, "y"), (3, "z")], "i long, answer string")
+    joined = votes.join_votes("i", one, two, three)
+    got = values(votes.ensemble(joined), "i", "final", "confidence")
+    assert got == [(1, "x", 2 / 3), (2, "y", 1.0), (3, "z", 2 / 3)]
+    assert values(votes.ensemble(joined, "weighted"), "i", "final", "confidence") == [(1, "x", 0.7), (2, "y", 0.3), (3, "z", 0.7)]
+
+
+def test_labels_within_groups(spark):
+    df = spark.createDataFrame([("g", "a", "a"), ("h", "b", "a")], "g string, y string, p string")
+    labels = spark.createDataFrame([("a",), ("c",)], "label string")
+    got = values(metrics.class_metrics(df, "y", "p", labels, ["g"]), "g", "label", "tp")
+    assert got == [("g", "a", 1), ("g", "c", 0), ("h", "a", 0), ("h", "c", 0)]
+
+
 def test_split_is_exact_and_complete(spark):
     df = spark.range(3000).withColumn("c", F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") < 100, "few"))
     split = baseline.stratified_split(df, "id", "c")
