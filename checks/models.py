@@ -833,17 +833,23 @@ def stream_classify(spark, sf):
     return labelling.labelled_rows(spark, f"{base}/out").drop("batch_id")
 
 
-@query("stream_batch_counts")
+@query(
+    "stream_batch_counts",
+    "SELECT event_id % 4 AS batch_id, count(*) AS n_rows FROM events GROUP BY 1",
+)
 def stream_batch_counts(spark, sf):
+    """One file per batch; the stream stops after the first two and starts again."""
     base = new_path(spark, "stream_batch_counts")
     events = table(spark, sf, "events")
-    events.repartition(8, "event_id").write.parquet(f"{base}/in")
-    stream = labelling.file_stream(spark, f"{base}/in", events.schema, files_per_batch=2)
 
     def start():
+        stream = labelling.file_stream(spark, f"{base}/in", events.schema, files_per_batch=1)
         return labelling.start_labelling(
             stream, lambda batch: batch.select("event_id", "event_type"), f"{base}/out", f"{base}/checkpoint"
         )
 
-    labelling.drain(start)
+    for last in (2, 4):
+        for i in range(last - 2, last):
+            events.where(F.col("event_id") % 4 == i).coalesce(1).write.mode("append").parquet(f"{base}/in")
+        labelling.drain(start)
     return labelling.batch_counts(spark, f"{base}/out")

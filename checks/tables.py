@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from checks.registry import (
@@ -89,6 +91,18 @@ def sink_append(spark, sf):
     return spark.read.parquet(path)
 
 
+@query("insert_select", "SELECT p_partkey, p_name, p_size FROM part WHERE p_size > 10")
+def insert_select(spark, sf):
+    """The result of a query appended to a catalog table, columns matched by name."""
+    path, name = new_path(spark, "insert_select"), f"insert_select_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE TABLE {name} (p_partkey BIGINT, p_name STRING, p_size INT) USING parquet LOCATION '{path}'")
+    part = table(spark, sf, "part")
+    tables.insert_into(part.where("p_size > 25").select("p_size", "p_name", "p_partkey"), name)
+    tables.insert_into(part.where("p_size > 10 AND p_size <= 25").select("p_name", "p_partkey", "p_size"), name)
+    spark.sql(f"DROP TABLE {name}")  # the rows stay in their folder
+    return spark.read.parquet(path)
+
+
 @query("sink_csv", "SELECT s_suppkey, s_name, s_nationkey FROM supplier")
 def sink_csv(spark, sf):
     path = new_path(spark, "sink_csv")

@@ -27,15 +27,19 @@ def apply_distinct(
     """Apply a model to each distinct text once and join the result back.
 
     ``make_predict_fn`` loads the model on the executor, once per worker, and
-    returns a function over a batch of texts. Texts are unique on the result
-    side, so a text that fills a third of the rows is one call, and its rows
+    returns a function over a batch of texts. A text is known by its
+    digest, so the join moves digests and results. They are unique on the result side, so a text that fills a third of the rows is one call, and its rows
     are split by AQE in the join.
     """
     apply = predict_batch_udf(make_predict_fn, return_type=return_type, batch_size=batch_size)
+    keyed = df.withColumn("_digest", F.sha2(F.col(text), 256))
     results = (
-        df.where(F.col(text).isNotNull()).select(text).distinct().withColumn(name, apply(F.col(text)))
+        keyed.where(F.col(text).isNotNull())
+        .select("_digest", text)
+        .dropDuplicates(["_digest"])
+        .select("_digest", apply(F.col(text)).alias(name))
     )
-    return df.join(results, text, "left")
+    return keyed.join(results, "_digest", "left").drop("_digest")
 
 
 def embed_column(

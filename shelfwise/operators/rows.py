@@ -8,12 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfwise.functions.codes import hash_hex
-from shelfwise.session import shared_dir, stored
-
-# Position ranges of one window task: at least MIN_SPAN ids wide, at most
-# MAX_SPANS of them, so neither the ranges nor their count can grow unbounded.
-MIN_SPAN = 10_000
-MAX_SPANS = 65_536
+from shelfwise.session import stored
 
 
 def rename(df: DataFrame, names: dict[str, str]) -> DataFrame:
@@ -58,31 +53,28 @@ def dedup_keep_first(df: DataFrame, keys: list[str], row_id: str) -> DataFrame:
 
 
 def with_position(df: DataFrame, order: str, name: str = "position") -> DataFrame:
-    """0-based rank by a unique integer column, without one global sort.
+    """0-based rank by a unique column.
 
-    Ids are cut into ranges; a range starts where the counts of the lower ranges
-    end, and rows are numbered within their range only.
+    The rows are sorted by ranges that follow their real distribution and written to
+    the shared folder with their slot; a rank is the slot plus the rows of the
+    partitions before. The position is read off the written layout, which a re-run of
+    the sort need not repeat.
     """
-    limits = df.agg(F.min(order).alias("low"), F.max(order).alias("high"))
-    width = F.greatest(F.lit(MIN_SPAN), F.ceil((F.col("high") - F.col("low") + 1) / MAX_SPANS))
-    cut = limits.select(F.struct("low", width.cast("long").alias("width"))).scalar()
-    ranged = (
-        df.withColumn("_cut", cut)
-        .withColumn("_range", F.floor((F.col(order) - F.col("_cut.low")) / F.col("_cut.width")))
-        .drop("_cut")
-    )
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ordered = stored(df.orderBy(order).withColumn("_slot", F.monotonically_increasing_id()), "positions")
+    # fixed layout of monotonically_increasing_id: partition above bit 33, row below
+    part = F.shiftright("_slot", 33)
+    slot = F.col("_slot").bitwiseAND((1 << 33) - 1)
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
-        ranged.groupBy("_range")
+        ordered.groupBy(part.alias("_part"))
         .agg(F.count("*").alias("_rows"))
-        .select("_range", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
+        .select("_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
     )
-    within = Window.partitionBy("_range").orderBy(order)
     return (
-        ranged.withColumn("_rank", F.row_number().over(within) - 1)
-        .join(starts, "_range")
-        .withColumn(name, (F.col("_start") + F.col("_rank")).cast("long"))
-        .drop("_range", "_rank", "_start")
+        ordered.withColumn("_part", part)
+        .join(stored(starts, "starts"), "_part")
+        .withColumn(name, (F.col("_start") + slot).cast("long"))
+        .drop("_part", "_slot", "_start")
     )
 
 
@@ -93,40 +85,13 @@ def class_ids(df: DataFrame, label: str, row_id: str) -> DataFrame:
         .groupBy(F.col(label).alias("class_name"))
         .agg(F.min(row_id).alias("first_row"))
     )
-    # numbering reads the classes several times, the rows only once
-    return with_position(stored(firsts, "classes"), "first_row", "class_id").select("class_id", "class_name")
+    return with_position(firsts, "first_row", "class_id").select("class_id", "class_name")
 
 
 def label_codes(df: DataFrame, label: str) -> DataFrame:
-    """Distinct labels numbered in sorted order: ``(label, code)``.
-
-    The sorted labels are written to the shared folder first: the position is
-    read off the partition layout, which a re-run of the sort need not repeat.
-    """
-    spark = df.sparkSession
-    shared_dir(spark)
-    ordered = (
-        df.where(F.col(label).isNotNull())
-        .select(F.col(label).alias("label"))
-        .distinct()
-        .orderBy("label")
-        .withColumn("_slot", F.monotonically_increasing_id())
-        .checkpoint()
-    )
-    # fixed layout of monotonically_increasing_id: partition above bit 33, row below
-    part = F.shiftright("_slot", 33)
-    slot = F.col("_slot").bitwiseAND((1 << 33) - 1)
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = (
-        ordered.groupBy(part.alias("_part"))
-        .agg(F.count("*").alias("_rows"))
-        .select("_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
-    )
-    return (
-        ordered.withColumn("_part", part)
-        .join(starts, "_part")
-        .select("label", (F.col("_start") + slot).cast("long").alias("code"))
-    )
+    """Distinct labels numbered in sorted order: ``(label, code)``."""
+    labels = df.where(F.col(label).isNotNull()).select(F.col(label).alias("label")).distinct()
+    return with_position(labels, "label", "code").select("label", "code")
 
 
 def batch_ids(df: DataFrame, row_id: str, size: int) -> DataFrame:

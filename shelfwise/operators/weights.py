@@ -130,8 +130,6 @@ def weighted_postings(posted: DataFrame, weights: DataFrame, options: TermOption
     this skewed on the postings side only; terms are unique on the other, so AQE
     splits the hot partitions and no build side is ever large.
     """
-    if options.max_features is None:
-        weights = weights.hint("shuffle_hash")
     return posted.join(weights, "term").withColumn("w", term_frequency(options) * F.col("weight"))
 
 

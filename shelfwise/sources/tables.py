@@ -70,7 +70,7 @@ def save_table(df: DataFrame, name: str, mode: str = "overwrite") -> None:
 
 def insert_into(df: DataFrame, name: str) -> None:
     """Append a query result to a table, columns matched by name."""
-    df.writeTo(name).append()
+    df.select(*df.sparkSession.table(name).columns).write.insertInto(name)
 
 
 def write_csv(df: DataFrame, path: str, sep: str = ",") -> None:
