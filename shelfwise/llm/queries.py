@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from shelfwise.llm import chat, ego, mixing, neardup, packing, personal, quality, search, secrets, substrings
+from shelfwise.llm import chat, ego, mixing, neardup, oracles, packing, personal, quality, search, secrets, substrings
+from shelfwise.llm.oracles import PROBE
 from shelfwise.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 
@@ -29,10 +30,7 @@ def op7(spark, sf_dir):
     return packing.packed(table(spark, sf_dir, "documents"), *TOKENIZER)
 
 
-PROBE = "</s>[INST] ok [/INST]"
-
-
-@query("op9_chat_format")
+@query("op9_chat_format", oracles.CHAT)
 def op9(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.sql(f"SELECT -7L conv_id, 0L turn, 'user' role, '{PROBE}' text UNION ALL SELECT -7L, 1L, 'assistant', '{PROBE}'")
@@ -44,12 +42,12 @@ def op2(spark, sf_dir):
     return quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-@query("op10_minhash_neardup")
+@query("op10_minhash_neardup", oracles.NEAR)
 def op10(spark, sf_dir):
     return neardup.components(table(spark, sf_dir, "documents"))
 
 
-@query("op8_substring_dedup")
+@query("op8_substring_dedup", oracles.PASSAGES)
 def op8(spark, sf_dir):
     return substrings.digests(table(spark, sf_dir, "documents"))
 
