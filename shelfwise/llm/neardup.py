@@ -3,23 +3,26 @@
 A document is the set of its five-word shingles, sampled by 128 min-hashes. Copies of
 a set are one class. The trees of the join send a class down the paths its min-hashes
 choose: a node of a tree is a sequence of (coordinate, value) pairs, and a class is
-in it if it has these values. Nodes of one class end. Small nodes are compared
-exhaustively. Large ones are compared with their smallest member, which links a
-group of copies in linear work, and only if they still hold several components they
-branch by further coordinates, chosen by a hash of the path. A pair at the threshold
-agrees on two coordinates with a chance of 0.56, so it shares no root of the 24 trees
-once in 4 * 10^8.
-
-Candidates pass a sketch filter (a pair at the threshold fails it once in 10^7) and
-are then confirmed on the full sets. Pairs that a component joins already are not
-compared again. What is shuffled: ids, 128-byte sketches of candidates, and the sets
-of classes that have candidates, once per pair.
+in it if it has these values. Nodes of one class end, small nodes are compared
+exhaustively. A large node is cut into chunks that share a few of its members and are
+compared by themselves, which joins a group of copies in linear work; if it still
+holds several components, it branches by further coordinates, chosen by a hash of the
+path. A pair at the threshold agrees on two coordinates with a chance of 0.56, so it
+shares no root of the 24 trees once in 4 * 10^8.
+
+To compare a node is to find its clusters of close sketches (a pair at the threshold
+is not close once in 10^7) and to confirm pairs on the full sets, closest first. Pairs
+of one component are not compared: the trees go in waves, and what the first ones
+join is done for the others. What is shuffled: ids, 128-byte sketches, and the sets of
+classes in clusters, once per cluster that still holds several components.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -33,11 +36,12 @@ from shelfwise.session import stored
 SHINGLE = 5
 PERCENT = 75
 TREES = 24
+WAVES = (2, 8, 24)  # trees done by the end of each wave
 COORDINATES = 128
 STEP = 2  # coordinates a root adds to a path
-SMALL = 32  # classes of a node that are compared exhaustively
+LIMIT = 256  # classes compared exhaustively
 BRANCHES = 4  # children a class may enter below a large node, of twice as many coordinates
-DEPTH = 8  # below that, what is still mixed is compared with every member of its node
+DEPTH = 12  # below that, what is still mixed is compared in full
 SKETCH_AT_LEAST = 0.55
 CHUNK_ROWS = 512
 
@@ -87,62 +91,105 @@ def _agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (same - 1 / 256) * 256 / 255
 
 
-def _sketched(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs ``(a, b)`` whose sketches are close enough."""
-    s = classes.select("rep", "sketch")
+def _groups(batches: Iterable[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """Rows of sorted batches with the same first column."""
+    rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
+    for _, own in groupby(rows, key=itemgetter(0)):
+        yield list(own)
 
-    def task(batches):
-        for b in batches:
-            if b.num_rows:
-                x, y = (
-                    np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint8).reshape(-1, COORDINATES) for i in (2, 3)
-                )
-                b = b.filter(pa.array(_agreement(x, y) >= SKETCH_AT_LEAST))
-            yield b.select([0, 1])
-
-    joined = pairs.join(s.select(F.col("rep").alias("b"), F.col("sketch").alias("sb")), "b").join(
-        s.select(F.col("rep").alias("a"), F.col("sketch").alias("sa")), "a"
-    )
-    return joined.select("a", "b", "sa", "sb").mapInArrow(task, "a long, b long")
+
+class _Union:
+    def __init__(self, items):
+        self.root = {x: x for x in items}
+
+    def find(self, x):
+        root = self.root
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    def join(self, x, y) -> bool:
+        x, y = self.find(x), self.find(y)
+        self.root[x] = y
+        return x != y
 
 
-def _list_pairs(lists: DataFrame, forest: bool) -> DataFrame:
-    """Candidate pairs within each row's ``members`` (rep, component, sketch), at most ``SMALL`` of them.
+def _close_pairs(sketches: list[bytes]) -> Iterator[tuple[int, int]]:
+    """Pairs of positions with close sketches, closest first."""
+    x = np.frombuffer(b"".join(sketches), np.uint8).reshape(-1, COORDINATES)
+    i, j = np.triu_indices(len(x), 1)
+    close = np.concatenate([_agreement(x[k], x[k + 1 :]) for k in range(len(x) - 1)] or [np.empty(0)])
+    order = np.argsort(-close, kind="stable")
+    order = order[close[order] >= SKETCH_AT_LEAST]
+    yield from zip(i[order].tolist(), j[order].tolist())
 
-    With ``forest``, the closest pairs that connect what is close enough: if they are
-    confirmed, the others add nothing. Otherwise all close pairs across components.
+
+def _clusters(rows: DataFrame) -> DataFrame:
+    """``(cluster, rep, wave)`` of lists ``(list, rep, component, sketch, wave)``: connected by close sketches.
+
+    Only clusters of several components come out. The same cluster of several lists is one.
     """
 
     def task(batches):
-        for b in batches:
-            left, right = [], []
-            for members in b.column(0).to_pylist():
-                ids = np.array([m["rep"] for m in members])
-                comp = [m["component"] for m in members]
-                x = np.frombuffer(b"".join(m["sketch"] for m in members), np.uint8).reshape(-1, COORDINATES)
-                i, j = np.triu_indices(len(ids), 1)
-                close = _agreement(x[i], x[j])
-                root = {c: c for c in comp}
-
-                def find(c):
-                    while root[c] != c:
-                        root[c] = c = root[root[c]]
-                    return c
-
-                for p in np.argsort(-close, kind="stable"):
-                    if close[p] < SKETCH_AT_LEAST:
-                        break
-                    u, v = find(comp[i[p]]), find(comp[j[p]])
-                    if u != v:
-                        if forest:
-                            root[u] = v
-                        lo, hi = sorted((int(ids[i[p]]), int(ids[j[p]])))
-                        if lo != hi:
-                            left.append(lo)
-                            right.append(hi)
-            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
-
-    return lists.select("members").mapInArrow(task, "a long, b long").distinct()
+        out: list[tuple] = []
+        for own in _groups(batches):
+            _, reps, comps, sketches, waves = zip(*own)
+            near = _Union(range(len(reps)))
+            for i, j in _close_pairs(list(sketches)):
+                near.join(i, j)
+            members: dict[int, list[int]] = {}
+            for i in range(len(reps)):
+                members.setdefault(near.find(i), []).append(i)
+            for at in members.values():
+                if len({comps[i] for i in at}) > 1:
+                    ids = sorted({reps[i] for i in at})
+                    digest = hashlib.blake2b(np.array(ids, "<i8").tobytes(), digest_size=8).digest()
+                    cluster = int.from_bytes(digest, "little", signed=True)
+                    out += [(cluster, r, waves[0]) for r in ids]
+            if len(out) >= 10_000:
+                yield _batch(out, ("cluster", "rep", "wave"))
+                out = []
+        yield _batch(out, ("cluster", "rep", "wave"))
+
+    ordered = rows.select("list", "rep", "component", "sketch", "wave").repartition("list").sortWithinPartitions("list")
+    found = ordered.mapInArrow(task, "cluster long, rep long, wave long")
+    return found.groupBy("cluster", "rep").agg(F.min("wave").alias("wave"))
+
+
+def _batch(rows: list[tuple], names: tuple[str, ...]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) if rows else [[]] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], list(names))
+
+
+def _confirmed(rows: DataFrame, percent: int) -> DataFrame:
+    """Links ``(a, b)`` that join components, of clusters ``(cluster, rep, component, sketch, n, items)``."""
+
+    def unpacked(raw: bytes) -> np.ndarray:
+        x = np.zeros((len(raw) // 6, 8), np.uint8)
+        x[:, 2:] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+        return x.view("<u8").ravel()
+
+    def task(batches):
+        out: list[tuple] = []
+        for own in _groups(batches):
+            _, reps, comps, sketches, n, items = zip(*own)
+            joined, sets = _Union(comps), [unpacked(x) for x in items]
+            for i, j in _close_pairs(list(sketches)):
+                if joined.find(comps[i]) == joined.find(comps[j]) or min(n[i], n[j]) * 100 < percent * max(n[i], n[j]):
+                    continue
+                both = np.concatenate([sets[i], sets[j]])
+                both.sort(kind="stable")
+                common = int((both[1:] == both[:-1]).sum())
+                if 100 * common >= percent * (n[i] + n[j] - common):
+                    joined.join(comps[i], comps[j])
+                    out.append((reps[i], reps[j]))
+            if len(out) >= 10_000:
+                yield _batch(out, ("a", "b"))
+                out = []
+        yield _batch(out, ("a", "b"))
+
+    ordered = rows.select("cluster", "rep", "component", "sketch", "n", "items").repartition("cluster")
+    return ordered.sortWithinPartitions("cluster").mapInArrow(task, "a long, b long")
 
 
 def _sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -160,143 +207,103 @@ def _sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFr
     return d.join(ids, "rep", "left_semi").mapInArrow(task, "rep long, n long, items binary")
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose full sets reach the threshold."""
-
-    def unpacked(raw: bytes) -> np.ndarray:
-        x = np.zeros((len(raw) // 6, 8), np.uint8)
-        x[:, 2:] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
-        return x.view("<u8").ravel()
-
-    def task(batches):
-        for b in batches:
-            good = []
-            for na, nb, sa, sb in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4), b.column(5)):
-                if min(na, nb) * 100 < percent * max(na, nb):
-                    good.append(False)
-                    continue
-                both = np.concatenate([unpacked(sa.as_py()), unpacked(sb.as_py())])
-                both.sort(kind="stable")
-                common = int((both[1:] == both[:-1]).sum())
-                good.append(100 * common >= percent * (na + nb - common))
-            yield b.select([0, 1]).filter(pa.array(good, pa.bool_()))
-
-    left = sets.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("items").alias("sa"))
-    right = sets.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("items").alias("sb"))
-    joined = pairs.join(right, "b").join(left, "a").select("a", "b", "na", "nb", "sa", "sb")
-    return joined.mapInArrow(task, "a long, b long")
-
-
 def components(docs: DataFrame, id_col="doc_id", text_col="text", percent=PERCENT) -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)`` of every row.
 
     Texts without words, null texts and null ids link with nothing. Rows that repeat an
     id are one node. An empty table gives no rows.
     """
+    spark = docs.sparkSession
     a = stored(described(docs, id_col, text_col), "near-described")
     linkable = a.filter("n > 0 AND doc_id IS NOT NULL")
     reps = stored(linkable.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep")), "near-classes")
     classes = stored(
         linkable.join(reps, ["f1", "f2"]).filter("doc_id = rep").select("rep", "sig", "sketch"), "near-reps"
     )
+    sketches = classes.select("rep", "sketch")
+    found = spark.createDataFrame([], "rep long, component long")
+    links = spark.createDataFrame([], "a long, b long")
+    sets = spark.createDataFrame([], "rep long, n long, items binary")
+
+    def with_component(rows):
+        return rows.join(found, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+
+    def several(rows, key):
+        """Rows of keys that hold several components."""
+        open_ = rows.groupBy(key).agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi")
+        return rows.join(open_.select(key), key, "left_semi")
+
+    def lists(inside):
+        """Members of nodes, large ones in chunks that share four members; equal lists are one."""
+        large = F.col("size") > LIMIT
+        chunks = F.when(large, F.ceil(F.col("size") / (LIMIT // 2))).otherwise(1)
+        shared = F.array("p1", "p2", "p3", "p4")
+        own = inside.select("key", "wave", "rep", F.pmod(F.xxhash64("rep"), chunks).alias("chunk"))
+        first = inside.filter(large).groupBy("key", "wave").agg(
+            F.first("size").alias("size"), *[F.first(c).alias(c) for c in ("p1", "p2", "p3", "p4")]
+        )
+        every = first.select("key", "wave", "p1", "p2", "p3", "p4", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)).alias("chunk"))
+        rows = own.unionByName(every.select("key", "wave", F.explode(shared).alias("rep"), "chunk"))
+        grouped = rows.groupBy("key", "chunk").agg(F.array_sort(F.collect_set("rep")).alias("ids"), F.min("wave").alias("wave"))
+        distinct = grouped.filter(F.size("ids") > 1).groupBy("ids").agg(F.min("wave").alias("wave"))
+        return distinct.select(F.xxhash64("ids").alias("list"), "wave", F.explode("ids").alias("rep"))
+
+    def confirm(clusters):
+        nonlocal found, links
+        rows = several(with_component(clusters.select("cluster", "rep")), "cluster")
+        new = stored(_confirmed(rows.join(sketches, "rep").join(sets, "rep"), percent), "near-links")
+        if not new.isEmpty():
+            links = links.unionByName(new)
+            found = stored(connected(links, "near-edges").withColumnRenamed("id", "rep"), "near-components")
 
     def value(c):
         return F.substring("sig", c * 4 + 1, F.lit(4))
 
+    def wave_of(t):
+        return next(i for i, upto in enumerate(WAVES) if t < upto)
+
     roots = F.array(*[
-        F.xxhash64(F.lit(t), *[value(F.lit(t * STEP + i)) for i in range(STEP)]) for t in range(TREES)
+        F.struct(
+            F.xxhash64(F.lit(t), *[value(F.lit(t * STEP + i)) for i in range(STEP)]).alias("key"),
+            F.lit(wave_of(t)).cast("long").alias("wave"),
+        )
+        for t in range(TREES)
     ])
-    members = classes.select("rep", F.explode(roots).alias("key"))
-    links, tested, found, sets = None, None, None, None
-
+    members = classes.select("rep", F.explode(roots).alias("k")).select("rep", "k.key", "k.wave")
     for depth in range(DEPTH + 1):
-        nodes = members.groupBy("key").agg(F.count("*").alias("size"), F.min("rep").alias("pivot"), F.max("rep").alias("top"))
-        if found is None:
-            inside = members.join(nodes.filter("pivot <> top"), "key").withColumn("component", F.col("rep"))
+        known = with_component(members) if depth else members.withColumn("component", F.col("rep"))
+        by_hash = F.xxhash64("rep")
+        nodes = known.groupBy("key").agg(
+            F.count("*").alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi"),
+            F.min("rep").alias("p1"), F.max("rep").alias("p2"), F.min_by("rep", by_hash).alias("p3"), F.max_by("rep", by_hash).alias("p4"),
+        ).filter("lo <> hi").drop("lo", "hi")
+        inside = stored(known.join(nodes, "key").drop("component"), "near-inside")
+        last = depth == DEPTH
+        listed = lists(inside) if not last else inside.select(F.col("key").alias("list"), "wave", "rep")
+        clusters = stored(_clusters(with_component(listed).join(sketches, "rep")), "near-clusters")
+        missing = clusters.select("rep").distinct().join(sets.select("rep"), "rep", "left_anti")
+        missing = stored(missing, "near-missing")
+        if not missing.isEmpty():
+            sets = sets.unionByName(stored(_sets(docs, missing, id_col, text_col), "near-sets"))
+        if depth:
+            confirm(clusters)
         else:
-            known = members.join(found.withColumnRenamed("id", "rep"), "rep", "left")
-            known = known.withColumn("component", F.coalesce("component", "rep"))
-            nodes = known.groupBy("key").agg(
-                F.count("*").alias("size"), F.min("rep").alias("pivot"),
-                F.min("component").alias("one"), F.max("component").alias("other"),
-            ).filter("one <> other")  # a node of one component is done
-            inside = known.join(nodes, "key")
-        inside = stored(inside.select("key", "rep", "size", "pivot", "component"), "near-inside")
-        lists = stored(
-            inside.filter(F.col("size") <= SMALL).groupBy("key")
-            .agg(F.array_sort(F.collect_set("rep")).alias("ids")).select("ids").distinct()
-            .withColumn("list", F.xxhash64("ids")),
-            "near-lists",
-        )
-        large = inside.filter(F.col("size") > SMALL)
-
-        def listed(comp, lists=lists):
-            one = F.struct("rep", "component", "sketch")
-            rows = lists.select("list", F.explode("ids").alias("rep")).join(classes.select("rep", "sketch"), "rep")
-            if comp is None:
-                rows = rows.withColumn("component", F.col("rep"))
-            else:
-                rows = rows.join(comp.withColumnRenamed("id", "rep"), "rep", "left").withColumn(
-                    "component", F.coalesce("component", "rep")
-                )
-            grouped = rows.groupBy("list").agg(F.collect_list(one).alias("members"))
-            return grouped.filter(F.size(F.array_distinct("members.component")) > 1)
-
-        stars = _sketched(
-            large.filter("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct(), classes
-        )
-        pairs = stored(_list_pairs(listed(found), found is None).unionByName(stars).distinct(), "near-pairs")
-        if sets is None:
-            ids = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).union(large.select("rep")).distinct()
-            sets = stored(_sets(docs, ids, id_col, text_col), "near-sets")
-            tested, links = pairs, stored(_confirmed(pairs, sets, percent), "near-links")
-            found = stored(connected(links, "near-edges"), "near-components")
-            pairs = stored(
-                _list_pairs(listed(found), False).join(tested, ["a", "b"], "left_anti"), "near-pairs"
-            )
-        else:
-            pairs = stored(pairs.join(tested, ["a", "b"], "left_anti"), "near-pairs")
-        if not pairs.isEmpty():
-            ids = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
-            ids = stored(ids.join(sets.select("rep"), "rep", "left_anti"), "near-ids")
-            if not ids.isEmpty():
-                sets = sets.unionByName(stored(_sets(docs, ids, id_col, text_col), "near-sets"))
-            tested = tested.unionByName(pairs)
-            links = links.unionByName(stored(_confirmed(pairs, sets, percent), "near-links"))
-            found = stored(connected(links, "near-edges"), "near-components")
-        # large nodes that still hold several components go on
-        mixed = large.select("key", "rep").join(found.withColumnRenamed("id", "rep"), "rep", "left").withColumn(
-            "component", F.coalesce("component", "rep")
-        )
-        still = mixed.groupBy("key").agg(F.min("component").alias("one"), F.max("component").alias("other")).filter("one <> other")
-        mixed = stored(mixed.join(still, "key", "left_semi"), "near-mixed")
-        if mixed.isEmpty():
-            break
-        if depth == DEPTH:
-            # the smaller components of a node against all its other members
-            sizes = mixed.groupBy("key", "component").agg(F.count("*").alias("n"))
-            main = sizes.groupBy("key").agg(F.max_by("component", "n").alias("main"))
-            minor = mixed.join(main, "key").filter("component <> main").select("key", F.col("rep").alias("x"), F.col("component").alias("cx"))
-            rest = mixed.join(minor, "key").filter("component <> cx").select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b"))
-            pairs = stored(_sketched(rest.distinct(), classes).join(tested, ["a", "b"], "left_anti"), "near-pairs")
-            ids = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
-            more = stored(_sets(docs, ids.join(sets.select("rep"), "rep", "left_anti"), id_col, text_col), "near-sets")
-            links = links.unionByName(stored(_confirmed(pairs, sets.unionByName(more), percent), "near-links"))
-            found = stored(connected(links, "near-edges"), "near-components")
+            for w in range(len(WAVES)):
+                confirm(clusters.filter(F.col("wave") == w))
+        large = with_component(inside.filter(F.col("size") > LIMIT).select("key", "rep", "wave"))
+        mixed = stored(several(large, "key").select("key", "rep", "wave"), "near-mixed")
+        if last or mixed.isEmpty():
             break
+
         def picked(child, i):
             return F.pmod(F.xxhash64("key", F.lit(child), F.lit(i)), F.lit(COORDINATES)).cast("int")
 
         paths = F.array(*[
             F.xxhash64("key", F.lit(j), *[value(picked(j, i)) for i in range(2 * STEP)]) for j in range(BRANCHES)
         ])
-        members = mixed.select("key", "rep").join(classes.select("rep", "sig"), "rep").select(
-            "rep", F.explode(paths).alias("key")
-        ).distinct()
+        members = mixed.join(classes.select("rep", "sig"), "rep").select("rep", F.explode(paths).alias("key"), "wave").distinct()
 
-    out = a.select("doc_id", "n", "f1", "f2").join(reps, ["f1", "f2"], "left").join(
-        found.withColumnRenamed("id", "rep"), "rep", "left"
-    )
+    out = a.select("doc_id", "n", "f1", "f2").join(reps, ["f1", "f2"], "left").join(found, "rep", "left")
     own = F.when(F.col("n") > 0, F.coalesce("component", "rep"))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce(own, F.col("doc_id")))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn(
