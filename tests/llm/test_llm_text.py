@@ -348,10 +348,11 @@ def test_near_odd_rows(odd, none):
     assert rows(neardup.components(none)) == []
 
 
-def test_near_large_nodes(spark, monkeypatch):
+@pytest.mark.parametrize("limit, depth", [(4, 2), (256, 12)])
+def test_near_large_nodes(spark, monkeypatch, limit, depth):
     """Chains and stars of near copies, with nodes too large to compare exhaustively."""
-    monkeypatch.setattr(neardup, "SMALL", 4)
-    monkeypatch.setattr(neardup, "DEPTH", 3)
+    monkeypatch.setattr(neardup, "LIMIT", limit)
+    monkeypatch.setattr(neardup, "DEPTH", depth)
     base = [f"b{i}" for i in range(120)]
     texts = []
     for i in range(40):  # each differs from the next in a few words: a chain
