@@ -406,7 +406,7 @@ def test_csv_keeps_text(spark, tmp_path):
         path = str(tmp_path / f"t{ord(sep)}.csv")
         tables.write_csv(df, path, sep)
         missing = df.withColumn("t", F.nullif("t", F.lit("")))
-        assert values(tables.load_table(spark, path, df.schema, sep=sep)) == values(missing)
+        assert values(tables.load_table(spark, path, df.schema, sep=sep, multi_line=True)) == values(missing)
     with pytest.raises(ValueError, match="xlsx"):
         tables.load_table(spark, "/x/taxonomy.xlsx")
 
