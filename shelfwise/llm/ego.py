@@ -200,7 +200,8 @@ def links(vectors: DataFrame, id_col="vec_id", vec_col="embedding", cosine=COSIN
     apart = F.exists(F.arrays_zip(F.col("i.lo").alias("a"), F.col("i.hi").alias("b"), F.col("j.lo").alias("c"), F.col("j.hi").alias("d")),
                      lambda z: (z["a"] - z["d"] > epsilon) | (z["c"] - z["b"] > epsilon))
     near = by_cell("i", epsilon).join(by_cell("j", epsilon), "cell").filter("i.block <= j.block").filter(~apart)
-    near = near.select(F.col("i.block").alias("i"), F.col("j.block").alias("j")).distinct()
+    near = stored(near.select(F.col("i.block").alias("i"), F.col("j.block").alias("j")).distinct(), "ego-near")
+    few = max(1, near.count() // 4)  # pairs of some MB each: a handful per task
 
     def named(side):
         data = [F.col(c).alias(side + c) for c in ("reps", "ms", "xs", "ps")]
@@ -232,7 +233,7 @@ def links(vectors: DataFrame, id_col="vec_id", vec_col="embedding", cosine=COSIN
                 )
 
     linked = stored(
-        pairs.select("i", "j", *[s + c for s in "ij" for c in ("reps", "ms", "xs", "ps")]).repartition("i", "j")
+        pairs.select("i", "j", *[s + c for s in "ij" for c in ("reps", "ms", "xs", "ps")]).repartition(few, "i", "j")
         .mapInArrow(join, "rep long, n long, to long"),
         "ego-linked",
     )
