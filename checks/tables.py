@@ -236,12 +236,12 @@ def clean_titles(spark, sf):
 @query(
     "vector_to_wide",
     "SELECT vec_id, "
-    + ", ".join(f"round(embedding[{i + 1}]::DOUBLE, 6) AS embed_{i}" for i in range(8))
+    + ", ".join(f"round(embedding[{i + 1}]::DOUBLE, 6) AS embed_{i}" for i in range(64))
     + " FROM embeddings",
 )
 def vector_to_wide(spark, sf):
     wide = table(spark, sf, "embeddings").select("vec_id", *vectors.to_wide("embedding", 64))
-    return wide.select("vec_id", *[F.round(F.col(f"embed_{i}").cast("double"), 6).alias(f"embed_{i}") for i in range(8)])
+    return wide.select("vec_id", *[F.round(F.col(f"embed_{i}").cast("double"), 6).alias(f"embed_{i}") for i in range(64)])
 
 
 @query(

@@ -7,7 +7,8 @@ that table once; neither items and classes nor documents are ever paired up.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import json
+from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,11 +48,16 @@ class CentroidModel:
     def save(self, path: str) -> None:
         self.terms.write.mode("overwrite").parquet(f"{path}/terms")
         self.classes.write.mode("overwrite").parquet(f"{path}/classes")
+        spark, text = self.terms.sparkSession, json.dumps(asdict(self.options))
+        spark.range(1).select(F.lit(text).alias("options")).write.mode("overwrite").parquet(f"{path}/options")
 
     @classmethod
-    def load(cls, spark: SparkSession, path: str, options: TermOptions) -> CentroidModel:
+    def load(cls, spark: SparkSession, path: str) -> CentroidModel:
+        """The model with the options it was fitted with."""
         read = spark.read.parquet
-        return cls(read(f"{path}/terms"), read(f"{path}/classes"), options)
+        kept = json.loads(read(f"{path}/options").first()["options"])
+        kept = {**kept, "ngram_range": tuple(kept["ngram_range"]), "stopwords": tuple(kept["stopwords"])}
+        return cls(read(f"{path}/terms"), read(f"{path}/classes"), TermOptions(**kept))
 
     def centroids(self) -> DataFrame:
         """Unit centroids: ``(class_name, term, w)``."""
@@ -95,7 +101,7 @@ def _model(terms: DataFrame, classes: DataFrame, options: TermOptions) -> Centro
     # a class whose documents have no term at all keeps a place, with length null
     known = classes.select("class_id", "class_name").join(lengths, "class_id", "left")
     known.write.parquet(f"{path}/classes")
-    return CentroidModel.load(spark, path, options)
+    return CentroidModel(spark.read.parquet(f"{path}/terms"), spark.read.parquet(f"{path}/classes"), options)
 
 
 def fit_tfidf(

@@ -223,7 +223,8 @@ def test_saved_model(spark, tmp_path):
     options = TermOptions((1, 2))
     model = centroid.fit_icf_tdcb(docs(spark), "i", "t", "c", options)
     model.save(str(tmp_path))
-    again = centroid.CentroidModel.load(spark, str(tmp_path), options)
+    again = centroid.CentroidModel.load(spark, str(tmp_path))
+    assert again.options == options
     first, second = (values(centroid.predict(m, docs(spark), "i", "t")) for m in (model, again))
     assert first == second
     assert {r[0]: r[2] for r in first} == {0: "tea", 1: "tea", 2: "coffee", 3: "coffee", 4: "tea", 5: "other"}
