@@ -39,8 +39,8 @@ TREES = 24
 WAVES = (2, 8, 24)  # trees done by the end of each wave
 COORDINATES = 128
 STEP = 2  # coordinates a root adds to a path
-LIMIT = 256  # classes compared exhaustively
-BRANCHES = 4  # children a class may enter below a large node, of twice as many coordinates
+LIMIT = 1024  # classes compared exhaustively
+BRANCHES = 3  # children a class may enter below a large node, of twice as many coordinates
 DEPTH = 12  # below that, what is still mixed is compared in full
 SKETCH_AT_LEAST = 0.55
 CHUNK_ROWS = 512
@@ -173,10 +173,13 @@ def _confirmed(rows: DataFrame, percent: int) -> DataFrame:
         out: list[tuple] = []
         for own in _groups(batches):
             _, reps, comps, sketches, n, items = zip(*own)
-            joined, sets = _Union(comps), [unpacked(x) for x in items]
+            joined, sets = _Union(comps), {}
             for i, j in _close_pairs(list(sketches)):
                 if joined.find(comps[i]) == joined.find(comps[j]) or min(n[i], n[j]) * 100 < percent * max(n[i], n[j]):
                     continue
+                for k in (i, j):
+                    if k not in sets:
+                        sets[k] = unpacked(items[k])
                 both = np.concatenate([sets[i], sets[j]])
                 both.sort(kind="stable")
                 common = int((both[1:] == both[:-1]).sum())
