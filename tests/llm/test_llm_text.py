@@ -348,7 +348,7 @@ def test_near_odd_rows(odd, none):
     assert rows(neardup.components(none)) == []
 
 
-@pytest.mark.parametrize("limit, depth", [(4, 2), (256, 12)])
+@pytest.mark.parametrize("limit, depth", [(4, 2), (1024, 12)])
 def test_near_large_nodes(spark, monkeypatch, limit, depth):
     """Chains and stars of near copies, with nodes too large to compare exhaustively."""
     monkeypatch.setattr(neardup, "LIMIT", limit)
