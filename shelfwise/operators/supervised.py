@@ -50,6 +50,10 @@ class SvmOptions:
 
 
 
+# Training passes over the rows many times: no more tasks than are worth a launch.
+ROWS_PER_TASK = 10_000
+
+
 def forest_terms(stopwords: Sequence[str]) -> TermOptions:
     return TermOptions((1, 3), 2, 0.95, 10_000, True, tuple(stopwords))
 
@@ -169,7 +173,11 @@ def _train(
         if len(indexer.labels) < 2:
             fitted.constants[level] = indexer.labels[0]
             continue
-        labelled = indexer.transform(rows.join(weights, level)).select("features", "_label", "weight")
+        labelled = (
+            indexer.transform(rows.join(weights, level))
+            .select("features", "_label", "weight")
+            .coalesce(max(1, n_rows // ROWS_PER_TASK))
+        )
         fitted.models[level] = estimator(n_rows).fit(labelled)
     vectors.unpersist()
     return fitted
