@@ -204,6 +204,32 @@ def test_boosted_candidates(spark):
     assert not any(f":{t.index('$') + 2}:" in r["spans"] for t, r in zip(texts[:400], found))
 
 
+def test_rare_candidates(spark):
+    """Trees are fitted when the whole corpus holds enough positives, however many documents have none."""
+    texts = [f"plain text {i}" for i in range(40_000)]
+    texts[::400] = [f"call me: +49 30 55{i:05d} soon, paid $ 12{i:06d}" for i in range(100)]
+    texts[7] = "call me: 49 30 7712345 soon"
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = personal.fit(docs)
+    assert model.trees is not None and 0 < model.threshold <= 1
+    assert model.spans(texts[7], personal.base_spans(texts[7])) == [(9, 22)]
+
+
+def test_bounded_draws(spark, monkeypatch):
+    """Draws are even and bounded; a candidate's score keeps to how many there are of each label."""
+    import numpy as np
+
+    seen, x, y = [], np.zeros((2000, 1)), np.repeat([0.0, 1.0], 1000)
+    model = personal.Model.fit(x, y, (9000, 1000))
+    assert model.trees.predict(x[:1])[0] == pytest.approx(0.1, abs=0.01)
+    monkeypatch.setattr(personal, "FIT_ROWS", 120)
+    monkeypatch.setattr(personal.Model, "fit", lambda x, y, n: seen.append((len(x), y.sum(), n)))
+    texts = [f"call +49 30 55{i:05d} or 12{i:06d} or 13{i:06d}" for i in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    personal.fit(docs), personal.fit(docs.coalesce(1))
+    assert seen == [(120, 60, (600, 300))] * 2
+
+
 def test_boosting():
     import numpy as np
 
