@@ -1,7 +1,8 @@
 """Secret scans: fixed formats, and a battery of randomness tests for everything else.
 
 Fixed formats give the base spans. Any other run of 20 or more characters of the
-base64 alphabets is a candidate. Its encoding is inferred (hex, base32, base64), and
+base64 alphabets is a candidate, with the equals signs that pad it; those before it end
+a name, so the value of ``name=value`` is a candidate of its own. Its encoding is inferred (hex, base32, base64), and
 three tests ask whether it looks drawn from that alphabet: chi-squared uniformity,
 runs above and below the middle of the alphabet, and serial correlation. Those that
 pass get the chance p that a token of prose, whose letters repeat as often as in a
@@ -25,7 +26,7 @@ ASSIGN = (
 )
 ACCESS = r"AKIA[A-Z0-9]{16,}"  # as AKIA[A-Z0-9]+ of 20 characters or more
 HEX = r"[0-9a-f]{24,}"  # as [0-9a-f]+ of 24 characters or more
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+CANDIDATE = r"[A-Za-z0-9+/_-]{20,}={0,6}"  # base32 pads with up to six
 KINDS = ("assign", "access", "hex", "random")
 
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

@@ -136,6 +136,16 @@ def test_secrets(spark, none):
     assert rows(secrets.report(none)) == []
 
 
+def test_secrets_after_a_name(spark):
+    """The unquoted value of name=value is tested without its name, with its padding."""
+    value = "hT9xQ2vLmZ8kRw4YbN7cPq1sJd6fGa3eUo5iXpKt"
+    names = ["client_key=", "https://ex.org/a?sig=", "export X=", "a_very_long_name_of_a_key="]
+    texts = [f"see {n}{value}== end" for n in names] + ["x=" + "the_" * 10]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: r["spans"] for r in rows(secrets.report(docs))}
+    assert found == {i: f"random:{4 + len(n)}:{46 + len(n)}" for i, n in enumerate(names)} | {4: ""}
+
+
 def test_secret_tables(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     found = {r["doc_id"]: r for r in rows(secrets.report(docs))}
