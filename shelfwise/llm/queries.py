@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
-from shelfwise.llm import chat, ego, mixing, neardup, oracles, packing, personal, quality, search, secrets, substrings
+from shelfwise.llm import (
+    centroids, chat, ego, lattice, mixing, neardup, negatives, oracles, packing, personal, quality, search, secrets, substrings,
+)
 from shelfwise.llm.oracles import PROBE
 from shelfwise.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 
@@ -13,6 +16,8 @@ from shelfwise.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401
 TOKENIZER = (
     public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN,
 )
+# pieces with scores
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 @query("op3_mix_sources")
@@ -65,3 +70,19 @@ def op4(spark, sf_dir):
 @query("op6_personal_data")
 def op6(spark, sf_dir):
     return personal.report(table(spark, sf_dir, "documents"))
+
+
+@query("op11_hard_negatives", negatives.ORACLE)
+def op11(spark, sf_dir):
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mined(table(spark, sf_dir, "embeddings").withColumn("label", moved))
+
+
+@query("op12_centroid_clusters", centroids.ORACLE)
+def op12(spark, sf_dir):
+    return centroids.clustered(table(spark, sf_dir, "embeddings"))
+
+
+@query("op13_lattice_score")
+def op13(spark, sf_dir):
+    return lattice.scored(table(spark, sf_dir, "documents"), PIECES)
