@@ -400,3 +400,21 @@ def test_near_large_nodes(spark, monkeypatch, limit, depth):
         w[i * 3] = "z"
         texts.append(" ".join(w))
     same_near(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+
+
+def test_near_pairs_in_a_half_similar_group(spark, monkeypatch):
+    """Isolated pairs just above the limit, among texts that are all 0.70 alike, are found below large nodes."""
+    monkeypatch.setattr(neardup, "LIMIT", 32)
+    monkeypatch.setattr(neardup, "DEPTH", 3)
+    monkeypatch.setattr(neardup, "WAVES", (2, 24))
+    common = " ".join(f"c{i}" for i in range(74))
+    texts = []
+    for i in range(100):
+        own = [f"o{i}x{k}" for k in range(15)]
+        texts.append(" ".join([common, *own]))
+        if i % 5 == 0:  # 73 of 97 shingles in common, against 70 of 100 with all others
+            texts.append(" ".join([common, *own[:3], *[f"p{i}x{k}" for k in range(12)]]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = rows(neardup.components(docs))
+    assert sum(not r["kept"] for r in found) == 20  # the recall at the limit is 1 here
+    same_near(docs)
