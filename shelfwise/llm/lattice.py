@@ -8,16 +8,17 @@ probability is the product over its words, then the end. Every distinct word is
 once, whatever the number of texts it is in.
 
 Texts are packed into blocks where they are read: the distinct words of a block and, per
-text, positions among these with counts. Words are counted and looked up once per block
-they occur in, so that a frequent word is one row per block and not per text, and the
-blocks get back the counts and scores of their own words. Vocabularies never leave the
-shuffles; the fitted model has one number per piece.
+text, sorted places among these with counts, compressed. Words are counted and looked up
+once per block they occur in, so that a frequent word is one row per block and not per
+text, and the blocks get back the counts and scores of their own words. Vocabularies never
+leave the shuffles; the fitted model has one number per piece.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
+import zlib
+from collections import Counter, defaultdict
 from collections.abc import Callable, Iterable
 
 import ahocorasick
@@ -28,18 +29,17 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.llm.common import WORDS, shared_value
+from shelfwise.llm.common import shared_value
 from shelfwise.session import stored
 
 HELD_OUT = 10
 SMOOTH = 0.1  # added to the count of every word
 PRIOR = 32_000.0  # piece counts that the vocabulary's own scores are worth
-BLOCK_CHARS = 4 << 20
+BLOCK_BYTES = 32 << 20  # of texts: larger blocks ask for a frequent word less often
 PART = 33  # bits of a block's number within its task
 SPACE = "▁"  # how the vocabulary writes the start of a word
 UNUSED = -1e8  # pieces with such scores are in the file but never used
-LOWER = str.maketrans({c: c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"})
-BLOCKS = "block long, doc_id array<long>, held_out array<boolean>, n_tokens array<long>, starts array<long>, at binary, tf binary, words array<string>, train array<long>"
+BLOCKS = "block long, doc_id array<long>, held_out array<boolean>, n_tokens array<long>, starts array<long>, entries binary, words array<binary>, train array<long>"
 
 
 def held_out(id_col: str, parts: int) -> Column:
@@ -87,19 +87,19 @@ class Lattice:
     def __getstate__(self):
         return self.__dict__ | {"automaton": None}
 
-    def score(self, word: str) -> float:
+    def score(self, raw: bytes) -> float:
         """log10 of the probability that the word's pieces spell it, in any way."""
         if self.automaton is None:
             self.automaton = ahocorasick.Automaton()
             for p, w in self.pieces.items():
                 self.automaton.add_word(p, (len(p), w))
             self.automaton.make_automaton()
-        text = SPACE + word
+        text = SPACE + raw.decode("utf-8", "surrogateescape")
         forward = [0.0] + [-math.inf] * len(text)
         matches = self.automaton.iter(text)
         match = next(matches, None)
         for j, c in enumerate(text):
-            spelled = sum(self.bytes[b] for b in c.encode("utf-8", "surrogatepass"))
+            spelled = sum(self.bytes[b] for b in c.encode("utf-8", "surrogateescape"))
             arcs = [forward[j] + spelled]
             while match is not None and match[0] == j:
                 length, w = match[1]
@@ -114,45 +114,63 @@ class Lattice:
 def _blocks(docs: DataFrame, id_col: str, text_col: str, parts: int) -> DataFrame:
     types = [
         pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.list_(pa.int64()),
-        pa.binary(), pa.binary(), pa.list_(pa.string()), pa.list_(pa.int64()),
+        pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int64()),
     ]
     names = [c.split()[0] for c in BLOCKS.split(", ")]
 
-    def packed(number: int, rows: list[tuple]) -> pa.RecordBatch:
-        place: dict[str, int] = {}
-        at, tf, starts, train = [], [], [0], Counter()
-        for _, held, words in rows:
-            counts = Counter(words)
-            own = [place.setdefault(w, len(place)) for w in counts]
-            at += own
-            tf += counts.values()
-            starts.append(len(at))
-            if not held:
-                train.update(dict(zip(own, counts.values())))
-        cells = [
-            number, [r[0] for r in rows], [r[1] for r in rows], [len(r[2]) + 1 for r in rows], starts,
-            np.array(at, "<i4").tobytes(), np.array(tf, "<i4").tobytes(), list(place), [train[i] for i in range(len(place))],
-        ]
-        return pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(cells, types)], names)
+    class Packer:
+        def __init__(self):
+            self.place: defaultdict[bytes, int] = defaultdict()
+            self.place.default_factory = self.place.__len__
+            self.ids, self.held, self.tokens, self.at, self.tf, self.size = [], [], [], [], [], 0
+
+        def add(self, key, held: bool, raw: bytes) -> None:
+            found = raw.lower().split()  # of bytes: A-Z only, and at the six ASCII spaces only
+            at, tf = np.unique(np.array(list(map(self.place.__getitem__, found)), np.int32), return_counts=True)
+            self.ids.append(key)
+            self.held.append(held)
+            self.tokens.append(len(found) + 1)
+            self.at.append(at)
+            self.tf.append(tf.astype(np.int32))
+            self.size += len(raw)
+
+        def batch(self, number: int) -> pa.RecordBatch:
+            starts = np.cumsum([0, *map(len, self.at)])
+            train = np.zeros(len(self.place), np.int64)
+            for at, tf, held in zip(self.at, self.tf, self.held):
+                if not held:
+                    train[at] += tf
+            cells = [number, self.ids, self.held, self.tokens, starts, _squeezed(self.at, self.tf), list(self.place), train]
+            return pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(cells, types)], names)
 
     def task(batches: Iterable[pa.RecordBatch]):
-        number, rows, size = TaskContext.get().partitionId() << PART, [], 0
+        number, packer = TaskContext.get().partitionId() << PART, Packer()
         for b in batches:
             for key, held, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
-                text = (raw.as_py() or b"").decode("utf-8", "replace")
-                rows.append((key, held, WORDS(text.translate(LOWER))))
-                size += len(text)
-                if size >= BLOCK_CHARS:
-                    yield packed(number, rows)
-                    number, rows, size = number + 1, [], 0
-        if rows:
-            yield packed(number, rows)
+                packer.add(key, held, raw.as_py() or b"")
+                if packer.size >= BLOCK_BYTES:
+                    yield packer.batch(number)
+                    number, packer = number + 1, Packer()
+        if packer.ids:
+            yield packer.batch(number)
 
     return docs.select(
         F.col(id_col).cast("long").alias("doc_id"), held_out(id_col, parts).alias("held"), F.col(text_col).cast("binary").alias("raw")
     ).mapInArrow(task, BLOCKS)
 
 
+def _squeezed(at: list[np.ndarray], tf: list[np.ndarray]) -> bytes:
+    """Sorted places as steps from one to the next, then counts."""
+    steps = [np.diff(x, prepend=np.int32(0)) for x in at]
+    return zlib.compress(np.concatenate([np.empty(0, np.int32), *steps, *tf]).astype("<i4").tobytes(), 1)
+
+
+def _loosened(entries: bytes, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    steps, tf = np.split(np.frombuffer(zlib.decompress(entries), "<i4"), 2)
+    upto = np.concatenate([[0], np.cumsum(steps, dtype=np.int64)])
+    return upto[1:] - np.repeat(upto[starts[:-1]], np.diff(starts)), tf
+
+
 def _piece_counts(words: DataFrame, vocabulary: Vocabulary) -> dict[int, int]:
     """How often the pieces are in the training words; a row per piece comes back."""
     shared = shared_value(words.sparkSession, vocabulary)
@@ -160,7 +178,8 @@ def _piece_counts(words: DataFrame, vocabulary: Vocabulary) -> dict[int, int]:
     def task(batches: Iterable[pa.RecordBatch]):
         segment, found = shared().segmenter(), Counter()
         for b in batches:
-            for ids, c in zip(segment(b.column(0).to_pylist()), b.column(1).to_pylist()):
+            words = [w.decode("utf-8", "replace") for w in b.column(0).to_pylist()]
+            for ids, c in zip(segment(words), b.column(1).to_pylist()):
                 for i in ids:
                     found[i] += c
         yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.int64())], ["piece", "c"])
@@ -188,7 +207,7 @@ def _scored_words(words: DataFrame, lattice: Lattice) -> DataFrame:
             logp = pa.array([model.score(w) for w in b.column(0).to_pylist()], pa.float64())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), logp], ["word", "c", "logp"])
 
-    return words.select("word", "c").mapInArrow(task, "word string, c long, logp double")
+    return words.select("word", "c").mapInArrow(task, "word binary, c long, logp double")
 
 
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -217,7 +236,7 @@ def scored(docs: DataFrame, vocabulary_path: str, id_col="doc_id", text_col="tex
     known = stored(_scored_words(words, lattice), "lattice-scores")
     found = asked.join(known, "word").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("pos", "c", "logp"))).alias("found"))
     rows = blocks.drop("words", "train").join(found, "block", "left").select(
-        "doc_id", "held_out", "n_tokens", "starts", "at", "tf", F.col("found.c").alias("c"), F.col("found.logp").alias("logp")
+        "doc_id", "held_out", "n_tokens", "starts", "entries", F.col("found.c").alias("c"), F.col("found.logp").alias("logp")
     )
     below = n + smooth * (v + 1)
     end = ends, math.log10((ends + smooth) / below), lattice.end
@@ -226,9 +245,9 @@ def scored(docs: DataFrame, vocabulary_path: str, id_col="doc_id", text_col="tex
     def task(batches: Iterable[pa.RecordBatch]):
         for b in batches:
             for i in range(b.num_rows):
-                ids, held, tokens, starts, at, tf, c, logp = (b.column(j)[i].as_py() for j in range(8))
-                c, logp = np.array(c or [], np.float64), np.array(logp or [], np.float64)
-                at, tf, starts = np.frombuffer(at, "<i4"), np.frombuffer(tf, "<i4"), np.array(starts)
+                ids, held, tokens, starts, entries, c, logp = (b.column(j)[i].as_py() for j in range(7))
+                c, logp, starts = np.array(c or [], np.float64), np.array(logp or [], np.float64), np.array(starts)
+                at, tf = _loosened(entries, starts)
 
                 def sums(per_word: np.ndarray) -> np.ndarray:
                     """Per text, over its words."""

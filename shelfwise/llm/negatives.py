@@ -273,7 +273,8 @@ def _searched(blocks: DataFrame, anchors: DataFrame, shards: int, visit: Callabl
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long")))
     placed = blocks.select(shard.alias("shard"), F.lit(0).alias("kind"), "payload")
     placed = placed.unionByName(anchors.select(every.alias("shard"), F.lit(1).alias("kind"), "payload"))
-    return placed.repartition("shard").sortWithinPartitions("shard", "kind").mapInArrow(task, schema)
+    # a number of its own: little data here is much work, which should not be put together for its size
+    return placed.repartition(shards, "shard").sortWithinPartitions("shard", "kind").mapInArrow(task, schema)
 
 
 def mined(

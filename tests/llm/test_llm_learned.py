@@ -202,8 +202,8 @@ def same_base(docs, own):
 def test_base_scores(spark, small, monkeypatch):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     own = [tuple(r) for r in docs.select("doc_id", "text").collect()]
-    for size in (4 << 20, 3000):
-        monkeypatch.setattr(lattice, "BLOCK_CHARS", size)
+    for size in (32 << 20, 3000):
+        monkeypatch.setattr(lattice, "BLOCK_BYTES", size)
         same_base(docs, own)
 
 
@@ -237,13 +237,13 @@ def spelled(model, word):
 
 def test_lattice_sums_all_segmentations(spark):
     vocabulary = lattice.Vocabulary(PIECES)
-    words = spark.createDataFrame([("hello", 5), ("there", 3), ("nobody", 0)], "word string, c long")
+    words = spark.createDataFrame([(b"hello", 5), (b"there", 3), (b"nobody", 0)], "word binary, c long")
     model = lattice.fitted(words, 4, vocabulary)
     for word in ("hello", "the", "naïve", "\U0001f600x", "zzz", "international"[:9]):
-        assert abs(model.score(word) - spelled(model, word)) < 1e-9
+        assert abs(model.score(word.encode()) - spelled(model, word)) < 1e-9
     assert abs(sum(map(math.exp, model.pieces.values())) + sum(map(math.exp, model.bytes)) + 10**model.end - 1) < 1e-9
     plain = lattice.fitted(words.limit(0), 0, vocabulary)
-    assert model.score("hello") > plain.score("hello")
+    assert model.score(b"hello") > plain.score(b"hello")
 
 
 def test_learning_helps_on_held_out_texts(spark, small):
