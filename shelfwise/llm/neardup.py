@@ -48,6 +48,7 @@ LIMIT = 1024  # classes compared exhaustively
 BRANCHES = 4  # children a class may enter below a large node, of twice as many coordinates
 DEPTH = 12  # below that, what is still mixed is compared in full, chunk by chunk
 SKETCH_AT_LEAST = 0.55
+LINKS = 1 << 20  # links between components that one task follows
 CHUNK_ROWS = 512
 
 _RNG = np.random.default_rng(20240131)
@@ -206,6 +207,33 @@ def _confirmed(rows: DataFrame, percent: int) -> DataFrame:
     return ordered.sortWithinPartitions("cluster").mapInArrow(task, "a long, b long")
 
 
+def _followed(links: DataFrame) -> DataFrame:
+    """``(id, component)`` of the ids in ``links(a, b)``: the smallest id reachable.
+
+    Tasks first follow a bounded number of links each, which leaves one link per id; only
+    if these are still too many for a task, they are joined over the cluster.
+    """
+    tasks = max(1, -(-links.count() // LINKS))
+
+    def task(batches):
+        pairs = [p for b in batches for p in zip(*(c.to_pylist() for c in b.columns))]
+        for i in range(0, len(pairs), LINKS):
+            some = pairs[i : i + LINKS]
+            joined = _Union({x for p in some for x in p})
+            for a, b in some:
+                joined.join(max(a, b), min(a, b))
+            least: dict[int, int] = {}
+            for x in joined.root:
+                root = joined.find(x)
+                least[root] = min(x, least.get(root, x))
+            yield _batch([(x, least[joined.find(x)]) for x in joined.root], ("id", "component"))
+
+    found = links.select("a", "b").coalesce(tasks).mapInArrow(task, "id long, component long")
+    if tasks == 1:
+        return found
+    return connected(stored(found.select(F.col("id").alias("a"), F.col("component").alias("b")), "near-followed"), "near-edges")
+
+
 def _sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``(rep, n, items)``: the sets of some documents, each shingle by 48 of its bits."""
 
@@ -276,7 +304,7 @@ def components(docs: DataFrame, id_col="doc_id", text_col="text", percent=PERCEN
         new = stored(_confirmed(rows.join(sketches, "rep").join(sets, "rep"), percent), "near-links")
         if not new.isEmpty():
             # components, not documents, are what is linked from here on
-            into = stored(connected(new, "near-edges").select("id", F.col("component").alias("into")), "near-into")
+            into = stored(_followed(new).select("id", F.col("component").alias("into")), "near-into")
             known = found.unionByName(into.join(found, F.col("id") == F.col("rep"), "left_anti").select(F.col("id").alias("rep"), F.col("id").alias("component")))
             moved = known.join(into, F.col("component") == F.col("id"), "left")
             found = stored(moved.select("rep", F.coalesce("into", "component").alias("component")), "near-components")
