@@ -8,8 +8,8 @@ each time; the k-th score of a wave bounds the next ones, so later trees give ba
 only what can still count.
 
 Queries and shards meet in blocks of bounded size; nothing is broadcast. Of equal
-vectors only the smallest ids can be among the best, so a group of copies counts as
-k + 1 vectors.
+vectors only the k + 1 smallest ids can be among the best, a query's own being one of them,
+and of the rows of one id only k, so a group of copies counts as few vectors.
 """
 
 from __future__ import annotations
@@ -127,7 +127,9 @@ def topk(vectors: DataFrame, id_col="vec_id", vec_col="embedding", k=K, every=EV
         F.transform(vec_col, lambda x: F.floor(F.lit(float(scale)) * x.cast("double")).cast("long")).alias("v"),
     )
     place = F.row_number().over(Window.partitionBy("v").orderBy("id"))
-    points = stored(whole.withColumn("p", place).filter(F.col("p") <= k + 1).select("id", "v"), "topk-points")
+    ids = whole.groupBy("id", "v").agg(F.least(F.count("*"), F.lit(k)).alias("rows"))
+    ids = ids.withColumn("p", place).filter(F.col("p") <= k + 1)
+    points = stored(ids.select("id", "v", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))).alias("copy")).drop("copy"), "topk-points")
     queries = whole.filter(F.col("id") % every == 0).distinct()
     n, nq = points.count(), queries.count()
     shards, blocks = max(1, math.ceil(n / shard)), max(1, math.ceil(nq / BLOCK))

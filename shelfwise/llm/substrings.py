@@ -6,13 +6,15 @@ neighbouring suffixes of a document mostly share. They travel as one segment, wh
 words are sent once. A gram at a single place of the corpus cannot be in a
 repeated window, so most of the corpus stops there, before any word is shuffled.
 
-A task takes the segments of some grams and grows their subtrees: it splits suffixes
-by prefixes of as many words as it takes to get groups that fit a memory budget, and
-sorts each group; neighbours that agree to the full depth are leaves below one deep
-internal node, a repeat. A gram with more than ``HEAVY`` segments is split over tasks
-by the longest prefix, the window itself: such a group is one node, and its leaves are
-only counted, combined before the shuffle. Segments with the same words are one leaf
-with a count, so thousands of copies cost one entry per task.
+A task takes the segments of some grams and grows their subtrees: it splits suffixes by
+prefixes of as many words as it takes to get groups that fit a memory budget. A group's
+tree is its sorted suffixes with the lengths of their common prefixes; an internal node is a
+run of suffixes that agree to its depth. Nodes at a window's depth or below are the
+repeats, and the leaves under them are the windows to remove. Where a gram has more than
+``HEAVY`` segments, the prefix of a group grows to the whole window: the group is a node by
+itself, and its leaves need only be counted, which is combined before the shuffle.
+Segments with the same words are one leaf with a count, so thousands of copies cost one
+entry per task.
 """
 
 from __future__ import annotations
@@ -78,21 +80,58 @@ def segments(h: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[np.
     return v, start, np.minimum(SEGMENT, change[owner] + lengths[owner] - start), places
 
 
-def repeated(w: np.ndarray, suffixes: np.ndarray, window: int = WINDOW, budget: int = SUFFIXES) -> np.ndarray:
+class Subtree:
+    """The suffix tree of some suffixes: their order, and the common prefix lengths of neighbours.
+
+    ``ends`` are the ends of the texts that the suffixes are of. The node of depth ``d``
+    above a leaf is the run of neighbours around it that agree in ``d`` words or more.
+    """
+
+    def __init__(self, w: np.ndarray, suffixes: np.ndarray, ends: np.ndarray):
+        self.w, self.suffixes = w, suffixes
+        lengths = ends - suffixes
+        width = int(lengths.max(initial=0))
+        at = suffixes[:, None] + np.arange(width)
+        inside = np.arange(width) < lengths[:, None]
+        rows = np.where(inside, w[np.minimum(at, len(w) - 1)], 0).astype(">u4")  # bytes in the order of numbers
+        self.order = np.argsort(np.ascontiguousarray(rows).view(np.dtype((np.void, 4 * width))).ravel(), kind="stable") if width else np.arange(len(suffixes))
+        rows, lengths = rows[self.order], lengths[self.order]
+        differ = rows[1:] != rows[:-1]
+        same = np.where(differ.any(axis=1), differ.argmax(axis=1), width) if width else np.zeros(max(len(rows) - 1, 0), np.int64)
+        self.common = np.minimum(same, np.minimum(lengths[1:], lengths[:-1]))
+
+    def repeated(self, depth: int) -> np.ndarray:
+        """Which suffixes are below a node of this depth or more."""
+        out = np.zeros(len(self.suffixes), bool)
+        deep = self.common >= depth
+        out[self.order[1:][deep]] = True
+        out[self.order[:-1][deep]] = True
+        return out
+
+    def nodes(self, depth: int) -> Iterator[tuple[int, np.ndarray]]:
+        """Depth and suffixes of every internal node of ``depth`` or more, inner nodes first."""
+        stack: list[tuple[int, int]] = []
+        for i, c in enumerate([*self.common.tolist(), 0], start=1):
+            first = i - 1
+            while stack and stack[-1][0] > c:
+                d, first = stack.pop()
+                yield d, self.suffixes[self.order[first:i]]
+            if c >= depth and (not stack or stack[-1][0] < c):
+                stack.append((c, first))
+
+
+def repeated(w: np.ndarray, suffixes: np.ndarray, window: int = WINDOW, budget: int = SUFFIXES, ends: np.ndarray | None = None) -> np.ndarray:
     """Which of the suffixes (positions in the words ``w``) share their first ``window`` words with another."""
     out = np.zeros(len(suffixes), bool)
+    ends = np.full(len(suffixes), len(w)) if ends is None else ends
 
     def subtree(which: np.ndarray, depth: int) -> None:
         if depth == window:
             out[which] = len(which) > 1
             return
         if len(which) <= budget:
-            rows = np.ascontiguousarray(w[suffixes[which][:, None] + np.arange(depth, window)])
-            leaves = rows.view(np.dtype((np.void, rows.shape[1] * rows.itemsize))).ravel()
-            order = np.argsort(leaves)
-            same = leaves[order[1:]] == leaves[order[:-1]]
-            out[which[order[1:][same]]] = True
-            out[which[order[:-1][same]]] = True
+            at = suffixes[which]
+            out[which] = Subtree(w, at + depth, np.minimum(ends[which], at + window)).repeated(window - depth)
             return
         word = w[suffixes[which] + depth]
         which = which[np.argsort(word, kind="stable")]
@@ -126,10 +165,6 @@ def _batch(columns: dict[str, tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in columns.values()], list(columns))
 
 
-def _int64(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
-
-
 def _found(docs: DataFrame, window: int) -> DataFrame:
     """``(k1, k2, v, start, n, places)``: the segments of every document."""
 
@@ -161,7 +196,7 @@ def _compressed(docs: DataFrame) -> DataFrame:
 
 
 def _contents(rows: DataFrame, window: int) -> DataFrame:
-    """Per segment its content hash ``c``; its words where a task meets them first."""
+    """Per segment the digest ``c`` of its words; the words where a task meets them first."""
 
     def task(batches):
         z, seen = zstandard.ZstdDecompressor(), set()
@@ -171,7 +206,7 @@ def _contents(rows: DataFrame, window: int) -> DataFrame:
                 h = (word_hashes(words(z.decompress(raw))) >> np.uint64(32)).astype("<u4")
                 for s in segs:
                     content = h[s["start"] : s["start"] + s["n"] + window - 1].tobytes()
-                    c = _int64(xxhash.xxh3_64_intdigest(content))
+                    c = xxhash.xxh3_128_digest(content)
                     new = c not in seen
                     if new:
                         if len(seen) >= KEEP_SEEN:
@@ -185,12 +220,12 @@ def _contents(rows: DataFrame, window: int) -> DataFrame:
 
     def _rows(out):
         columns = list(zip(*out)) if out else [[]] * 8
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.int64(), pa.binary())
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.binary(), pa.binary())
         names = ("k1", "k2", "start", "n", "v", "heavy", "c", "words")
         return _batch({x: (col, t) for x, col, t in zip(names, columns, kinds)})
 
     return rows.mapInArrow(
-        task, "k1 long, k2 long, start int, n int, v long, heavy boolean, c long, words binary"
+        task, "k1 long, k2 long, start int, n int, v long, heavy boolean, c binary, words binary"
     )
 
 
@@ -199,7 +234,7 @@ def _tree_marks(contents: DataFrame, window: int) -> DataFrame:
 
     def marks(ids, own):
         if not own:
-            return _batch({"c": ([], pa.int64()), "mask": ([], pa.int64())})
+            return _batch({"c": ([], pa.binary()), "mask": ([], pa.int64())})
         w, suffixes, owner = _laid_out(own, window)
         hit = repeated(w, suffixes, window)
         first = np.r_[0, np.flatnonzero(np.diff(owner)) + 1]
@@ -207,7 +242,7 @@ def _tree_marks(contents: DataFrame, window: int) -> DataFrame:
         mask = np.zeros(len(own), np.uint64)
         np.bitwise_or.at(mask, owner[hit], np.uint64(1) << nth[hit].astype(np.uint64))
         some = mask != 0
-        return _batch({"c": (np.array(ids)[some], pa.int64()), "mask": (mask[some].view(np.int64), pa.int64())})
+        return _batch({"c": ([c for c, on in zip(ids, some) if on], pa.binary()), "mask": (mask[some].view(np.int64), pa.int64())})
 
     def task(batches):
         ids, own, size, last, last_c = [], [], 0, None, None
@@ -224,7 +259,7 @@ def _tree_marks(contents: DataFrame, window: int) -> DataFrame:
                 size += len(own[-1]) - window + 1
         yield marks(ids, own)
 
-    return contents.repartition("v").sortWithinPartitions("v", "c").mapInArrow(task, "c long, mask long")
+    return contents.repartition("v").sortWithinPartitions("v", "c").mapInArrow(task, "c binary, mask long")
 
 
 def _heavy_marks(contents: DataFrame, window: int) -> DataFrame:
@@ -233,13 +268,12 @@ def _heavy_marks(contents: DataFrame, window: int) -> DataFrame:
     def task(batches):
         for b in batches:
             for c, raw in zip(b.column(1).to_pylist(), b.column(2)):
-                x = windows(np.frombuffer(raw.as_py(), "<u4").astype(np.uint64), window)
-                yield _batch({
-                    "c": (np.full(len(x), c), pa.int64()), "i": (np.arange(len(x), dtype=np.int32), pa.int32()),
-                    "w": (x.view(np.int64), pa.int64()),
-                })
+                words = raw.as_py()
+                n = len(words) // 4 - window + 1
+                digests = [xxhash.xxh3_128_digest(words[4 * i : 4 * (i + window)]) for i in range(n)]
+                yield _batch({"c": ([c] * n, pa.binary()), "i": (np.arange(n, dtype=np.int32), pa.int32()), "w": (digests, pa.binary())})
 
-    w = contents.mapInArrow(task, "c long, i int, w long")
+    w = contents.mapInArrow(task, "c binary, i int, w binary")
     often = w.groupBy("w").agg(F.count("*").alias("times")).filter("times > 1").select("w")
     bit = F.expr("shiftleft(1L, i)")
     return w.join(often, "w", "left_semi").groupBy("c").agg(F.bit_or(bit).alias("mask"))
@@ -252,7 +286,7 @@ def deduplicated(docs: DataFrame, id_col="doc_id", text_col="text", window: int
     and those without words have 0 words; fewer than a window stay as they are. Two
     rows with the same id and text are two places. Words are compared by 32 bits of
     their hash, all 35 of them: two windows that differ agree with a chance of 2^-32
-    or less.
+    or less. Segments and windows are known by 128 bits.
     """
     d = docs.select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("k1"), F.xxhash64(text_col).alias("k2"),

@@ -58,6 +58,19 @@ def test_topk(vectors, monkeypatch):
     assert rows(search.topk(vectors.limit(0))) == []
 
 
+def test_topk_of_repeated_ids(spark):
+    """A query's own id may fill any number of rows; others with the same vector are still found."""
+    near, far = [1.0, 0.0], [0.0, 1.0]
+    data = [(20, near)] * 50 + [(i, near) for i in range(21, 26)] + [(40, near)] + [(i, far) for i in range(101, 140)] + [(30, near)] * 45
+    df = spark.createDataFrame([(i, v, 1, 1, "v", 2) for i, v in data], VECTOR)
+    want = []
+    for q in (20, 40, 120):
+        own = dict(data)[q]
+        best = sorted((-4096 * int(v == own), i) for i, v in data if i != q)[:20]
+        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    assert sorted(map(tuple, search.topk(df).collect())) == sorted(want)
+
+
 def test_tree_is_exact_on_ties():
     rng = np.random.default_rng(2)
     v = rng.integers(-3, 4, (2000, 5)).astype(float)

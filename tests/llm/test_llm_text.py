@@ -333,6 +333,32 @@ def test_subtrees_of_any_size():
         assert substrings.repeated(w, at, 10, budget).tolist() == want
 
 
+def test_nodes_of_a_subtree():
+    """Depths and leaves of all internal nodes against their definition."""
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    w = np.concatenate([rng.integers(0, 3, 200), np.arange(50, 70), [7], np.arange(50, 70), [8], np.arange(52, 66)]).astype("<u4")
+    cut = 120  # two texts: no suffix goes on beyond its own
+    at = np.arange(len(w))
+    ends = np.where(at < cut, cut, len(w))
+    tree = substrings.Subtree(w, at, ends)
+    own = [tuple(w[i : ends[i]].tolist()) for i in at]
+    prefixes = defaultdict(set)
+    for i, s in enumerate(own):
+        for d in range(3, len(s) + 1):
+            prefixes[s[:d]].add(i)
+    # a prefix is a node if its suffixes go on differently, or one of them ends
+    nodes = set()
+    for p, which in prefixes.items():
+        after = {own[i][len(p)] if len(own[i]) > len(p) else ("end", i) for i in which}
+        if len(which) > 1 and len(after) > 1:
+            nodes.add((len(p), tuple(sorted(which))))
+    assert {(d, tuple(sorted(s.tolist()))) for d, s in tree.nodes(3)} == nodes
+    assert (20, (200, 221)) in nodes and any(d == 14 and len(s) == 3 for d, s in nodes)
+    assert tree.repeated(5).tolist() == [any(i in s for d, s in nodes if d >= 5) for i in at]
+
+
 # --- near-duplicates -----------------------------------------------------------------
 
 
@@ -384,11 +410,12 @@ def test_near_odd_rows(odd, none):
     assert rows(neardup.components(none)) == []
 
 
-@pytest.mark.parametrize("limit, depth", [(4, 2), (1024, 12)])
-def test_near_large_nodes(spark, monkeypatch, limit, depth):
-    """Chains and stars of near copies, with nodes too large to compare exhaustively."""
+@pytest.mark.parametrize("limit, depth, links", [(4, 2, 1 << 20), (1024, 12, 5)])
+def test_near_large_nodes(spark, monkeypatch, limit, depth, links):
+    """Chains and stars of near copies, with nodes too large to compare exhaustively, and links for several tasks."""
     monkeypatch.setattr(neardup, "LIMIT", limit)
     monkeypatch.setattr(neardup, "DEPTH", depth)
+    monkeypatch.setattr(neardup, "LINKS", links)
     base = [f"b{i}" for i in range(120)]
     texts = []
     for i in range(40):  # each differs from the next in a few words: a chain
