@@ -15,17 +15,21 @@ from checks.registry import (
     r6,
     sql_match_key,
     sql_postings,
+    sql_prep,
     sql_resolve,
+    sql_tokens,
     table,
     taxonomy,
 )
 from shelfwise.fixed_values import LEVELS, TOP_K
 from shelfwise.functions import vectors
-from shelfwise.operators import baseline, centroid, enrich, metrics, nearest, supervised, validate, votes, weights
+from shelfwise.operators import baseline, centroid, enrich, metrics, nearest, similarity, supervised, validate, votes, weights
 from shelfwise.operators import taxonomy as tree
 from shelfwise.operators.weights import TermOptions
 from shelfwise.plans import nearest as nearest_plan
+from shelfwise.plans import supervised as supervised_plan
 from shelfwise.session import new_path, stored
+from shelfwise.sources import tables
 from shelfwise.streaming import labelling
 
 DIMS = 64
@@ -66,8 +70,8 @@ def nearest_class(spark, sf):
     f"""{NEAREST_SQL} SELECT vec_id AS item_id, class_id, round(distance, 6) AS distance FROM ranked WHERE rank = 1""",
 )
 def nearest_class_blocks(spark, sf):
-    """The way taken when the class side is too large to ship: here with 4 classes a block."""
-    found = nearest_rows(spark, sf, max_matrix_bytes=4 * DIMS * 8)
+    """Classes in many balls and blocks: here of 4 classes at most."""
+    found = nearest_rows(spark, sf, block=4)
     return found.select("item_id", "class_id", r6("distance"))
 
 
@@ -192,7 +196,7 @@ UNIGRAMS = TermOptions((1, 1))
 
 
 def documents(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", "text", "lang")
+    return tables.dealt(table(spark, sf, "documents").select("doc_id", "text", "lang"))
 
 
 def document_postings(spark, sf, options=BIGRAMS):
@@ -235,15 +239,15 @@ wp AS (SELECT doc_id, lang, term, {tf} * weight AS w FROM p JOIN wt USING (term)
 un AS (SELECT doc_id, lang, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS w FROM wp)"""
 
 
-@query("tfidf", f"{sql_tfidf(1)} SELECT doc_id, term, round(w, 6) AS w FROM un")
+@query("tfidf", f"{sql_tfidf(2)} SELECT doc_id, term, round(w, 6) AS w FROM un")
 def tfidf(spark, sf):
-    options = TermOptions((1, 1), max_df=0.95)
+    options = TermOptions((1, 2), max_df=0.95)
     return weights.tfidf(documents(spark, sf), "doc_id", "text", options).select("doc_id", "term", r6("w"))
 
 
-@query("tfidf_sublinear", f"{sql_tfidf(1, '(1 + ln(tf))')} SELECT doc_id, term, round(w, 6) AS w FROM un")
+@query("tfidf_sublinear", f"{sql_tfidf(2, '(1 + ln(tf))')} SELECT doc_id, term, round(w, 6) AS w FROM un")
 def tfidf_sublinear(spark, sf):
-    options = TermOptions((1, 1), max_df=0.95, sublinear_tf=True)
+    options = TermOptions((1, 2), max_df=0.95, sublinear_tf=True)
     return weights.tfidf(documents(spark, sf), "doc_id", "text", options).select("doc_id", "term", r6("w"))
 
 
@@ -287,9 +291,9 @@ TOPK_COLUMNS = ", ".join(
 )
 
 
-@query("tfidf_centroids", f"{sql_tfidf_rank(1)} SELECT lang AS class_name, term, round(w, 6) AS w FROM cent")
+@query("tfidf_centroids", f"{sql_tfidf_rank(2)} SELECT lang AS class_name, term, round(w, 6) AS w FROM cent")
 def tfidf_centroids(spark, sf):
-    model = centroid.fit_tfidf(documents(spark, sf), "doc_id", "text", "lang", TermOptions((1, 1), max_df=0.95))
+    model = centroid.fit_tfidf(documents(spark, sf), "doc_id", "text", "lang")
     return model.centroids().withColumn("w", r6("w"))
 
 
@@ -304,10 +308,10 @@ def tfidf_predict(spark, sf):
     return centroid.predict(model, docs, "doc_id", "text", k=1).select("doc_id", "label", r6("score_1"))
 
 
-@query("tfidf_topk", f"{sql_tfidf_rank(1)} SELECT doc_id, {TOPK_COLUMNS} FROM rk GROUP BY doc_id")
+@query("tfidf_topk", f"{sql_tfidf_rank(2)} SELECT doc_id, {TOPK_COLUMNS} FROM rk GROUP BY doc_id")
 def tfidf_topk(spark, sf):
     docs = documents(spark, sf)
-    model = centroid.fit_tfidf(docs, "doc_id", "text", "lang", TermOptions((1, 1), max_df=0.95))
+    model = centroid.fit_tfidf(docs, "doc_id", "text", "lang")
     places = [c for j in range(1, TOP_K + 1) for c in (f"class_{j}_name", r6(f"score_{j}"))]
     return centroid.predict(model, docs, "doc_id", "text").select("doc_id", *places)
 
@@ -696,9 +700,13 @@ def validate_empty(spark, sf):
 # --- supervised -------------------------------------------------------------------------------------------
 
 
+# titles that name all four levels, each by a word of two characters or more, so that each can be learned
+TITLE_SQL = "concat(p_name, ' ', p_type, ' brand', lpad(split_part(p_brand, '#', 2), 2, '0'))"
+
+
 def standard_parts(spark, sf):
     rows = taxonomy(spark, sf).toDF("row_id", *LEVELS)
-    names = table(spark, sf, "part").select(F.col("p_partkey").alias("row_id"), F.col("p_name").alias("text"))
+    names = table(spark, sf, "part").select(F.col("p_partkey").alias("row_id"), F.expr(TITLE_SQL).alias("text"))
     return rows.join(names, "row_id")
 
 
@@ -709,15 +717,13 @@ def english():
 def _train_and_predict(spark, sf, train):
     split = baseline.stratified_split(standard_parts(spark, sf), "row_id", "segment")
     models = train(split.where("not is_test"), "row_id", "text", LEVELS, english())
-    return models.predict(split.where("is_test"), "row_id", "text", LEVELS).select(
-        "row_id", "class", "brick", "predicted_class", "predicted_brick"
-    )
+    return models.predict(split.where("is_test"), "row_id", "text", LEVELS)
 
 
-# class and brick are words of the title, so a trained model gets them right; segment and family are not in it
-LEARNED_SQL = """WITH r AS (SELECT p_partkey AS row_id, split_part(p_name, ' ', 1) AS class, split_part(p_name, ' ', 2) AS brick,
-  row_number() OVER (PARTITION BY p_type ORDER BY md5('42:' || p_partkey)) AS rank, count(*) OVER (PARTITION BY p_type) AS n FROM part)
-SELECT row_id, class, brick, class AS predicted_class, brick AS predicted_brick FROM r WHERE rank <= round(0.2 * n)"""
+# a trained model gets words of the title right
+LEARNED_SQL = f"""WITH tx AS ({TAXONOMY_SQL}), r AS (SELECT *, row_number() OVER (PARTITION BY SegmentTitle ORDER BY md5('42:' || row_id)) AS rank,
+  count(*) OVER (PARTITION BY SegmentTitle) AS n FROM tx)
+SELECT row_id, {', '.join(f'{t} AS {v}, {t} AS predicted_{v}' for v, t in zip(LEVELS, TITLES))} FROM r WHERE rank <= round(0.2 * n)"""
 
 
 @query("rf_levels", LEARNED_SQL)
@@ -730,6 +736,51 @@ def svm_levels(spark, sf):
     return _train_and_predict(spark, sf, supervised.train_svm)
 
 
+# two test sets whose columns have other names; some labels of the second one are another row's
+MAPPED = ("Name", *TITLES)
+CHECKED = ("translated_name", *[f"predicted_{v}" for v in LEVELS])
+WRONG = {"SegmentTitle": "p_partkey % 10 = 3", "FamilyTitle": "p_size = 7", "ClassTitle": "p_partkey % 4 = 1", "BrickTitle": "p_size > 45"}
+LABELS = dict(zip(TITLES, ("p_type", "p_brand", "split_part(p_name, ' ', 1)", "split_part(p_name, ' ', 2)")))
+OTHERS = {t: f"CASE WHEN {WRONG[t]} THEN (SELECT min({e}) FROM part) ELSE {e} END" for t, e in LABELS.items()}
+
+
+def _report_cells(dataset: str, source: str, labels: dict[str, str]) -> str:
+    return " UNION ALL ".join(
+        f"SELECT '{dataset}/{level}' AS g, {e} AS actual, {LABELS[t]} AS predicted FROM {source}"
+        for level, (t, e) in zip(LEVELS, labels.items())
+    )
+
+
+REPORT_SQL = f"""WITH r AS (SELECT *, row_number() OVER (PARTITION BY p_type ORDER BY md5('42:' || p_partkey)) AS rank,
+  count(*) OVER (PARTITION BY p_type) AS n FROM part), held AS (SELECT * FROM r WHERE rank <= round(0.2 * n)),
+lk AS ({_report_cells('validation', 'held', LABELS)} UNION ALL {_report_cells('mapped', 'part', LABELS)}
+  UNION ALL {_report_cells('checked', 'part', OTHERS)}),
+{sql_class_metrics('lk', 'actual', 'predicted', 'g')},
+f AS (SELECT split_part(g, '/', 1) AS dataset, split_part(g, '/', 2) AS level, sum(support * f1) / sum(support) AS w FROM cm GROUP BY g),
+s AS (SELECT dataset, avg(w) AS m FROM f GROUP BY dataset)
+SELECT dataset, level, round(w, 6) AS weighted_f1, round(m, 6) AS dataset_f1,
+  round((SELECT avg(m) FROM s WHERE dataset <> 'validation'), 6) AS mean_f1 FROM f JOIN s USING (dataset)"""
+
+
+@query("supervised_report", REPORT_SQL)
+def supervised_report(spark, sf):
+    part = table(spark, sf, "part")
+    firsts = {t: part.agg(F.min(F.expr(e))).first()[0] for t, e in LABELS.items()}
+    title = F.expr(TITLE_SQL)
+    mapped = part.select("p_partkey", title.alias(MAPPED[0]), *[F.expr(e).alias(c) for c, e in zip(MAPPED[1:], LABELS.values())])
+    wrong = [F.when(F.expr(WRONG[t]), F.lit(firsts[t])).otherwise(F.expr(e)) for t, e in LABELS.items()]
+    checked = part.select("p_partkey", title.alias(CHECKED[0]), *[e.alias(c) for c, e in zip(CHECKED[1:], wrong)])
+    _, found = supervised_plan.train_and_score(
+        supervised_plan.Dataset(standard_parts(spark, sf), "row_id", "text", LEVELS),
+        {
+            "mapped": supervised_plan.Dataset(mapped, "p_partkey", MAPPED[0], MAPPED[1:]),
+            "checked": supervised_plan.Dataset(checked, "p_partkey", CHECKED[0], CHECKED[1:]),
+        },
+        lambda rows: supervised.train_svm(rows, "row_id", "text", LEVELS, english()),
+    )
+    return found.select("dataset", "level", r6("weighted_f1"), r6("dataset_f1"), r6("mean_f1"))
+
+
 @query("constant_level", "SELECT p_partkey, 'part' AS predicted_table, NULL::VARCHAR AS predicted_type FROM part")
 def constant_level(spark, sf):
     part = table(spark, sf, "part").withColumn("table", F.lit("part"))
@@ -786,6 +837,24 @@ def text_similarity_pairs(spark, sf):
     return found.select("item_id", F.col("class_id").alias("query_id"), r6("score"))
 
 
+@query(
+    "text_similarity_terms",
+    f"""{sql_stats(1)},
+    wt AS (SELECT term, ln((n + 1.0) / (df + 1.0)) + 1 AS weight FROM st, nd),
+    x0 AS (SELECT doc_id, term, tf * weight AS w FROM p JOIN wt USING (term)),
+    x AS (SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS w FROM x0),
+    q0 AS (SELECT item_id, unnest({sql_tokens(sql_prep('text'))}) AS term FROM benchmark),
+    q1 AS (SELECT item_id, term, count(*) * any_value(weight) AS w FROM q0 JOIN wt USING (term) GROUP BY ALL),
+    q AS (SELECT item_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY item_id)) AS w FROM q1)
+    SELECT doc_id AS item_id, item_id AS query_id, round(sum(x.w * q.w), 6) AS score FROM x JOIN q USING (term)
+    GROUP BY doc_id, item_id HAVING sum(x.w * q.w) >= 0.3""",
+)
+def text_similarity_terms(spark, sf):
+    """All pairs of a document and a benchmark text at or above a cosine of term vectors."""
+    found = similarity.similar_texts(documents(spark, sf), table(spark, sf, "benchmark"), "doc_id", "item_id", "text", 0.3)
+    return found.select(F.col("item").alias("item_id"), F.col("query").alias("query_id"), r6("score"))
+
+
 def text_measures():
     """A stand-in model: characters, words and distinct words of each text."""
 
@@ -861,3 +930,23 @@ def stream_batch_counts(spark, sf):
             events.where(F.col("event_id") % 4 == i).coalesce(1).write.mode("append").parquet(f"{base}/in")
         labelling.drain(start)
     return labelling.batch_counts(spark, f"{base}/out")
+
+
+@query(
+    "stream_progress",
+    "SELECT event_id % 3 AS batch_id, count(*) AS n_rows FROM events GROUP BY 1",
+)
+def stream_progress(spark, sf):
+    """The progress log of a stream that is started three times, with a file more each time."""
+    base = new_path(spark, "stream_progress")
+    events = table(spark, sf, "events")
+
+    def start():
+        stream = labelling.file_stream(spark, f"{base}/in", events.schema, files_per_batch=1)
+        return labelling.start_labelling(stream, lambda batch: batch.select("event_id"), f"{base}/out", f"{base}/checkpoint")
+
+    for i in range(3):
+        events.where(F.col("event_id") % 3 == i).coalesce(1).write.mode("append").parquet(f"{base}/in")
+        with labelling.ProgressLog(spark, f"{base}/progress"):
+            labelling.drain(start)
+    return labelling.logged_progress(spark, f"{base}/progress").select("batch_id", "n_rows")

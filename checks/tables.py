@@ -25,6 +25,7 @@ from shelfwise.operators import lookup, metrics, rows
 from shelfwise.plans import catalog
 from shelfwise.session import new_path
 from shelfwise.sources import state, tables
+from shelfwise.sources.versions import VersionedTable
 
 PART_SCHEMA = (
     "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double"
@@ -73,22 +74,23 @@ def sql_select_all(spark, sf):
     return tables.run_sql(spark, "SELECT * FROM {customer}", customer=table(spark, sf, "customer"))
 
 
-@query("sink_replace", "SELECT * FROM part")
+@query("sink_replace", "SELECT p_partkey, upper(p_name) AS p_name, p_size FROM part")
 def sink_replace(spark, sf):
-    path = new_path(spark, "sink_replace")
-    part = table(spark, sf, "part")
-    tables.write_table(part, path)
-    tables.write_table(part, path)
-    return spark.read.parquet(path)
+    """A table is replaced by what is read from it."""
+    versions = VersionedTable(spark, new_path(spark, "sink_replace"))
+    versions.replace(table(spark, sf, "part").select("p_partkey", "p_name", "p_size"))
+    versions.replace(versions.read().withColumn("p_name", F.upper("p_name")))
+    return versions.read()
 
 
 @query("sink_append", "SELECT * FROM part")
 def sink_append(spark, sf):
-    path = new_path(spark, "sink_append")
+    """Batches under a key: one that is written again adds nothing."""
+    versions = VersionedTable(spark, new_path(spark, "sink_append"))
     part = table(spark, sf, "part")
-    tables.write_table(part.where("p_size <= 25"), path)
-    tables.write_table(part.where("p_size > 25"), path, "append")
-    return spark.read.parquet(path)
+    for low, high in ((0, 25), (25, 40), (25, 40), (40, 1_000)):
+        versions.append(part.where((F.col("p_size") > low) & (F.col("p_size") <= high)), key=f"size {low}")
+    return versions.read()
 
 
 @query("insert_select", "SELECT p_partkey, p_name, p_size FROM part WHERE p_size > 10")
@@ -229,8 +231,11 @@ def sql_clean_space(c: str) -> str:
     f"SELECT doc_id, {sql_clean_space('text')} AS text, {sql_clean_space('source')} AS source FROM documents",
 )
 def clean_titles(spark, sf):
-    documents = table(spark, sf, "documents").select("doc_id", "text", "source")
-    return catalog.clean_columns(documents, ["text", "source"])
+    """Columns rewritten in place."""
+    versions = VersionedTable(spark, new_path(spark, "clean_titles"))
+    versions.replace(table(spark, sf, "documents").select("doc_id", "text", "source"))
+    versions.update(lambda rows: catalog.clean_columns(rows, ["text", "source"]))
+    return versions.read()
 
 
 @query(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfwise.fixed_values import SPLIT_SEED, TEST_SHARE
 from shelfwise.functions.codes import hash_hex, hash_unit
+from shelfwise.operators.rows import with_running_sum
 from shelfwise.session import stored
 
 STRATEGIES = ("most_frequent", "prior", "stratified", "uniform")
@@ -16,8 +17,7 @@ SLOTS = 4096  # ranges of class shares: an item meets the classes of one range o
 
 def _shares(counts: DataFrame) -> DataFrame:
     """Class counts with the running count up to and including each class."""
-    upto = Window.orderBy("label").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return stored(counts.withColumn("upto", F.sum("n").over(upto)), "shares")
+    return stored(with_running_sum(counts, "label", "n", "upto"), "shares")
 
 
 def baseline_predict(

@@ -1,26 +1,38 @@
 """Centroid classifiers over weighted n-grams.
 
-A fitted model is one table with a row per term: its weight and its share in the
-centroid of each class that uses it. Scoring joins the postings of the items with
-that table once; neither items and classes nor documents are ever paired up.
+A fitted model keeps for each term the classes whose unit centroids it weighs most in, at
+most ``HEAD`` of them in order of impact, and the largest share any other class has in it;
+the remaining shares are rows of their own. To find an item's best classes, its terms meet
+their heads once. These give each class a score that it has at least and one that it
+cannot exceed, which decides for nearly all items; only what is missing of the classes
+still in question is looked up in the remaining shares. A term that all classes use is
+thus never spread over all classes, and neither items and classes nor documents are paired.
 """
 
 from __future__ import annotations
 
 import json
+from collections.abc import Iterable
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from shelfwise.fixed_values import TOP_K
 from shelfwise.functions.text import prep_model_text
 from shelfwise.operators.weights import (
     TermOptions,
     count_of,
+    counted,
+    exploded,
     icf_tdcb,
     idf,
     postings,
+    term_frequency,
     term_stats,
     unit_postings,
     vocabulary,
@@ -29,26 +41,34 @@ from shelfwise.operators.weights import (
 from shelfwise.session import new_path, stored
 
 SCORE_DIGITS = 9
+HEAD = 64  # classes kept with a term
+SLACK = 1e-8  # more than rounding can move a score
+
+
+def _cells(name: str, kind: T.DataType) -> T.ArrayType:
+    return T.ArrayType(T.StructType([T.StructField(name, kind), T.StructField("w", T.DoubleType())]))
 
 
 @dataclass(frozen=True)
 class CentroidModel:
-    """``terms``: ``(term, weight, shares array<struct<class_id, w>>)``;
+    """``heads``: ``(term, weight, head array<struct<class_id, w>>, rest)``, ``rest`` being the
+    largest share outside the head; ``tails``: ``(term, class_id, w)`` outside the heads;
     ``classes``: ``(class_id, class_name, length)``.
 
     A class is known by its first row, which orders classes as their running
-    number would and needs no numbering. ``shares`` are not normalized; the
-    length of each centroid is in ``classes``.
+    number would and needs no numbering. Shares are those of unit centroids.
     """
 
-    terms: DataFrame
+    heads: DataFrame
+    tails: DataFrame
     classes: DataFrame
     options: TermOptions
 
     def save(self, path: str) -> None:
-        self.terms.write.mode("overwrite").parquet(f"{path}/terms")
+        self.heads.write.mode("overwrite").parquet(f"{path}/heads")
+        self.tails.write.mode("overwrite").parquet(f"{path}/tails")
         self.classes.write.mode("overwrite").parquet(f"{path}/classes")
-        spark, text = self.terms.sparkSession, json.dumps(asdict(self.options))
+        spark, text = self.heads.sparkSession, json.dumps(asdict(self.options))
         spark.range(1).select(F.lit(text).alias("options")).write.mode("overwrite").parquet(f"{path}/options")
 
     @classmethod
@@ -57,14 +77,15 @@ class CentroidModel:
         read = spark.read.parquet
         kept = json.loads(read(f"{path}/options").first()["options"])
         kept = {**kept, "ngram_range": tuple(kept["ngram_range"]), "stopwords": tuple(kept["stopwords"])}
-        return cls(read(f"{path}/terms"), read(f"{path}/classes"), TermOptions(**kept))
+        return cls(read(f"{path}/heads"), read(f"{path}/tails"), read(f"{path}/classes"), TermOptions(**kept))
+
+    def shares(self) -> DataFrame:
+        """``(term, class_id, w)`` of all classes."""
+        return self.heads.select("term", F.inline("head")).unionByName(self.tails)
 
     def centroids(self) -> DataFrame:
         """Unit centroids: ``(class_name, term, w)``."""
-        shares = self.terms.select("term", F.inline("shares"))
-        return shares.join(self.classes, "class_id").select(
-            "class_name", "term", (F.col("w") / F.col("length")).alias("w")
-        )
+        return self.shares().join(self.classes, "class_id").select("class_name", "term", "w")
 
 
 def _labelled(df: DataFrame, row_id: str, text: str, label: str) -> tuple[DataFrame, DataFrame]:
@@ -83,25 +104,41 @@ def _labelled(df: DataFrame, row_id: str, text: str, label: str) -> tuple[DataFr
     return rows, classes
 
 
-def _model(terms: DataFrame, classes: DataFrame, options: TermOptions) -> CentroidModel:
-    """A model from ``(term, weight, shares)``.
+def _model(shares: DataFrame, classes: DataFrame, options: TermOptions, head: int) -> CentroidModel:
+    """A model from ``(term, class_id, weight, w)``.
 
-    Fitting ends here: both tables are written to the shared folder, so scoring
+    Fitting ends here: the tables are written to the shared folder, so scoring
     does not fit again, however often it reads them.
     """
-    spark = terms.sparkSession
+    spark = shares.sparkSession
     path = new_path(spark, "centroids")
-    terms.write.parquet(f"{path}/terms")
-    lengths = (
-        spark.read.parquet(f"{path}/terms")
-        .select(F.inline("shares"))
-        .groupBy("class_id")
-        .agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
-    )
+    shares = stored(shares, "shares")
+    lengths = shares.groupBy("class_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
     # a class whose documents have no term at all keeps a place, with length null
     known = classes.select("class_id", "class_name").join(lengths, "class_id", "left")
     known.write.parquet(f"{path}/classes")
-    return CentroidModel(spark.read.parquet(f"{path}/terms"), spark.read.parquet(f"{path}/classes"), options)
+    known = spark.read.parquet(f"{path}/classes")
+    unit = shares.join(known.select("class_id", "length"), "class_id").withColumn("w", F.col("w") / F.col("length"))
+    by_impact = Window.partitionBy("term").orderBy(F.desc("w"), "class_id")
+    # written as head and tail in one pass; a class's place in its term is found once
+    placed = unit.select("term", "class_id", "weight", "w", F.row_number().over(by_impact).alias("place"))
+    placed = stored(placed, "placed")
+    cell = F.struct("place", "class_id", "w")
+    heads = (
+        placed.where(F.col("place") <= head + 1)
+        .groupBy("term")
+        .agg(F.any_value("weight").alias("weight"), F.array_sort(F.collect_list(cell)).alias("first"))
+        .select(
+            "term",
+            "weight",
+            F.transform(F.slice("first", 1, head), lambda c: F.struct(c["class_id"].alias("class_id"), c["w"].alias("w"))).alias("head"),
+            F.coalesce(F.get("first", F.lit(head))["w"], F.lit(0.0)).alias("rest"),
+        )
+    )
+    heads.write.parquet(f"{path}/heads")
+    placed.where(F.col("place") > head).select("term", "class_id", "w").write.parquet(f"{path}/tails")
+    read = spark.read.parquet
+    return CentroidModel(read(f"{path}/heads"), read(f"{path}/tails"), known, options)
 
 
 def fit_tfidf(
@@ -110,29 +147,27 @@ def fit_tfidf(
     text: str,
     label: str,
     options: TermOptions = TermOptions(max_df=0.95),
+    head: int = HEAD,
 ) -> CentroidModel:
     """Centroids of L2-normalized TF-IDF vectors.
 
     A mean divides by all documents of the class, also those without any term.
-    The terms are found twice, for the statistics and for the weights: measured,
-    writing the postings to read them back costs more than that.
+    The texts are tokenized once: their counts are written and read twice.
     """
     rows, classes = _labelled(df, row_id, text, label)
-    posted = postings(rows, row_id, text, options, ["class_id", "n_docs"])
+    keep = ["class_id", "n_docs"]
+    posted = exploded(stored(counted(rows, row_id, text, options, keep), "counted"), row_id, keep)
     n_docs = count_of(df)
     weights = vocabulary(term_stats(posted), n_docs, options).select("term", idf(n_docs).alias("weight"))
     unit = unit_postings(weighted_postings(posted, weights, options), row_id)
-    shares = unit.groupBy("class_id", "term").agg(
+    shares = unit.groupBy("term", "class_id").agg(
         F.any_value("weight").alias("weight"), F.sum(F.col("w") / F.col("n_docs")).alias("w")
     )
-    terms = shares.groupBy("term").agg(
-        F.any_value("weight").alias("weight"), F.collect_list(F.struct("class_id", "w")).alias("shares")
-    )
-    return _model(terms, classes, options)
+    return _model(shares, classes, options, head)
 
 
 def fit_icf_tdcb(
-    df: DataFrame, row_id: str, text: str, label: str, options: TermOptions = TermOptions()
+    df: DataFrame, row_id: str, text: str, label: str, options: TermOptions = TermOptions(), head: int = HEAD
 ) -> CentroidModel:
     """Centroids of raw counts, weighted by ICF-TDCB.
 
@@ -141,7 +176,7 @@ def fit_icf_tdcb(
     """
     rows, classes = _labelled(df, row_id, text, label)
     n_docs = count_of(df)
-    per_term = (
+    per_class = (
         postings(rows, row_id, text, options, ["class_id", "n_docs"])
         .groupBy("term", "class_id")
         .agg(
@@ -150,55 +185,111 @@ def fit_icf_tdcb(
             F.sum(F.col("tf") * F.col("tf")).alias("tf2"),
             F.any_value("n_docs").alias("n_docs"),
         )
-        .groupBy("term")
-        .agg(
-            F.sum("df").alias("df"),
-            F.sum("cf").alias("cf"),
-            F.sum("tf2").alias("tf2"),
-            F.collect_list(F.struct("class_id", (F.col("cf") / F.col("n_docs")).alias("mean"))).alias("means"),
-        )
-        .where(F.col("df") >= options.min_df)
-        .select("term", icf_tdcb(n_docs).alias("weight"), "means")
     )
-    shares = F.transform(
-        "means", lambda m: F.struct(m["class_id"].alias("class_id"), (m["mean"] * F.col("weight")).alias("w"))
+    per_class = stored(per_class, "term-classes")
+    per_term = per_class.groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"), F.sum("tf2").alias("tf2"))
+    weights = per_term.where(F.col("df") >= options.min_df).select("term", icf_tdcb(n_docs).alias("weight"))
+    shares = per_class.join(weights, "term").select(
+        "term", "class_id", "weight", (F.col("cf") / F.col("n_docs") * F.col("weight")).alias("w")
     )
-    return _model(per_term.select("term", "weight", shares.alias("shares")), classes, options)
+    return _model(shares, classes, options, head)
 
 
 def scores(model: CentroidModel, df: DataFrame, row_id: str, text: str) -> DataFrame:
-    """Cosine of each item to the classes it shares terms with:
+    """Cosine of each item to all the classes it shares terms with:
     ``(row_id, class_id, class_name, score)``.
 
-    Each posting also carries its own weight under a null class, so one
-    aggregate yields the products with all classes and the item's squared length.
+    This is a row per item and class that share a term; ``best_classes`` finds the first few
+    of an item without these.
     """
     posted = postings(df, row_id, text, model.options)
-    weighted = weighted_postings(posted, model.terms, model.options)
-    own = F.array(F.struct(F.lit(None).cast("long").alias("class_id"), F.col("w").alias("w")))
-    sums = (
-        weighted.select(row_id, F.col("w").alias("item_w"), F.explode(F.concat("shares", own)).alias("s"))
-        .groupBy(row_id, F.col("s.class_id").alias("class_id"))
-        .agg(F.sum(F.col("item_w") * F.col("s.w")).alias("product"))
-    )
-    is_length = F.col("class_id").isNull()
+    weighted = weighted_postings(posted, model.heads.select("term", "weight"), model.options)
+    unit = unit_postings(weighted, row_id)
     return (
-        sums.groupBy(row_id)
-        .agg(
-            F.sqrt(F.max(F.when(is_length, F.col("product")))).alias("_len"),
-            F.collect_list(F.when(~is_length, F.struct("class_id", "product"))).alias("_found"),
-        )
-        .select(row_id, "_len", F.inline("_found"))
+        unit.join(model.shares().withColumnRenamed("w", "share"), "term")
+        .groupBy(row_id, "class_id")
+        .agg(F.sum(F.col("w") * F.col("share")).alias("score"))
         .join(model.classes, "class_id")
-        .select(
-            row_id,
-            "class_id",
-            "class_name",
-            (F.col("product") / (F.col("_len") * F.col("length"))).alias("score"),
-        )
+        .select(row_id, "class_id", "class_name", "score")
     )
 
 
+def _bounded(model: CentroidModel, df: DataFrame, row_id: str, text: str, k: int) -> DataFrame:
+    """``(row_id, found, asks, open)`` of the items that have known terms.
+
+    ``found`` are classes that can be among the ``k`` best with what the heads give them, as
+    unit scores. ``asks`` are the terms whose remaining shares they still need; with
+    ``open`` a class outside of all heads can be among the best, too.
+    """
+    posted = postings(df, row_id, text, model.options)
+    w = (term_frequency(model.options) * F.col("weight")).alias("w")
+    met = posted.join(model.heads, "term").select(row_id, F.struct("term", w, "head", "rest").alias("t"))
+    items = met.groupBy(row_id).agg(F.collect_list("t").alias("terms"))
+    schema = T.StructType(
+        [
+            *items.schema.fields[:1],
+            T.StructField("found", _cells("class_id", T.LongType())),
+            T.StructField("asks", _cells("term", T.StringType())),
+            T.StructField("open", T.BooleanType()),
+        ]
+    )
+    arrow = to_arrow_schema(schema)
+
+    def decide(terms: pa.StructScalar):
+        names, w, heads, rest = (terms.values.field(c) for c in ("term", "w", "head", "rest"))
+        w, rest = w.to_numpy(), rest.to_numpy()
+        w = w / np.sqrt((w * w).sum())
+        sizes = heads.value_lengths().to_numpy()
+        cells = heads.flatten()
+        ids, place = np.unique(cells.field("class_id").to_numpy(), return_inverse=True)
+        each = np.repeat(w, sizes)
+        least = np.bincount(place, each * cells.field("w").to_numpy(), len(ids))
+        # what a class may have in the terms whose heads it is not in
+        outside = float((w * rest).sum())
+        most = least + outside - np.bincount(place, each * np.repeat(rest, sizes), len(ids))
+        kth = np.partition(least, -k)[-k] if len(ids) >= k else 0.0
+        wanted = most >= kth - SLACK
+        asked = (rest > 0) & bool((most - least > SLACK)[wanted].any() or outside >= kth - SLACK)
+        found = [{"class_id": int(c), "w": float(s)} for c, s in zip(ids[wanted], least[wanted])]
+        return found, [{"term": names[i].as_py(), "w": float(w[i])} for i in np.flatnonzero(asked)], outside >= kth - SLACK and bool(asked.any())
+
+    def task(batches: Iterable[pa.RecordBatch]):
+        for b in batches:
+            rows = [decide(b.column(1)[i]) for i in range(b.num_rows)]
+            columns = zip(*rows) if rows else ([], [], [])
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, f.type) for c, f in zip(columns, list(arrow)[1:])]], schema=arrow)
+
+    return items.mapInArrow(task, schema)
+
+
+def best_classes(model: CentroidModel, df: DataFrame, row_id: str, text: str, k: int) -> DataFrame:
+    """``(row_id, best array<struct<neg, class_id, score>>)``: at most ``k`` classes, best first, ties to the lowest id.
+
+    Items without known terms have no row; classes with a score of 0 may be missing.
+    """
+    bounded = _bounded(model, df, row_id, text, k)
+    cell = lambda c: F.struct(
+        (-F.round(c["w"], SCORE_DIGITS)).alias("neg"), c["class_id"].alias("class_id"), c["w"].alias("score")
+    )
+    first = F.slice(F.array_sort(F.transform("found", cell)), 1, k).alias("best")
+    if model.tails.isEmpty():
+        return bounded.select(row_id, first)
+    bounded = stored(bounded, "bounded")
+    asking = bounded.where(F.size("asks") > 0)
+    terms = asking.select(row_id, "open", "found", F.explode("asks").alias("a")).select(row_id, "open", "found", "a.term", F.col("a.w").alias("item_w"))
+    closed = terms.where("NOT open").select(row_id, "term", "item_w", F.explode("found.class_id").alias("class_id"))
+    rows = closed.join(model.tails, ["term", "class_id"]).unionByName(
+        terms.where("open").select(row_id, "term", "item_w").join(model.tails, "term")
+    )
+    parts = rows.select(row_id, "class_id", (F.col("item_w") * F.col("w")).alias("w")).unionByName(
+        asking.select(row_id, F.inline("found"))
+    )
+    sums = parts.groupBy(row_id, "class_id").agg(F.sum("w").alias("w"))
+    looked_up = sums.groupBy(row_id).agg(F.collect_list(F.struct("class_id", "w")).alias("found"))
+    decided = bounded.where(F.size("asks") == 0).select(row_id, "found")
+    return decided.unionByName(looked_up).select(row_id, first)
+
+
 def predict(
     model: CentroidModel, df: DataFrame, row_id: str, text: str, k: int = TOP_K
 ) -> DataFrame:
@@ -208,23 +299,15 @@ def predict(
     an item without any known term has all its scores 0, as a full matrix product
     would give. With fewer than ``k`` classes the last columns are null.
     """
-
-    def place(neg, class_id, class_name, score):
-        return F.struct(
-            neg.alias("neg"), class_id.alias("class_id"), class_name.alias("class_name"), score.alias("score")
-        )
-
     # an item that meets m < k classes fills its places with the lowest ids it
     # has not met; at most m of the k lowest ids are met, so these k suffice
-    zero = place(F.lit(0.0), F.col("class_id"), F.col("class_name"), F.lit(0.0))
+    zero = F.struct(F.lit(0.0).alias("neg"), F.col("class_id"), F.lit(0.0).alias("score"))
     lowest = model.classes.orderBy("class_id").limit(k).agg(F.collect_list(zero)).scalar()
-    met = place(-F.round("score", SCORE_DIGITS), F.col("class_id"), F.col("class_name"), F.col("score"))
-    found = scores(model, df, row_id, text).groupBy(row_id).agg(F.collect_list(met).alias("_met"))
     placed = (
         df.select(row_id, prep_model_text(text).alias("product_text"))
-        .join(found, row_id, "left")
+        .join(best_classes(model, df, row_id, text, k), row_id, "left")
         .withColumn("_lowest", lowest)
-        .withColumn("_met", F.coalesce("_met", F.slice("_lowest", 1, 0)))
+        .withColumn("_met", F.coalesce("best", F.slice("_lowest", 1, 0)))
         .withColumn("_ids", F.transform("_met", lambda m: m["class_id"]))
         .withColumn("_unmet", F.filter("_lowest", lambda c: ~F.array_contains("_ids", c["class_id"])))
         .withColumn("_best", F.slice(F.array_sort(F.concat("_met", "_unmet")), 1, k))
@@ -232,6 +315,7 @@ def predict(
     columns = []
     for j in range(k):
         at = F.get("_best", F.lit(j))
-        columns += [at["class_name"].alias(f"class_{j + 1}_name"), at["score"].alias(f"score_{j + 1}")]
-    label = F.get("_best", F.lit(0))["class_name"].alias("label")
-    return placed.select(row_id, "product_text", label, *columns)
+        names = model.classes.select(F.col("class_id").alias(f"_class_{j}"), F.col("class_name").alias(f"class_{j + 1}_name"))
+        placed = placed.withColumns({f"_class_{j}": at["class_id"], f"score_{j + 1}": at["score"]}).join(names, f"_class_{j}", "left")
+        columns += [f"class_{j + 1}_name", f"score_{j + 1}"]
+    return placed.select(row_id, "product_text", F.col("class_1_name").alias("label"), *columns)

@@ -65,20 +65,15 @@ def hash_counts(
 ) -> DataFrame:
     """Signed hashed n-gram counts: ``(row_id, vector)``; every row has a vector.
 
-    The pivot runs on the partitioning by row that the postings already have.
+    The sums of a row are complete before the shuffle, which moves one row of ``dims`` numbers.
     """
     posted = postings(df, row_id, text, options, keep_empty=True)
     digest = F.md5("term")
     bucket = F.conv(F.substring(digest, 1, BUCKET_DIGITS), 16, 10).cast("long") % dims
     negative = F.substring(digest, BUCKET_DIGITS + 1, 1) >= "8"
-    counts = (
-        posted.select(row_id, bucket.alias("bucket"), F.when(negative, -F.col("tf")).otherwise(F.col("tf")).alias("v"))
-        .groupBy(row_id)
-        .pivot("bucket", list(range(dims)))
-        .agg(F.sum("v"))
-    )
-    cells = [F.coalesce(F.col(f"`{i}`"), F.lit(0)).cast("double") for i in range(dims)]
-    return counts.select(row_id, F.array(*cells).alias("vector"))
+    hashed = posted.select(row_id, bucket.alias("bucket"), F.when(negative, -F.col("tf")).otherwise(F.col("tf")).alias("v"))
+    sums = [F.coalesce(F.sum(F.when(F.col("bucket") == i, F.col("v"))), F.lit(0)).cast("double") for i in range(dims)]
+    return hashed.groupBy(row_id).agg(F.array(*sums).alias("vector"))
 
 
 def hash_embed(

@@ -1,27 +1,39 @@
 """Nearest classes by embedding.
 
-The class side of the comparison is a matrix. When its measured size is within
-``MAX_MATRIX_BYTES`` it is shipped once to each executor and every Arrow batch of
-items is scored by one matrix product: no shuffle of the items, no pair rows.
-A larger class side is cut into blocks of that size; items and blocks meet by a
-shuffle and each block returns only its ``k`` best, so the result is the same.
+The classes are indexed by balls: a bounded number of pivots that lie far from each other, and for each
+the classes that are closest to it, with their number and the largest distance from it. An
+item's products with the pivots bound its products with all classes of a ball, so that
+some balls surely hold its ``k`` best and others none. Items are sent to the balls that
+can matter, as blocks of vectors, and compared there by matrix products; what is skipped
+is never moved. The classes of a ball come in blocks of bounded size. Whether these or the
+items are shuffled for that is left to the optimizer, which knows the size of the written
+index. There is one way for every size, and no pair rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-MAX_MATRIX_BYTES = 64 << 20
+from shelfwise.session import stored
+
+PIVOTS = 1024  # balls at most
+BALL = 64  # classes per ball, while there are fewer than PIVOTS
+DRAWN = 4  # classes drawn for each ball
+BLOCK = 4096  # classes compared at once
+GATHERED = 1 << 16  # classes of a task that are sorted into balls together
+ITEMS = 4096  # items bounded at once
 MAX_SCORES = 4_000_000  # score cells held at a time
-ITEMS_PER_GROUP = 20_000
 DISTANCE_DIGITS = 9  # ties are decided on rounded distances, lowest class id first
+SLACK = 1e-8  # more than rounding can move a score
+PART = 33  # bits of an item's number within its task
 
 
 def mean_vectors(df: DataFrame, label: str, vector: str, dims: int) -> DataFrame:
@@ -74,20 +86,6 @@ def _best(items: np.ndarray, classes: np.ndarray, k: int) -> tuple[np.ndarray, n
     return positions, distances
 
 
-def _rows(ids: pa.Array, class_ids: pa.Array, found, schema: pa.Schema) -> pa.RecordBatch:
-    positions, distances = found
-    k = positions.shape[1]
-    repeated = pa.array(np.repeat(np.arange(len(ids)), k))
-    return pa.RecordBatch.from_arrays(
-        [
-            ids.take(repeated).cast(schema.field(0).type),
-            class_ids.take(pa.array(positions.ravel())).cast(schema.field(1).type),
-            pa.array(distances.ravel()),
-        ],
-        schema=schema,
-    )
-
-
 def _prepare(items, classes, item_id, class_id, vector):
     left = items.where(F.col(vector).isNotNull()).select(
         F.col(item_id).alias("item_id"), F.col(vector).cast("array<double>").alias("vector")
@@ -108,11 +106,117 @@ def _measure(classes: DataFrame) -> tuple[int, int]:
     return found.n, found.hi or 0
 
 
-def _class_matrix(classes: DataFrame, dims: int) -> tuple[pa.Array, np.ndarray]:
-    """The class side on the driver. Only called for a size already checked."""
-    table = classes.orderBy("class_id").toArrow()
-    ids = table.column("class_id").combine_chunks()
-    return ids, _matrix(table.column("vector"), dims)
+def _pivots(classes: DataFrame, count: int, dims: int, most: int) -> np.ndarray:
+    """Unit vectors of at most ``most`` classes that lie far from each other.
+
+    Of a few times as many classes, drawn by hash, each pivot is the one farthest from
+    those before it, so that clusters do not share a ball.
+    """
+    n = min(most, -(-count // BALL))
+    drawn = classes.orderBy(F.xxhash64("vector"), "class_id").limit(n * DRAWN).select("vector").toArrow()
+    x = np.unique(_matrix(drawn.column("vector"), dims), axis=0)
+    chosen, far = [0], np.full(len(x), np.inf)
+    while len(chosen) < min(n, len(x)):
+        far = np.minimum(far, ((x - x[chosen[-1]]) ** 2).sum(axis=1))
+        chosen.append(int(far.argmax()))
+    return x[chosen]
+
+
+def _ball_blocks(classes: DataFrame, pivots: np.ndarray, block: int) -> DataFrame:
+    """``(ball, n, radius, class_ids, vectors)``: classes sorted into balls where they lie, ids in order."""
+    id_type = classes.schema["class_id"].dataType
+    schema = T.StructType(
+        [
+            T.StructField("ball", T.LongType()), T.StructField("n", T.LongType()), T.StructField("radius", T.DoubleType()),
+            T.StructField("class_ids", T.ArrayType(id_type)), T.StructField("vectors", T.BinaryType()),
+        ]
+    )
+    arrow = to_arrow_schema(schema)
+    dims = pivots.shape[1]
+
+    def cut(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        table = table.sort_by("class_id")
+        x = _matrix(table.column("vector"), dims)
+        ids = table.column("class_id").combine_chunks()
+        ball = (x @ pivots.T).argmax(axis=1)
+        far = np.linalg.norm(x - pivots[ball], axis=1)
+        for g in np.unique(ball):
+            own = np.flatnonzero(ball == g)
+            for i in range(0, len(own), block):
+                at = own[i : i + block]
+                cells = [int(g), len(at), float(far[at].max()), ids.take(pa.array(at)).to_pylist(), x[at].tobytes()]
+                yield pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip(cells, arrow)], schema=arrow)
+
+    def task(batches: Iterable[pa.RecordBatch]):
+        kept, n = [], 0
+        for b in batches:
+            kept.append(b)
+            n += b.num_rows
+            if n >= GATHERED:
+                yield from cut(pa.Table.from_batches(kept))
+                kept, n = [], 0
+        if n:
+            yield from cut(pa.Table.from_batches(kept))
+
+    return classes.mapInArrow(task, schema)
+
+
+def _placed(items: DataFrame, pivots: np.ndarray, sizes: np.ndarray, radii: np.ndarray, k: int) -> DataFrame:
+    """``(ball, n, rows, item_ids, vectors)``: items with each ball that may hold one of their ``k`` best."""
+    id_type = items.schema["item_id"].dataType
+    schema = T.StructType(
+        [
+            T.StructField("ball", T.LongType()), T.StructField("n", T.LongType()), T.StructField("rows", T.BinaryType()),
+            T.StructField("item_ids", T.ArrayType(id_type)), T.StructField("vectors", T.BinaryType()),
+        ]
+    )
+    arrow = to_arrow_schema(schema)
+    sent = items.sparkSession.sparkContext.broadcast((pivots, sizes, radii))
+
+    def task(batches: Iterable[pa.RecordBatch]):
+        pivots, sizes, radii = sent.value
+        first = TaskContext.get().partitionId() << PART
+        for whole in batches:
+            for i in range(0, whole.num_rows, ITEMS):
+                b = whole.slice(i, ITEMS)
+                x = _matrix(b.column(1), pivots.shape[1])
+                middle = x @ pivots.T
+                reach = radii * np.linalg.norm(x, axis=1)[:, None]
+                # balls from the surest on, until they hold k classes: their least score is a bound
+                order = np.argsort(reach - middle, axis=1, kind="stable")
+                held = np.cumsum(sizes[order], axis=1) >= k
+                at = np.take_along_axis(order, held.argmax(axis=1)[:, None], axis=1)
+                least = np.where(held[:, -1], np.take_along_axis(middle - reach, at, axis=1)[:, 0], -np.inf)
+                wanted = middle + reach >= least[:, None] - SLACK
+                for g in np.flatnonzero(wanted.any(axis=0)):
+                    own = np.flatnonzero(wanted[:, g])
+                    cells = [int(g), len(own), (first + own).astype("<i8").tobytes(), b.column(0).take(pa.array(own)).to_pylist(), x[own].tobytes()]
+                    yield pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip(cells, arrow)], schema=arrow)
+                first += b.num_rows
+
+    return items.mapInArrow(task, schema)
+
+
+def _compared(met: DataFrame, schema: T.StructType, dims: int, k: int) -> DataFrame:
+    """The ``k`` best classes of a block for every item that meets it."""
+    arrow = to_arrow_schema(schema)
+
+    def task(batches: Iterable[pa.RecordBatch]):
+        for b in batches:
+            for i in range(b.num_rows):
+                rows, item_ids, vectors, class_ids, matrix = (b.column(j)[i] for j in range(5))
+                x = np.frombuffer(vectors.as_py()).reshape(-1, dims)
+                classes = np.frombuffer(matrix.as_py()).reshape(-1, dims)
+                positions, distances = _best(x, classes, k)
+                repeated = np.repeat(np.arange(len(x)), positions.shape[1])
+                cells = [
+                    np.frombuffer(rows.as_py(), "<i8")[repeated], item_ids.values.take(pa.array(repeated)),
+                    class_ids.values.take(pa.array(positions.ravel())), distances.ravel(),
+                ]
+                yield pa.RecordBatch.from_arrays([pa.array(c).cast(f.type) for c, f in zip(cells, arrow)], schema=arrow)
+
+    columns = ("rows", "item_ids", "vectors", "class_ids", "matrix")
+    return met.select(*columns).mapInArrow(task, schema)
 
 
 def nearest_classes(
@@ -122,74 +226,49 @@ def nearest_classes(
     class_id: str,
     vector: str,
     k: int = 1,
-    max_matrix_bytes: int = MAX_MATRIX_BYTES,
+    block: int = BLOCK,
+    pivots: int = PIVOTS,
+    seen: Observation | None = None,
 ) -> DataFrame:
     """``(item_id, class_id, distance)`` of the ``k`` nearest classes by cosine.
 
-    Items without a vector have no nearest class and no row.
+    Items without a vector have no nearest class and no row; items that repeat an id have
+    rows of their own. ``block`` bounds the classes compared at once and ``pivots`` the
+    balls. ``seen`` observes ``pairs``: how many pairs of an item and a class are compared.
     """
     left, right = _prepare(items, classes, item_id, class_id, vector)
     schema = T.StructType(
         [
+            T.StructField("row", T.LongType()),
             T.StructField("item_id", left.schema["item_id"].dataType),
             T.StructField("class_id", right.schema["class_id"].dataType),
             T.StructField("distance", T.DoubleType()),
         ]
     )
-    arrow_schema = to_arrow_schema(schema)
-    # measured and used below; computed once
-    right = right.persist()
+    right = stored(right, "nearest-classes")  # measured, drawn from and indexed
     count, dims = _measure(right)
     if count == 0:
-        right.unpersist()
-        return left.sparkSession.createDataFrame([], schema)
-
-    if count * dims * 8 <= max_matrix_bytes:
-        shared = left.sparkSession.sparkContext.broadcast(_class_matrix(right, dims))
-        right.unpersist()
-
-        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, matrix = shared.value
-            for batch in batches:
-                found = _best(_matrix(batch.column(1), dims), matrix, k)
-                yield _rows(batch.column(0), ids, found, arrow_schema)
-
-        return left.mapInArrow(score, schema)
-
-    def best_of_block(block: pa.Table, chunk: pa.Table) -> pa.Table:
-        block = block.sort_by("class_id")
-        if not len(block) or not len(chunk):
-            return arrow_schema.empty_table()
-        found = _best(_matrix(chunk.column("vector"), dims), _matrix(block.column("vector"), dims), k)
-        ids = chunk.column("item_id").combine_chunks()
-        class_ids = block.column("class_id").combine_chunks()
-        return pa.Table.from_batches([_rows(ids, class_ids, found, arrow_schema)])
-
-    candidates = _meet_blocks(left, right, count * dims * 8, max_matrix_bytes).applyInArrow(
-        best_of_block, schema
-    )
-    return top_k(candidates, k)
-
-
-def _meet_blocks(left: DataFrame, right: DataFrame, size: int, block_bytes: int):
-    """Pair every chunk of items with every block of classes."""
-    blocks = -(-size // max(1, block_bytes))
-    chunks = max(1, -(-left.count() // ITEMS_PER_GROUP))
-    chunk_of = F.pmod(F.xxhash64("item_id", "vector"), F.lit(chunks))
-    block_of = F.pmod(F.xxhash64("class_id", "vector"), F.lit(blocks))
-    all_blocks = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
-    all_chunks = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long")))
-    items = left.select("item_id", "vector", chunk_of.alias("chunk"), all_blocks.alias("block"))
-    classes = right.select("class_id", "vector", block_of.alias("block"), all_chunks.alias("chunk"))
-    return classes.groupBy("block", "chunk").cogroup(items.groupBy("block", "chunk"))
-
-
-def top_k(scored: DataFrame, k: int) -> DataFrame:
+        return left.sparkSession.createDataFrame([], schema).drop("row")
+    centres = _pivots(right, count, dims, pivots)
+    index = stored(_ball_blocks(right, centres, block), "nearest-index")
+    sizes, radii, blocks = np.zeros(len(centres)), np.zeros(len(centres)), 0
+    # one row per ball
+    for r in index.groupBy("ball").agg(F.sum("n").alias("n"), F.max("radius").alias("radius"), F.count("*").alias("blocks")).collect():
+        sizes[r.ball], radii[r.ball], blocks = r.n, r.radius, blocks + r.blocks
+    placed = _placed(left, centres, sizes, radii, k)
+    met = placed.join(index.select("ball", F.col("n").alias("n_classes"), "class_ids", F.col("vectors").alias("matrix")), "ball")
+    if seen is not None:
+        met = met.observe(seen, F.sum(F.col("n") * F.col("n_classes")).alias("pairs"))
+    found = _compared(met, schema, dims, k)
+    if blocks > 1:  # an item's best of several blocks
+        found = _merged(found, k)
+    return found.drop("row")
+
+
+def _merged(found: DataFrame, k: int) -> DataFrame:
     """The ``k`` lowest distances per item, ties to the lowest class id."""
-    if k == 1:
-        best = F.min(F.struct(_order_key().alias("key"), "class_id", "distance")).alias("b")
-        return scored.groupBy("item_id").agg(best).select("item_id", "b.class_id", "b.distance")
-    return ranked(scored).where(F.col("rank") <= k).drop("rank")
+    order = Window.partitionBy("row").orderBy(_order_key(), "class_id")
+    return found.withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= k).drop("_place")
 
 
 def _order_key() -> Column:
@@ -210,13 +289,13 @@ def similar(
     vector: str,
     k: int,
     at_least: float = -1.0,
-    max_matrix_bytes: int = MAX_MATRIX_BYTES,
+    block: int = BLOCK,
 ) -> DataFrame:
     """The ``k`` most similar classes of each item: ``(item_id, class_id, score)``.
 
     Only similarities of ``at_least`` count, so the output is linear in the items.
     """
-    best = nearest_classes(items, classes, item_id, class_id, vector, k, max_matrix_bytes)
+    best = nearest_classes(items, classes, item_id, class_id, vector, k, block)
     return best.select("item_id", "class_id", (F.lit(1.0) - F.col("distance")).alias("score")).where(F.col("score") >= at_least)
 
 

@@ -40,16 +40,16 @@ def dedup_rows(df: DataFrame) -> DataFrame:
 def dedup_keep_first(df: DataFrame, keys: list[str], row_id: str) -> DataFrame:
     """The row with the lowest ``row_id`` per key; null keys count as equal.
 
-    ``min_by`` pre-aggregates before the shuffle, so a key that holds a third of
-    all rows sends one row per task.
+    ``row_id`` tells the rows of a key apart. The lowest number of a key is a hash aggregate with
+    partial sums, so a key that holds a third of all rows sends one number per task. Rows
+    then meet these numbers by key and number: almost every pair of these is another hash,
+    so the hot key does not meet in one task, and no row is sorted.
     """
-    rest = [c for c in df.columns if c not in keys]
-    first = df.groupBy(*keys).agg(
-        F.min_by(F.struct(*rest), F.col(row_id)).alias("_first")
-    )
-    return first.select(
-        *[F.col(c) if c in keys else F.col(f"_first.{c}").alias(c) for c in df.columns]
-    )
+    first = df.groupBy(*[F.col(k).alias(f"_first_{i}") for i, k in enumerate(keys)]).agg(F.min(row_id).alias("_first"))
+    same = F.col(row_id).eqNullSafe(F.col("_first"))
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_first_{i}"))
+    return df.join(first.hint("shuffle_hash"), same, "left_semi")
 
 
 def with_position(df: DataFrame, order: str, name: str = "position") -> DataFrame:
@@ -78,6 +78,26 @@ def with_position(df: DataFrame, order: str, name: str = "position") -> DataFram
     )
 
 
+def with_running_sum(df: DataFrame, order: str, value: str, name: str) -> DataFrame:
+    """The sum of a whole-number column up to and including each row, by a unique column.
+
+    Two levels: rows are sorted by ranges that follow their real distribution and written
+    with their partition; the sums before each partition, one number per task of the sort,
+    are added up on the driver, and a window runs within a partition only.
+    """
+    spark = df.sparkSession
+    ordered = stored(df.orderBy(order).withColumn("_slot", F.monotonically_increasing_id()), "sums")
+    ordered = ordered.withColumn("_part", F.shiftright("_slot", 33))
+    before, total = [], 0
+    for r in sorted(ordered.groupBy("_part").agg(F.sum(value).alias("n")).collect()):
+        before.append((r[0], total))
+        total += r.n or 0
+    starts = spark.createDataFrame(before, "_part long, _start long")
+    own = Window.partitionBy("_part").orderBy("_slot").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    upto = F.col("_start") + F.sum(value).over(own)
+    return ordered.join(starts, "_part").withColumn(name, upto).drop("_part", "_slot", "_start")
+
+
 def class_ids(df: DataFrame, label: str, row_id: str) -> DataFrame:
     """Distinct non-null labels numbered by first appearance."""
     firsts = (

@@ -1,57 +1,46 @@
-"""Per-level supervised classifiers on sparse TF-IDF features."""
+"""Per-level supervised classifiers on sparse TF-IDF features.
+
+The models of all levels are trained together: linear SVMs share their passes, and so do
+the trees of forests.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
-from pyspark.ml.classification import LinearSVC, OneVsRest, RandomForestClassifier
-from pyspark.ml.feature import IndexToString, StringIndexer
-from pyspark.ml.linalg import VectorUDT
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shelfwise.functions.text import prep_ascii, prep_symbols
-from shelfwise.operators.metrics import class_weights
-from shelfwise.operators.weights import (
-    TermOptions,
-    count_of,
-    idf,
-    postings,
-    term_frequency,
-    term_stats,
-    vocabulary,
-)
-from shelfwise.session import shared_dir, stored
+from shelfwise.operators import forest, svm
+from shelfwise.operators.sparse import Features, Rows, blocks, fit_features, shipped, slices
+from shelfwise.operators.weights import TermOptions
+from shelfwise.session import stored
 
 
 @dataclass(frozen=True)
 class ForestOptions:
-    """``min_samples_split`` of the original has no counterpart in Spark."""
+    """``min_split`` and ``min_leaf`` count the rows drawn into a tree, each once."""
 
     trees: int = 200
     depth: int = 20
+    min_split: int = 5
     min_leaf: int = 2
-    feature_subset: str = "sqrt"
     seed: int = 42
 
 
 @dataclass(frozen=True)
 class SvmOptions:
-    """``max_iter`` steps of Spark's solver, each at least a pass over the data per
-    class. 20 is chosen for time: on one small table 100 gave about the same
-    training accuracy (0.51 and 0.50, 1.0 and 1.0); raise it for larger ones."""
+    """A class is solved when its gradient has shrunk to ``tol`` of that at zero;
+    ``max_iter`` is a backstop on the passes."""
 
     c: float = 1.0
-    max_iter: int = 20
     tol: float = 1e-4
-
-
-
-# Training passes over the rows many times: no more tasks than are worth a launch.
-ROWS_PER_TASK = 10_000
+    max_iter: int = 1_000
 
 
 def forest_terms(stopwords: Sequence[str]) -> TermOptions:
@@ -62,75 +51,25 @@ def svm_terms(stopwords: Sequence[str]) -> TermOptions:
     return TermOptions((1, 2), 2, 0.95, 15_000, True, tuple(stopwords))
 
 
-def _sparse(size: int):
-    """Arrays of indices and values to ML sparse vectors, a batch at a time."""
+class SvmScorer:
+    """Weights of the classes of several levels, in groups of bounded size."""
 
-    @F.pandas_udf(VectorUDT())
-    def build(indices: pd.Series, values: pd.Series) -> pd.DataFrame:
-        n = len(indices)
-        return pd.DataFrame(
-            {
-                "type": np.zeros(n, dtype=np.int8),
-                "size": np.full(n, size, dtype=np.int32),
-                "indices": indices,
-                "values": values,
-            }
-        )
+    def __init__(self, groups: list[tuple[list[svm.Column], np.ndarray]]):
+        self.groups = groups
 
-    return build
-
-
-@dataclass(frozen=True)
-class Features:
-    """A fitted vocabulary ``(term, idx, weight)``: at most ``max_features`` rows."""
-
-    terms: DataFrame
-    size: int
-    options: TermOptions
-    prepare: Callable[[Column], Column]
-
-    def transform(self, df: DataFrame, row_id: str, text: str, keep: Sequence[str] = ()) -> DataFrame:
-        """``(row_id, *keep, features)``; a text without known terms gets a zero vector.
-
-        The postings are partitioned by row and the vocabulary is small, so the
-        vectors are assembled where the text was read.
-        """
-        texts = df.select(row_id, *keep, self.prepare(F.col(text)).alias("_text"))
-        w = term_frequency(self.options) * F.col("weight")
-        cell = F.when(F.col("idx").isNotNull(), F.struct("idx", w.alias("w")))
-        cells = (
-            postings(texts, row_id, "_text", self.options, keep, keep_empty=True)
-            .join(self.terms, "term", "left")
-            .groupBy(row_id, *keep)
-            .agg(F.array_sort(F.collect_list(cell)).alias("cells"))
-        )
-        weights = F.transform("cells", lambda c: c["w"])
-        length = F.sqrt(F.aggregate(weights, F.lit(0.0), lambda s, x: s + x * x))
-        unit = F.transform(weights, lambda x: x / length)
-        indices = F.transform("cells", lambda c: c["idx"])
-        return cells.select(row_id, *keep, _sparse(self.size)(indices, unit).alias("features"))
-
-
-def fit_features(
-    df: DataFrame, row_id: str, text: str, options: TermOptions, prepare: Callable[[Column], Column]
-) -> Features:
-    """Vocabulary and weights of the training rows.
-
-    Indices run in term order over at most ``max_features`` rows. The table is
-    written to the shared folder once; fitting, training and scoring read it.
-    """
-    if options.max_features is None:
-        raise ValueError("a model needs max_features: its size grows with the vocabulary")
-    shared_dir(df.sparkSession)
-    n_docs = count_of(df)
-    texts = df.select(row_id, prepare(F.col(text)).alias("_text"))
-    kept = vocabulary(term_stats(postings(texts, row_id, "_text", options)), n_docs, options)
-    terms = kept.select(
-        "term",
-        (F.row_number().over(Window.orderBy("term")) - 1).cast("int").alias("idx"),
-        idf(n_docs).alias("weight"),
-    ).checkpoint()
-    return Features(terms, terms.count(), options, prepare)
+    def codes(self, rows: Rows, level: int) -> np.ndarray:
+        """The class with the largest margin, ties to the first."""
+        best, out = np.full(len(rows), -np.inf), np.zeros(len(rows), np.int64)
+        for columns, w in self.groups:
+            own = [i for i, c in enumerate(columns) if c.level == level]
+            if not own:
+                continue
+            margin = np.round(rows.times(w[:-1, own]) + w[-1, own], 9)
+            at = margin.argmax(axis=1)
+            top = margin[np.arange(len(rows)), at]
+            out = np.where(top > best, np.array([columns[i].code for i in own])[at], out)
+            best = np.maximum(top, best)
+        return out
 
 
 @dataclass
@@ -140,46 +79,65 @@ class LevelModels:
     features: Features
     models: dict[str, object] = field(default_factory=dict)
     labels: dict[str, list[str]] = field(default_factory=dict)
-    constants: dict[str, str] = field(default_factory=dict)
+    constants: dict[str, str | None] = field(default_factory=dict)
+    places: dict[str, int] = field(default_factory=dict)
 
     def predict(self, df: DataFrame, row_id: str, text: str, keep: Sequence[str] = ()) -> DataFrame:
-        """``(row_id, *keep, predicted_<level> ...)``."""
-        out = self.features.transform(df, row_id, text, keep)
-        names = list(self.models) + list(self.constants)
-        for level, model in self.models.items():
-            scored = model.setPredictionCol(f"_p_{level}").transform(out)
-            decode = IndexToString(
-                inputCol=f"_p_{level}", outputCol=f"predicted_{level}", labels=self.labels[level]
-            )
-            out = decode.transform(scored).select(
-                *out.columns, f"predicted_{level}"
-            )
-        out = out.withColumns({f"predicted_{v}": F.lit(label) for v, label in self.constants.items()})
-        return out.select(row_id, *keep, *[f"predicted_{v}" for v in names])
-
-
-def _train(
-    train: DataFrame, row_id: str, text: str, levels: Sequence[str], features: Features, estimator
-) -> LevelModels:
+        """``(row_id, *keep, predicted_<level> ...)``, one pass over the rows for all levels."""
+        rows = self.features.transform(df, row_id, text, keep)
+        first = rows.columns[:-2]
+        levels = list(self.models)
+        shared = shipped(df.sparkSession, (self.models, self.labels, self.places))
+
+        def task(batches: Iterable[pa.RecordBatch]):
+            models, labels, places = shared()
+            for b in batches:
+                x = Rows.of(b.column(len(first)), b.column(len(first) + 1))
+                found = []
+                for level in levels:
+                    parts = [models[level].codes(x.part(i, j), places[level]) for i, j in slices(x)]
+                    names = np.array(labels[level], dtype=object)
+                    found.append(pa.array(names[np.concatenate(parts)] if parts else [], pa.string()))
+                yield pa.RecordBatch.from_arrays([*b.columns[: len(first)], *found], [*first, *[f"predicted_{v}" for v in levels]])
+
+        fields = [*rows.schema.fields[: len(first)], *[T.StructField(f"predicted_{v}", T.StringType()) for v in levels]]
+        out = rows.mapInArrow(task, T.StructType(fields)) if levels else rows
+        out = out.withColumns({f"predicted_{v}": F.lit(label).cast("string") for v, label in self.constants.items()})
+        return out.select(row_id, *keep, *[f"predicted_{v}" for v in [*self.models, *self.constants]])
+
+
+def class_counts(rows: DataFrame, levels: Sequence[str]) -> dict[str, dict[str, int]]:
+    """Labelled rows per class of each level, classes in order; a model has an entry per class anyway."""
+    cells = [F.struct(F.lit(v).alias("level"), F.col(v).cast("string").alias("label")) for v in levels]
+    counted = rows.select(F.inline(F.array(*cells))).where("label IS NOT NULL").groupBy("level", "label").agg(F.count("*").alias("n"))
+    out: dict[str, dict[str, int]] = {level: {} for level in levels}
+    for r in sorted(counted.collect(), key=lambda r: r.label):
+        out[r.level][r.label] = r.n
+    return out
+
+
+def _train(train: DataFrame, row_id: str, text: str, levels: Sequence[str], features: Features, fit) -> LevelModels:
+    """``fit(rows, blocks, trained, weights)`` gives a model per place in ``levels``; ``weights`` are balanced."""
     fitted = LevelModels(features)
-    vectors = features.transform(train, row_id, text, levels).persist()
-    n_rows = vectors.count()
+    rows = stored(features.transform(train, row_id, text, levels), "supervised-rows")
+    counts = class_counts(rows, levels)
+    fitted.labels = {level: list(counts[level]) for level in levels}
+    fitted.places = {level: i for i, level in enumerate(levels)}
+    trained = [i for i, level in enumerate(levels) if len(counts[level]) > 1]
     for level in levels:
-        rows = vectors.where(F.col(level).isNotNull())
-        weights = stored(class_weights(rows, level).select(level, "weight"), "class_weights")
-        # class counts, not rows: the model keeps one entry per class anyway
-        indexer = StringIndexer(inputCol=level, outputCol="_label", stringOrderType="alphabetAsc").fit(rows)
-        fitted.labels[level] = indexer.labels
-        if len(indexer.labels) < 2:
-            fitted.constants[level] = indexer.labels[0]
-            continue
-        labelled = (
-            indexer.transform(rows.join(weights, level))
-            .select("features", "_label", "weight")
-            .coalesce(max(1, n_rows // ROWS_PER_TASK))
-        )
-        fitted.models[level] = estimator(n_rows).fit(labelled)
-    vectors.unpersist()
+        if len(counts[level]) < 2:
+            fitted.constants[level] = next(iter(counts[level]), None)
+    if trained:
+        weights = []
+        for level in levels:
+            n = np.array(list(counts[level].values()), float)
+            weights.append(n.sum() / (len(n) * n) if len(n) else n)
+        packed = blocks(rows, levels, fitted.labels, row_id).persist()
+        try:
+            found = fit(rows, packed, trained, weights)
+        finally:
+            packed.unpersist()
+        fitted.models = {levels[i]: found[i] for i in trained}
     return fitted
 
 
@@ -191,22 +149,18 @@ def train_forest(
     stopwords: Sequence[str] = (),
     options: ForestOptions = ForestOptions(),
 ) -> LevelModels:
-    """A random forest per level on 1- to 3-grams."""
+    """A random forest per level on 1- to 3-grams; a node looks at the square root of the features."""
     features = fit_features(train, row_id, text, forest_terms(stopwords), prep_ascii)
 
-    def estimator(_: int) -> RandomForestClassifier:
-        return RandomForestClassifier(
-            labelCol="_label",
-            featuresCol="features",
-            weightCol="weight",
-            numTrees=options.trees,
-            maxDepth=options.depth,
-            minInstancesPerNode=options.min_leaf,
-            featureSubsetStrategy=options.feature_subset,
-            seed=options.seed,
-        )
+    def fit(rows, packed, trained, weights):
+        cuts = forest.cut_points(rows, features.size)
+        share = max(features.size, 1) ** -0.5
+        growth = forest.Growth(options.trees, options.depth, options.min_split, options.min_leaf, share, options.seed)
+        sizes = [len(w) for w in weights]
+        model = forest.Voter(forest.grow(packed, cuts, sizes, weights, trained, growth), cuts, sizes)
+        return dict.fromkeys(trained, model)
 
-    return _train(train, row_id, text, levels, features, estimator)
+    return _train(train, row_id, text, levels, features, fit)
 
 
 def train_svm(
@@ -216,26 +170,23 @@ def train_svm(
     levels: Sequence[str],
     stopwords: Sequence[str] = (),
     options: SvmOptions = SvmOptions(),
+    passes: list | None = None,
 ) -> LevelModels:
-    """A one-vs-rest linear SVM per level on 1- and 2-grams.
+    """A one-vs-rest linear SVM with squared hinge loss per level on 1- and 2-grams.
 
-    The penalty ``c`` weighs the summed loss, Spark's ``regParam`` the squared
-    norm against the mean loss, hence ``1 / (c * n)``.
+    ``passes`` gets the number of passes over the rows.
     """
     features = fit_features(train, row_id, text, svm_terms(stopwords), prep_symbols)
 
-    def estimator(n_rows: int) -> OneVsRest:
-        svm = LinearSVC(
-            featuresCol="features",
-            labelCol="_label",
-            weightCol="weight",
-            regParam=1.0 / (options.c * max(1, n_rows)),
-            maxIter=options.max_iter,
-            tol=options.tol,
-            standardization=False,
-        )
-        return OneVsRest(
-            classifier=svm, labelCol="_label", featuresCol="features", weightCol="weight", parallelism=8
-        )
-
-    return _train(train, row_id, text, levels, features, estimator)
+    def fit(rows, packed, trained, weights):
+        columns = []
+        for i in trained:
+            two = len(weights[i]) == 2
+            columns += [svm.Column(i, j, w, weights[i][1 - j] if two else 1.0) for j, w in enumerate(weights[i])]
+        solved = [
+            (group, svm.solve(packed, features.size, group, options.c, options.tol, options.max_iter, passes))
+            for group in svm.groups(features.size, columns)
+        ]
+        return dict.fromkeys(trained, SvmScorer(solved))
+
+    return _train(train, row_id, text, levels, features, fit)

@@ -1,23 +1,27 @@
-"""Term statistics and weights over long ``(doc, term, tf)`` tables.
+"""Term statistics and weights over ``(doc, term, tf)`` postings.
 
-A document stays on one partition until its terms leave it: the raw text is
-partitioned by document, which is smaller than its postings, and the counts per
-``(doc, term)`` then need no shuffle of their own. Per-term work is partially
-aggregated first, so a term that occurs in every document costs one row per task.
+The terms of a text are counted where it is read, in one row per document, so that no
+text is shuffled and counts per document need no aggregate. Flows that read the postings
+more than once write these rows and read them back; a text is tokenized once. Per-term
+work is partially aggregated first, so a term that occurs in every document costs one row
+per task.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterable
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shelfwise.functions.text import prep_model_text
 from shelfwise.functions.tokens import drop_stopwords, tokenize
+from shelfwise.session import stored
 
-END = 2**31 - 1  # slice to the end of an array
 EPSILON = 1e-9  # fixed value: keeps logarithms and divisions finite
 
 
@@ -33,6 +37,51 @@ class TermOptions:
     stopwords: tuple[str, ...] = ()
 
 
+def term_counts(tokens: list[str], low: int, high: int) -> Counter:
+    """n-grams of ``low`` to ``high`` words with their numbers."""
+    found = Counter(tokens) if low == 1 else Counter()
+    for n in range(max(low, 2), high + 1):
+        found.update(map(" ".join, zip(*(tokens[i:] for i in range(n)))))
+    return found
+
+
+def counted(df: DataFrame, doc: str, text: str, options: TermOptions = TermOptions(), keep: Iterable[str] = ()) -> DataFrame:
+    """``(doc, *keep, terms, tfs)``: the terms of each row's text and how often each is there.
+
+    Words come from column expressions; joining and counting them is one pass over
+    Arrow batches, less work than a row per n-gram that is then aggregated.
+    """
+    keep = list(keep)
+    low, high = options.ngram_range
+    tokens = drop_stopwords(tokenize(prep_model_text(text)), options.stopwords)
+    rows = df.select(doc, *keep, tokens.alias("_t"))
+    first = rows.columns[:-1]
+    fields = [
+        *rows.schema.fields[:-1], T.StructField("terms", T.ArrayType(T.StringType())), T.StructField("tfs", T.ArrayType(T.IntegerType())),
+    ]
+
+    def task(batches: Iterable[pa.RecordBatch]):
+        for b in batches:
+            terms, tfs, ends = [], [], [0]
+            for tokens in b.column(len(first)).to_pylist():
+                found = term_counts(tokens or [], low, high)
+                terms += found.keys()
+                tfs += found.values()
+                ends.append(len(terms))
+            ends = pa.array(ends, pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, pa.array(v, t)) for v, t in ((terms, pa.string()), (tfs, pa.int32()))]
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(first)], *lists], [*first, "terms", "tfs"])
+
+    return rows.mapInArrow(task, T.StructType(fields))
+
+
+def exploded(rows: DataFrame, doc: str, keep: Iterable[str] = (), keep_empty: bool = False) -> DataFrame:
+    """``(doc, *keep, term, tf)`` of counted rows; with ``keep_empty`` a row without terms has one with a null term."""
+    each = F.inline_outer if keep_empty else F.inline
+    cells = rows.select(doc, *keep, each(F.arrays_zip("terms", "tfs")))
+    return cells.select(doc, *keep, F.col("terms").alias("term"), F.col("tfs").cast("long").alias("tf"))
+
+
 def postings(
     df: DataFrame,
     doc: str,
@@ -41,33 +90,9 @@ def postings(
     keep: Iterable[str] = (),
     keep_empty: bool = False,
 ) -> DataFrame:
-    """``(doc, *keep, term, tf)``, the number of times a term is in a document.
-
-    With ``keep_empty`` each document also has one row with a null term. Each
-    word becomes a row with its followers, and the n-grams that start there are
-    joined in generated code: less than half the time of building whole arrays
-    of n-grams with higher-order functions.
-    """
+    """``(doc, *keep, term, tf)``, the number of times a term is in a document."""
     keep = list(keep)
-    low, high = options.ngram_range
-    tokens = drop_stopwords(tokenize(prep_model_text(text)), options.stopwords)
-    shifted = [F.slice("_t", n + 1, END).alias(f"_w{n}") for n in range(high)]
-    inline = F.inline_outer if keep_empty else F.inline
-    grams, gram = [], F.col("_w0")
-    for n in range(high):
-        gram = F.concat(gram, F.lit(" "), F.col(f"_w{n}")) if n else gram
-        if n + 1 >= low:
-            grams.append(gram)
-    terms = (
-        df.select(doc, *keep, text)
-        .repartition(doc)
-        .select(doc, *keep, tokens.alias("_t"))
-        .select(doc, *keep, inline(F.arrays_zip(*shifted)))
-        .select(doc, *keep, F.explode(F.array(*grams)).alias("term"))
-    )
-    if not keep_empty:
-        terms = terms.where(F.col("term").isNotNull())
-    return terms.groupBy(doc, *keep, "term").agg(F.count("term").alias("tf"))
+    return exploded(counted(df, doc, text, options, keep), doc, keep, keep_empty)
 
 
 def count_of(df: DataFrame) -> Column:
@@ -142,8 +167,9 @@ def unit_postings(weighted: DataFrame, doc: str) -> DataFrame:
 def tfidf(
     df: DataFrame, doc: str, text: str, options: TermOptions, keep: Iterable[str] = ()
 ) -> DataFrame:
-    """L2-normalized TF-IDF: ``(doc, *keep, term, w)``."""
-    posted = postings(df, doc, text, options, keep)
+    """L2-normalized TF-IDF: ``(doc, *keep, term, w)``. The counts are written once and read twice."""
+    keep = list(keep)
+    posted = exploded(stored(counted(df, doc, text, options, keep), "counted"), doc, keep)
     n_docs = count_of(df)
     weights = vocabulary(term_stats(posted), n_docs, options).select(
         "term", idf(n_docs).alias("weight")

@@ -32,6 +32,16 @@ def read_csv(
     return (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(path)
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """The rows of a scan dealt out over the cores, if it has fewer files than these.
+
+    A small table of one file with one row group is otherwise read, and all that follows
+    up to the first shuffle is done, by one core. A table of many files stays as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if len(df.inputFiles()) >= cores else df.repartition(cores)
+
+
 def load_table(spark: SparkSession, path: str, schema: T.StructType | str | None = None, **options) -> DataFrame:
     """Read a file or folder by its extension."""
     extension = path.rstrip("/").rsplit(".", 1)[-1].lower()

@@ -4,13 +4,16 @@ import math
 import random
 from collections import Counter, defaultdict
 
+import ahocorasick
+import numpy as np
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from conftest import values
 from shelfwise.functions import vectors
 from shelfwise.functions.codes import path_key, type_name
-from shelfwise.operators import baseline, centroid, enrich, lookup, metrics, nearest, rows, validate, votes
+from shelfwise.operators import baseline, centroid, enrich, lookup, metrics, nearest, rows, similarity, validate, votes
 from shelfwise.operators import taxonomy as tree
 from shelfwise.operators.weights import TermOptions, tfidf
 from shelfwise.sources import tables
@@ -24,6 +27,32 @@ def test_dedup_keeps_lowest_row(spark):
     assert values(rows.dedup_keep_first(df, ["k"], "i")) == [(0, None, "w"), (1, "a", "y")]
 
 
+def test_dedup_sorts_no_rows(spark):
+    """The plan has hash aggregates and a hash join only, and a hot key is whole."""
+    data = [(i, "hot" if i % 3 else f"k{i}", None if i % 2 else i, f"v{i}") for i in range(400)]
+    df = spark.createDataFrame(data, "i long, k string, n long, v string").repartition(5)
+    found = rows.dedup_keep_first(df, ["k", "n"], "i")
+    best: dict = {}
+    for r in data:
+        best.setdefault((r[1], r[2]), r)
+    assert values(found) == sorted(best.values(), key=repr)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Sort" not in plan and "HashJoin" in plan
+    assert rows.dedup_keep_first(df.limit(0), ["k"], "i").count() == 0
+
+
+def test_running_sum_of_many_classes(spark):
+    counts = spark.range(100_000).select(F.concat(F.lit("c"), F.lpad("id", 6, "0")).alias("label"), (F.col("id") % 7).alias("n"))
+    found = rows.with_running_sum(counts.repartition(8), "label", "n", "upto")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan
+    total, wrong = 0, 0
+    for r in sorted(found.collect()):
+        total += r.n
+        wrong += r.upto != total
+    assert not wrong and total == sum(i % 7 for i in range(100_000))
+
+
 def test_positions_over_gaps(spark):
     ids = random.Random(1).sample(range(10**12), 500) + [-5, 0]
     df = spark.createDataFrame([(i,) for i in ids], "id long")
@@ -81,6 +110,39 @@ def test_brands_of_every_length(spark):
     assert values(lookup.strip_brand_join(df, "i", "s", brands, "b"), "i", "stripped") == [(0, " tv"), (1, " tv")]
 
 
+def test_brands_in_pieces(spark):
+    """The longest brand wins whichever piece of the dictionary it is in; no text becomes several rows."""
+    rng = random.Random(4)
+    names = {"".join(rng.choice("abc") for _ in range(rng.randint(1, 7))) for _ in range(120)} | {"é ü"}
+    texts = ["".join(rng.choice("abc d") for _ in range(rng.randint(0, 20))) for _ in range(150)] + [None, "", "xé üx", "zz", "zz"]
+    brands = spark.createDataFrame([(n,) for n in names] + [(None,), ("",), ("ab",), ("ab",)], "b string")
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, s string").repartition(3)
+    expected = []
+    for i, t in enumerate(texts):
+        inside = [n for n in names | {"ab"} if t and n in t]
+        best = min(inside, key=lambda n: (-len(n), n)) if inside else None
+        expected.append((i, t, t.replace(best, "") if best else t))
+    for chars in (1 << 20, 50):
+        found = lookup.strip_brand_join(df, "i", "s", brands, "b", chars)
+        assert sorted(values(found)) == expected
+    assert values(lookup.strip_brand_join(df, "i", "s", brands.limit(0), "b"), "i", "stripped") == values(df, "i", "s")
+
+
+def test_a_million_brands(spark):
+    """Pieces bound the automaton that a task holds; the dictionary has twelve of them."""
+    brands = spark.range(1_000_000).select(F.format_string("brand %06d", "id").alias("b"))
+    df = spark.createDataFrame([(0, "new brand 123456 and brand 000001"), (1, "brand"), (2, "brand 999999")], "i long, s string")
+    found = lookup.strip_brand_join(df, "i", "s", brands, "b")
+    assert values(found, "i", "stripped") == [(0, "new brand 123456 and "), (1, "brand"), (2, "")]
+    largest, pieces = lookup._pieces(brands.withColumnRenamed("b", "_brand"), lookup.PIECE_CHARS)
+    assert pieces == 12
+    automaton = ahocorasick.Automaton()
+    for b in largest.orderBy(F.size("brands").desc()).first().brands:
+        automaton.add_word(b, b)
+    automaton.make_automaton()
+    assert automaton.get_stats()["total_size"] < 128 << 20
+
+
 def test_glossary(spark):
     df = spark.createDataFrame([(0, "fish"), (1, "unknown")], "i long, c string")
     out = lookup.translate_terms(df, "c", lookup.class_names_ar(df))
@@ -90,7 +152,7 @@ def test_glossary(spark):
 # --- nearest ------------------------------------------------------------------------------
 
 
-def test_nearest_ways_agree(spark):
+def test_nearest_ways_agree(spark, monkeypatch):
     rng = random.Random(3)
     items = [(i, [rng.gauss(0, 1) for _ in range(6)]) for i in range(120)] + [(500, [0.0] * 6), (501, None)]
     classes = [(c, [rng.gauss(0, 1) for _ in range(6)]) for c in range(17)] + [(90, [0.0] * 6)]
@@ -109,10 +171,36 @@ def test_nearest_ways_agree(spark):
             if v
             for d, c in sorted((round(cosine(v, w), 9), c) for c, w in classes)[:k]
         )
-        for bound in (1 << 20, 4 * 6 * 8):
-            found = nearest.nearest_classes(left, right, "i", "c", "v", k, bound)
+        for block, ball in ((1 << 20, 64), (4, 64), (4, 3)):
+            monkeypatch.setattr(nearest, "BALL", ball)
+            found = nearest.nearest_classes(left, right, "i", "c", "v", k, block)
             got = sorted((r.item_id, r.class_id, round(r.distance, 6)) for r in found.collect())
-            assert got == expected, (k, bound)
+            assert got == expected, (k, block, ball)
+
+
+@pytest.mark.parametrize("k", [1, 5])
+def test_nearest_skips_distant_balls(spark, k):
+    """Clustered vectors: few pairs are compared, and the result is that of all pairs."""
+    rng = np.random.default_rng(7)
+    centres = rng.standard_normal((12, 8))
+    x = centres[rng.integers(0, 12, 1500)] + 0.02 * rng.standard_normal((1500, 8))
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "i long, v array<double>").repartition(3)
+    left, right = frame.where("i < 600"), frame.where("i >= 600").withColumnRenamed("i", "c")
+    seen = Observation()
+    found = nearest.nearest_classes(left, right, "i", "c", "v", k, seen=seen)
+    got = sorted((r.item_id, r.class_id) for r in found.collect())
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    order = np.argsort(np.round(1 - u[:600] @ u[600:].T, 9), axis=1, kind="stable")[:, :k]
+    assert got == sorted((i, 600 + int(c)) for i in range(600) for c in order[i])
+    assert 0 < seen.get["pairs"] < 0.2 * 600 * 900
+
+
+def test_nearest_keeps_repeated_items(spark):
+    items = spark.createDataFrame([(1, [1.0, 0.0]), (1, [0.0, 1.0]), (1, [0.0, 1.0])], "i long, v array<double>")
+    classes = spark.createDataFrame([(c, [1.0, 0.1 * c]) for c in range(9)], "c long, v array<double>")
+    for block in (100, 2):
+        found = nearest.nearest_classes(items, classes, "i", "c", "v", 1, block)
+        assert values(found.select("item_id", "class_id")) == [(1, 0), (1, 8), (1, 8)]
 
 
 def test_nearest_edges(spark):
@@ -127,7 +215,7 @@ def test_nearest_edges(spark):
 def test_similar_has_one_shape(spark):
     items = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(5)], "i long, v array<double>")
     classes = spark.createDataFrame([(c, [1.0, float(c)]) for c in range(4)], "c long, v array<double>")
-    whole, blocks = (values(nearest.similar(items, classes, "i", "c", "v", 2, 0.5, n)) for n in (1 << 20, 32))
+    whole, blocks = (values(nearest.similar(items, classes, "i", "c", "v", 2, 0.5, n)) for n in (1 << 20, 2))
     assert whole == blocks and len(whole) == 10 and all(r[2] >= 0.5 for r in whole)
 
 
@@ -219,6 +307,41 @@ def test_centroids(spark):
         assert row.label == order[0] and row.score_4 is None
 
 
+@pytest.mark.parametrize("head", [1, 2, 3, 1000])
+def test_heads_decide_like_all_shares(spark, head):
+    """Many classes that share terms: short heads give the result of all shares, from few of them."""
+    rng = np.random.default_rng(11)
+    words = [f"w{i}" for i in range(60)]
+    data = []
+    for i in range(240):
+        c = i % 40
+        own = rng.choice(60, 6, p=np.roll(np.linspace(1, 3, 60), c) / np.linspace(1, 3, 60).sum())
+        data.append((i, " ".join(["common", words[c], *[words[j] for j in own]]), f"class {c}"))
+    docs = spark.createDataFrame(data, "i long, t string, c string")
+    model = centroid.fit_tfidf(docs, "i", "t", "c", TermOptions((1, 1)), head=head)
+    assert (model.tails.count() > 0) == (head < 40)
+    whole = defaultdict(list)
+    for r in centroid.scores(model, docs, "i", "t").collect():
+        whole[r.i].append((-round(r.score, 9), r.class_id, r.score, r.class_name))
+    got = {r.i: r for r in centroid.predict(model, docs, "i", "t", k=3).collect()}
+    for i, found in whole.items():
+        best = sorted(found)[:3]
+        assert [got[i][f"class_{j}_name"] for j in (1, 2, 3)] == [b[3] for b in best]
+        assert [got[i][f"score_{j}"] for j in (1, 2, 3)] == pytest.approx([b[2] for b in best])
+    assert set(whole) == set(range(240))
+
+
+def test_a_common_term_is_not_spread_over_all_classes(spark):
+    """Classes with terms of their own and one in common: the heads leave one class in question, which is looked up."""
+    data = [(i, f"common own{i % 300} own{i % 300}", f"class {i % 300}") for i in range(600)]
+    docs = spark.createDataFrame(data, "i long, t string, c string")
+    model = centroid.fit_tfidf(docs, "i", "t", "c", TermOptions((1, 1)), head=8)
+    bounded = centroid._bounded(model, docs, "i", "t", 1)
+    asked = bounded.agg(F.sum(F.size("asks") * F.size("found")), F.max(F.size("found")), F.max("open")).first()
+    assert asked[0] <= 600 and tuple(asked)[1:] == (1, False)  # not 600 times the 300 classes that share a term
+    assert set(values(centroid.predict(model, docs, "i", "t", k=1), "i", "label")) == {(i, f"class {i % 300}") for i in range(600)}
+
+
 def test_saved_model(spark, tmp_path):
     options = TermOptions((1, 2))
     model = centroid.fit_icf_tdcb(docs(spark), "i", "t", "c", options)
@@ -230,6 +353,30 @@ def test_saved_model(spark, tmp_path):
     assert {r[0]: r[2] for r in first} == {0: "tea", 1: "tea", 2: "coffee", 3: "coffee", 4: "tea", 5: "other"}
 
 
+def test_similar_texts(spark):
+    """The prefix filter loses no pair: all pairs, multiplied out one by one."""
+    rng = np.random.default_rng(2)
+    texts = [" ".join(f"t{j}" for j in rng.zipf(1.4, rng.integers(0, 25)) if j < 200) for _ in range(120)]
+    items, queries = texts[:80] + [None, "", "qq"], texts[60:] + ["unknown words", None]
+    left = spark.createDataFrame(list(enumerate(items)), "i long, t string")
+    right = spark.createDataFrame(list(enumerate(queries)), "q long, t string")
+    counts = [grams(t, 1) for t in items]
+    df = Counter(t for c in counts for t in c)
+    weight = {t: math.log((len(items) + 1) / (d + 1)) + 1 for t, d in df.items()}
+
+    def unit(text):
+        w = {t: n * weight[t] for t, n in grams(text, 1).items() if t in weight}
+        length = math.sqrt(sum(v * v for v in w.values()))
+        return {t: v / length for t, v in w.items()}
+
+    x, y = [unit(t) for t in items], [unit(t) for t in queries]
+    every = {(i, q): sum(v * b[t] for t, v in a.items() if t in b) for i, a in enumerate(x) for q, b in enumerate(y)}
+    for at_least in (0.2, 0.6, 0.95):
+        found = {(r.item, r.query): r.score for r in similarity.similar_texts(left, right, "i", "q", "t", at_least).collect()}
+        assert found == pytest.approx({p: s for p, s in every.items() if s >= at_least})
+        assert found
+
+
 # --- metrics, votes, split ---------------------------------------------------------------------
 
 

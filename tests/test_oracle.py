@@ -5,10 +5,8 @@ import pytest
 import __spark_entry__
 from checks.run import compare
 
-SLOW = ("rf_levels", "svm_levels")  # covered with fewer trees and steps in test_supervised
 
-
-@pytest.mark.parametrize("name", [n for n in __spark_entry__.queries() if n not in SLOW])
+@pytest.mark.parametrize("name", list(__spark_entry__.queries()))
 def test_query(spark, small, name):
     outcome, _, _ = compare(spark, name, small)
     assert outcome in ("ok", "rows only")

@@ -1,9 +1,12 @@
 """Supervised models learn what can be learned, and fall back where they must."""
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from shelfwise.operators import baseline, metrics, supervised
+from shelfwise.operators import baseline, forest, metrics, supervised, svm
+from shelfwise.operators.sparse import Rows, blocks
 from shelfwise.plans.supervised import Dataset, train_and_score
 
 LEVELS = ("segment", "class")
@@ -24,9 +27,7 @@ TRAINERS = {
     "forest": lambda rows, levels: supervised.train_forest(
         rows, "row_id", "text", levels, options=supervised.ForestOptions(trees=15, depth=8)
     ),
-    "svm": lambda rows, levels: supervised.train_svm(
-        rows, "row_id", "text", levels, options=supervised.SvmOptions(max_iter=6)
-    ),
+    "svm": lambda rows, levels: supervised.train_svm(rows, "row_id", "text", levels),
 }
 
 
@@ -67,3 +68,144 @@ def test_scores_per_dataset(parts):
     rows = found.collect()
     assert {(r.dataset, r.level) for r in rows} == {(d, v) for d in ("validation", "same") for v in names}
     assert all(r.weighted_f1 > 0.8 for r in rows)
+
+
+def sparse_rows(spark, x, labels):
+    """Rows of a dense matrix with their labels."""
+    data = []
+    for i, (r, y) in enumerate(zip(x, labels)):
+        at = np.flatnonzero(r)
+        data.append((i, [int(j) for j in at], [float(v) for v in r[at]], y))
+    return spark.createDataFrame(data, "row_id long, indices array<int>, values array<double>, level string")
+
+
+def random_rows(n=120, width=12, seed=3):
+    rng = np.random.default_rng(seed)
+    x = rng.random((n, width)) * (rng.random((n, width)) < 0.3)
+    x[5] = 0
+    return x
+
+
+def test_rows_multiply():
+    x = random_rows()
+    at = [np.flatnonzero(r) for r in x]
+    rows = Rows.of(pa.array([a.tolist() for a in at]), pa.array([r[a].tolist() for a, r in zip(at, x)]))
+    dense = np.random.default_rng(1).random((12, 4))
+    assert np.allclose(rows.times(dense), x @ dense)
+    wide = np.random.default_rng(2).random((len(x), 3))
+    features, sums = rows.transposed_times(wide, rows.columns())
+    whole = np.zeros((12, 3))
+    whole[features] = sums
+    assert np.allclose(whole, x.T @ wide)
+    assert np.allclose(rows.part(3, 9).times(dense), x[3:9] @ dense)
+
+
+@pytest.mark.parametrize("classes", [2, 4])
+def test_svm_is_at_its_minimum(spark, classes):
+    x = random_rows()
+    labels = ["abcd"[i % classes] if x[i, 0] < 0.5 else "a" for i in range(len(x))]
+    names = sorted(set(labels))
+    rows = sparse_rows(spark, x, labels).repartition(3)
+    packed = blocks(rows, ["level"], {"level": names}, "row_id")
+    columns = [svm.Column(0, j, 1.0 + j, 0.5) for j in range(len(names))]
+    passes = []
+    w = svm.solve(packed, x.shape[1], columns, 1.0, 1e-8, 1000, passes)
+    assert passes[0] < 200
+    wide = np.hstack([x, np.ones((len(x), 1))])
+    for j, name in enumerate(names):
+        y = np.where(np.array(labels) == name, 1.0, -1.0)
+        s = np.where(y > 0, 1.0 + j, 0.5)
+        short = np.maximum(1 - y * (wide @ w[:, j]), 0)
+        gradient = w[:, j] - 2 * wide.T @ (s * y * short)
+        first = 2 * wide.T @ (s * y)
+        assert np.linalg.norm(gradient) <= 1.1e-8 * np.linalg.norm(first)
+    assert np.allclose(w, svm.solve(packed, x.shape[1], columns, 1.0, 1e-8, 1000), rtol=0, atol=0)  # reruns agree
+
+
+def test_svm_jobs_do_not_grow_with_classes(spark, parts):
+    """All classes of all levels share their passes."""
+    passes = []
+    models = supervised.train_svm(
+        parts.withColumn("other", F.split_part("text", F.lit(" "), F.lit(2))), "row_id", "text", ("class", "other"), passes=passes
+    )
+    assert len(passes) == 1 and passes[0] < 200
+    assert len(models.labels["class"]) + len(models.labels["other"]) > 10
+
+
+def test_svm_groups_are_bounded(monkeypatch):
+    columns = [svm.Column(0, j, 1.0, 1.0) for j in range(10)]
+    monkeypatch.setattr(svm, "GROUP_BYTES", 8 * 101 * 4)
+    assert [len(g) for g in svm.groups(100, columns)] == [4, 4, 2]
+    assert [len(g) for g in svm.groups(10**6, columns)] == [1] * 10
+
+
+def grown(spark, x, labels, **options):
+    names = sorted(set(labels))
+    rows = sparse_rows(spark, x, labels).repartition(3)
+    packed = blocks(rows, ["level"], {"level": names}, "row_id")
+    growth = forest.Growth(**{"trees": 6, "depth": 20, "min_split": 5, "min_leaf": 2, "share": 0.4, "seed": 42, **options})
+    cuts = forest.cut_points(rows, x.shape[1])
+    trees = forest.grow(packed, cuts, [len(names)], [np.ones(len(names))], [0], growth)
+    return trees, cuts, names
+
+
+def test_forest_limits(spark):
+    x = random_rows(300)
+    labels = ["abc"[int(r[0] > 0) + int(r[1] > 0.3)] for r in x]
+    trees, cuts, names = grown(spark, x, labels)
+    inner = np.flatnonzero(trees.feature >= 0)
+    assert len(inner) > 6 and not trees.open.any()
+    assert all(trees.n_rows[n] >= 5 for n in inner.tolist())  # no node below 5 rows splits
+    for n in inner.tolist():
+        left, right = int(trees.child[n]), int(trees.child[n]) + 1
+        assert trees.n_rows[left] + trees.n_rows[right] == trees.n_rows[n]
+        assert min(trees.n_rows[left], trees.n_rows[right]) >= 2
+    larger, _, _ = grown(spark, x, labels, min_split=40)
+    assert all(larger.n_rows[n] >= 40 for n in np.flatnonzero(larger.feature >= 0).tolist())
+    flat, _, _ = grown(spark, x, labels, depth=2)
+    assert flat.depth.max() == 2
+    again, _, _ = grown(spark, x, labels)
+    assert (again.feature == trees.feature).all() and (again.cut == trees.cut).all()
+    # the rows of a node are those drawn into its tree that reach it
+    bins, dense = forest.binned(Rows.of(*[pa.array(c) for c in zip(*[(np.flatnonzero(r).tolist(), r[np.flatnonzero(r)].tolist()) for r in x])]), cuts)
+    keys = np.array([r[0] for r in spark.range(300).select(F.xxhash64(F.col("id").cast("string"))).collect()])
+    drawn = np.searchsorted(forest.DRAWS, forest.mixed(42, np.arange(6)[:, None], keys[None, :]), "right") > 0
+    at = trees.reached(dense, np.arange(6))
+    counts = np.bincount(at[drawn], minlength=len(trees.level))
+    assert all(counts[n] == trees.n_rows[n] for n in np.flatnonzero(trees.feature < 0).tolist())
+
+
+def test_best_split_is_the_best():
+    rng = np.random.default_rng(5)
+    x = random_rows(60, 4, 7)
+    bins = np.ceil(x * 10).astype(int)
+    y = rng.integers(0, 3, 60)
+    weights = np.array([1.0, 2.0, 0.5])
+    growth = forest.Growth(1, 9, 5, 2, 1.0, 1)
+    cells: dict[tuple, int] = {}
+    for r, c in zip(bins, y):
+        for key in [(4, 0, c), *[(j, b, c) for j, b in enumerate(r) if b]]:
+            cells[key] = cells.get(key, 0) + 1
+    feature, b, label = (np.array(v) for v in zip(*sorted(cells)))
+    n = np.array([cells[k] for k in sorted(cells)])
+    found = forest.best_split(feature, b, label, n, n, 4, weights, growth, 0, True)
+    best = None
+    for j in range(4):
+        for cut in range(forest.BINS - 1):
+            left = bins[:, j] <= cut
+            if min(left.sum(), (~left).sum()) >= 2:
+                sides = [np.bincount(y[m], minlength=3) * weights for m in (left, ~left)]
+                gain = sum((s**2).sum() / s.sum() for s in sides)
+                if best is None or gain > best[0] + 1e-12:
+                    best = gain, j, cut
+    assert found[:2] == best[1:]
+
+
+def test_levels_without_labels(spark, parts):
+    rows = parts.withColumn("none", F.lit(None).cast("string")).withColumn("some", F.when(F.col("row_id") % 3 > 0, F.col("class")))
+    for kind in TRAINERS:
+        models = TRAINERS[kind](rows, ("none", "some"))
+        assert models.constants == {"none": None} and list(models.models) == ["some"]
+        predicted = models.predict(rows, "row_id", "text", ("class",))
+        assert predicted.columns == ["row_id", "class", "predicted_some", "predicted_none"]
+        assert predicted.where("predicted_some = class").count() > 0.9 * predicted.count()
