@@ -5,9 +5,9 @@ a set are one class. The trees of the join send a class down the paths its min-h
 choose: a node of a tree is a sequence of (coordinate, value) pairs, and a class is
 in it if it has these values. Nodes of one class end, small nodes are compared
 exhaustively. A large node is cut into chunks that share a few of its members and are
-compared by themselves, which joins a group of copies in linear work; if it still
-holds several components, it branches by further coordinates, chosen by a hash of the
-path. A pair at the threshold agrees on two coordinates with a chance of 0.56, so it
+compared by themselves, which joins a group of copies in linear work. If all but a few are one
+component then, these few meet every chunk, which ends the node; if it holds several large
+components, it branches by further coordinates, chosen by a hash of the path. A pair at the threshold agrees on two coordinates with a chance of 0.56, so it
 shares no root of the 24 trees once in 4 * 10^8. Below a large node it agrees on the four
 coordinates of a branch with a chance of 0.32; of four branches it takes more than one on
 average, so that it stays together on some path with a chance of 0.49 however deep the
@@ -41,7 +41,7 @@ from shelfwise.session import stored
 SHINGLE = 5
 PERCENT = 75
 TREES = 24
-WAVES = (2, 8, 24)  # trees done by the end of each wave
+WAVES = (2, 24)  # trees done by the end of each wave
 COORDINATES = 128
 STEP = 2  # coordinates a root adds to a path
 LIMIT = 1024  # classes compared exhaustively
@@ -297,6 +297,21 @@ def components(docs: DataFrame, id_col="doc_id", text_col="text", percent=PERCEN
         distinct = grouped.filter(F.size("ids") > 1).select("ids").distinct()
         return distinct.select(F.xxhash64("ids").alias("list"), F.explode("ids").alias("rep"))
 
+    def compare(listed):
+        """Clusters of lists, confirmed."""
+        nonlocal sets
+        clusters = stored(_clusters(with_component(listed).join(sketches, "rep")), "near-clusters")
+        missing = stored(clusters.select("rep").distinct().join(sets.select("rep"), "rep", "left_anti"), "near-missing")
+        if not missing.isEmpty():
+            sets = sets.unionByName(stored(_sets(docs, missing, id_col, text_col), "near-sets"))
+        confirm(clusters)
+
+    def few(mixed):
+        """``(key, top, size)`` of nodes whose largest component ``top`` holds all but half a list."""
+        parts = mixed.groupBy("key", "component").agg(F.count("*").alias("n"))
+        nodes = parts.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("top"), F.max("n").alias("most"), F.sum("n").alias("size"))
+        return nodes.filter(F.col("size") - F.col("most") <= LIMIT // 2).select("key", "top", "size")
+
     def confirm(clusters):
         """Join the components of clusters whose links are confirmed."""
         nonlocal found
@@ -330,15 +345,21 @@ def components(docs: DataFrame, id_col="doc_id", text_col="text", percent=PERCEN
             ).filter("lo <> hi").drop("lo", "hi")
             inside = stored(members.join(nodes, "key"), "near-inside")
             last = depth == DEPTH
-            clusters = stored(_clusters(with_component(lists(inside, last)).join(sketches, "rep")), "near-clusters")
-            missing = stored(clusters.select("rep").distinct().join(sets.select("rep"), "rep", "left_anti"), "near-missing")
-            if not missing.isEmpty():
-                sets = sets.unionByName(stored(_sets(docs, missing, id_col, text_col), "near-sets"))
-            confirm(clusters)
+            compare(lists(inside, last))
             large = inside.filter(F.col("size") > LIMIT).select("key", "rep")
             if last or large.isEmpty():
                 break
-            mixed = stored(several(with_component(large), "key").select("key", "rep"), "near-mixed")
+            mixed = stored(several(with_component(large), "key").select("key", "rep", "component"), "near-mixed")
+            ending = stored(few(mixed), "near-ending")
+            if not ending.isEmpty():
+                own = mixed.join(ending, "key")
+                chunk = F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / (LIMIT // 2)))
+                every = F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("size") / (LIMIT // 2)) - 1))
+                listed = own.filter("component = top").select("key", "rep", chunk.alias("chunk")).unionByName(
+                    own.filter("component <> top").select("key", "rep", every.alias("chunk"))
+                )
+                compare(listed.select(F.xxhash64("key", "chunk").alias("list"), "rep"))
+                mixed = mixed.join(ending, "key", "left_anti")
             if mixed.isEmpty():
                 break
             members = mixed.join(classes.select("rep", "sig"), "rep").select("rep", F.explode(paths).alias("key")).distinct()
