@@ -17,6 +17,7 @@ from dataclasses import asdict, dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -223,11 +224,10 @@ def _bounded(model: CentroidModel, df: DataFrame, row_id: str, text: str, k: int
     """
     posted = postings(df, row_id, text, model.options)
     w = (term_frequency(model.options) * F.col("weight")).alias("w")
-    met = posted.join(model.heads, "term").select(row_id, F.struct("term", w, "head", "rest").alias("t"))
-    items = met.groupBy(row_id).agg(F.collect_list("t").alias("terms"))
+    met = posted.join(model.heads, "term").select(row_id, w, "rest", F.col("head.class_id").alias("ids"), F.col("head.w").alias("ws"), "term")
     schema = T.StructType(
         [
-            *items.schema.fields[:1],
+            met.schema[row_id],
             T.StructField("found", _cells("class_id", T.LongType())),
             T.StructField("asks", _cells("term", T.StringType())),
             T.StructField("open", T.BooleanType()),
@@ -235,31 +235,74 @@ def _bounded(model: CentroidModel, df: DataFrame, row_id: str, text: str, k: int
     )
     arrow = to_arrow_schema(schema)
 
-    def decide(terms: pa.StructScalar):
-        names, w, heads, rest = (terms.values.field(c) for c in ("term", "w", "head", "rest"))
-        w, rest = w.to_numpy(), rest.to_numpy()
-        w = w / np.sqrt((w * w).sum())
-        sizes = heads.value_lengths().to_numpy()
-        cells = heads.flatten()
-        ids, place = np.unique(cells.field("class_id").to_numpy(), return_inverse=True)
-        each = np.repeat(w, sizes)
-        least = np.bincount(place, each * cells.field("w").to_numpy(), len(ids))
-        # what a class may have in the terms whose heads it is not in
-        outside = float((w * rest).sum())
-        most = least + outside - np.bincount(place, each * np.repeat(rest, sizes), len(ids))
-        kth = np.partition(least, -k)[-k] if len(ids) >= k else 0.0
-        wanted = most >= kth - SLACK
-        asked = (rest > 0) & bool((most - least > SLACK)[wanted].any() or outside >= kth - SLACK)
-        found = [{"class_id": int(c), "w": float(s)} for c, s in zip(ids[wanted], least[wanted])]
-        return found, [{"term": names[i].as_py(), "w": float(w[i])} for i in np.flatnonzero(asked)], outside >= kth - SLACK and bool(asked.any())
-
     def task(batches: Iterable[pa.RecordBatch]):
+        held = None  # the last item so far, which may go on
         for b in batches:
-            rows = [decide(b.column(1)[i]) for i in range(b.num_rows)]
-            columns = zip(*rows) if rows else ([], [], [])
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, f.type) for c, f in zip(columns, list(arrow)[1:])]], schema=arrow)
-
-    return items.mapInArrow(task, schema)
+            table = pa.Table.from_batches([b])
+            table = pa.concat_tables([held, table]).combine_chunks() if held is not None else table
+            if not table.num_rows:
+                continue
+            starts = _starts(table.column(0))
+            last = int(starts[-1])
+            if last:
+                yield _decided(table.slice(0, last), starts[:-1], k, arrow)
+            held = table.slice(last)
+        if held is not None:
+            yield _decided(held, np.array([0]), k, arrow)
+
+    return met.repartition(row_id).sortWithinPartitions(row_id).mapInArrow(task, schema)
+
+
+def _starts(ids: pa.ChunkedArray) -> np.ndarray:
+    """Where a new item begins in a sorted column."""
+    ids = ids.combine_chunks()
+    new = pc.fill_null(pc.not_equal(ids.slice(1), ids.slice(0, len(ids) - 1)), True).to_numpy(zero_copy_only=False)
+    return np.concatenate([[0], np.flatnonzero(new) + 1])
+
+
+def _lists(values: list, ends: np.ndarray, kind: pa.ListType) -> pa.ListArray:
+    fields = [kind.value_type.field(i) for i in range(kind.value_type.num_fields)]
+    arrays = [v if isinstance(v, pa.Array) else pa.array(v, f.type) for v, f in zip(values, fields)]
+    cells = pa.StructArray.from_arrays(arrays, fields=fields)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), cells).cast(kind)
+
+
+def _decided(table: pa.Table, starts: np.ndarray, k: int, arrow: pa.Schema) -> pa.RecordBatch:
+    """Bounds of all classes of some items at once. An item's rows begin at its start."""
+    table = table.combine_chunks()
+    n = len(starts)
+    item = np.repeat(np.arange(n), np.diff(np.append(starts, table.num_rows)))
+    w, rest = table.column(1).to_numpy(), table.column(2).to_numpy()
+    w = w / np.sqrt(np.bincount(item, w * w, n))[item]
+    ids, shares = table.column(3).combine_chunks(), table.column(4).combine_chunks()
+    sizes = ids.value_lengths().to_numpy()
+    classes, code = np.unique(ids.flatten().to_numpy(), return_inverse=True)
+    pairs, place = np.unique(np.repeat(item, sizes) * len(classes) + code, return_inverse=True)
+    owner, code = np.divmod(pairs, max(len(classes), 1))
+    least = np.bincount(place, np.repeat(w, sizes) * shares.flatten().to_numpy(), len(pairs))
+    # what a class may have in the terms whose heads it is not in
+    outside = np.bincount(item, w * rest, n)
+    most = least + outside[owner] - np.bincount(place, np.repeat(w * rest, sizes), len(pairs))
+    order = np.lexsort((-least, owner))
+    held = np.bincount(owner, minlength=n)
+    first = np.cumsum(held) - held
+    kth = np.zeros(n)
+    enough = held >= k
+    kth[enough] = least[order][first[enough] + k - 1]
+    wanted = most >= kth[owner] - SLACK
+    asking = np.bincount(owner[wanted & (most - least > SLACK)], minlength=n) > 0
+    beyond = (outside >= kth - SLACK) & (np.bincount(item, rest > 0, n) > 0)
+    asked = (rest > 0) & (asking | beyond)[item]
+    terms = table.column(5).combine_chunks().take(pa.array(np.flatnonzero(asked)))
+    return pa.RecordBatch.from_arrays(
+        [
+            table.column(0).combine_chunks().take(pa.array(starts)),
+            _lists([classes[code[wanted]], least[wanted]], np.cumsum(np.bincount(owner[wanted], minlength=n)), arrow.field("found").type),
+            _lists([terms, w[asked]], np.cumsum(np.bincount(item[asked], minlength=n)), arrow.field("asks").type),
+            pa.array(beyond),
+        ],
+        schema=arrow,
+    )
 
 
 def best_classes(model: CentroidModel, df: DataFrame, row_id: str, text: str, k: int) -> DataFrame:
