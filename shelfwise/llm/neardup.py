@@ -312,6 +312,16 @@ def components(docs: DataFrame, id_col="doc_id", text_col="text", percent=PERCEN
         nodes = parts.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("top"), F.max("n").alias("most"), F.sum("n").alias("size"))
         return nodes.filter(F.col("size") - F.col("most") <= LIMIT // 2).select("key", "top", "size")
 
+    def ended(mixed, ending):
+        """Lists ``(list, rep)`` that end nodes: their few others with every chunk of the largest component."""
+        own = mixed.join(ending, "key")
+        chunks = F.ceil(F.col("size") / (LIMIT // 2))
+        every = F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)).alias("chunk")
+        rows = own.filter("component = top").select("key", "rep", F.pmod(F.xxhash64("rep"), chunks).alias("chunk")).unionByName(
+            own.filter("component <> top").select("key", "rep", every)
+        )
+        return rows.select(F.xxhash64("key", "chunk").alias("list"), "rep")
+
     def confirm(clusters):
         """Join the components of clusters whose links are confirmed."""
         nonlocal found
@@ -345,20 +355,17 @@ def components(docs: DataFrame, id_col="doc_id", text_col="text", percent=PERCEN
             ).filter("lo <> hi").drop("lo", "hi")
             inside = stored(members.join(nodes, "key"), "near-inside")
             last = depth == DEPTH
-            compare(lists(inside, last))
-            large = inside.filter(F.col("size") > LIMIT).select("key", "rep")
+            big = with_component(inside.filter(F.col("size") > LIMIT).select("key", "rep"))
+            ending = stored(few(big), "near-ending")
+            others = inside.join(ending.select("key"), "key", "left_anti")
+            compare(lists(others, last).unionByName(ended(big, ending)))
+            large = others.filter(F.col("size") > LIMIT).select("key", "rep")
             if last or large.isEmpty():
                 break
             mixed = stored(several(with_component(large), "key").select("key", "rep", "component"), "near-mixed")
             ending = stored(few(mixed), "near-ending")
             if not ending.isEmpty():
-                own = mixed.join(ending, "key")
-                chunk = F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / (LIMIT // 2)))
-                every = F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("size") / (LIMIT // 2)) - 1))
-                listed = own.filter("component = top").select("key", "rep", chunk.alias("chunk")).unionByName(
-                    own.filter("component <> top").select("key", "rep", every.alias("chunk"))
-                )
-                compare(listed.select(F.xxhash64("key", "chunk").alias("list"), "rep"))
+                compare(ended(mixed, ending))
                 mixed = mixed.join(ending, "key", "left_anti")
             if mixed.isEmpty():
                 break
