@@ -1,11 +1,13 @@
 """Operators on small hand-made tables: edges, properties, brute force."""
 
+import hashlib
 import math
 import random
 from collections import Counter, defaultdict
 
 import ahocorasick
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
@@ -15,6 +17,7 @@ from shelfwise.functions import vectors
 from shelfwise.functions.codes import path_key, type_name
 from shelfwise.operators import baseline, centroid, enrich, lookup, metrics, nearest, rows, similarity, validate, votes
 from shelfwise.operators import taxonomy as tree
+from shelfwise.operators import weights
 from shelfwise.operators.weights import TermOptions, tfidf
 from shelfwise.sources import tables
 from shelfwise.sources.state import processed_ids
@@ -276,6 +279,33 @@ def test_tfidf(spark):
     assert got == pytest.approx(expected)
 
 
+def test_terms_of_many_texts_at_once(monkeypatch):
+    rng = random.Random(5)
+    monkeypatch.setattr(weights, "WORDS", 50)
+    for low, high in ((1, 1), (1, 2), (2, 3), (3, 5)):
+        texts = [None if rng.random() < 0.1 else rng.choices(["tea", "té", "茶", "x"], k=rng.choice([0, 1, 2, 9, 80])) for _ in range(60)]
+        column = pa.array([["before"], *texts], pa.list_(pa.string())).slice(1)
+        at = list(weights.word_slices(column))
+        assert [i for i, _ in at] + [60] == [0] + [j for _, j in at]
+        assert all(j == i + 1 or sum(len(t or []) for t in texts[i:j]) <= 50 for i, j in at)
+        for i, j in at:
+            terms, codes, tfs, starts = weights.term_codes(column.slice(i, j - i), low, high)
+            for k, text in enumerate(texts[i:j]):
+                own = slice(starts[k], starts[k + 1])
+                got = list(zip(terms.take(pa.array(codes[own])).to_pylist(), tfs[own].tolist()))
+                want = Counter(" ".join(text[a : a + n]) for n in range(low, high + 1) for a in range(len(text or []) - n + 1))
+                assert len(got) == len(want) and dict(got) == want
+
+
+def test_dealt_parts_are_bounded(spark, tmp_path):
+    path = str(tmp_path / "one file")
+    spark.range(20_000).coalesce(1).write.parquet(path)
+    size = sum(f.stat().st_size for f in (tmp_path / "one file").glob("*.parquet"))
+    few = tables.dealt(spark.read.parquet(path), size // 10 + 1)
+    assert few.rdd.getNumPartitions() == 10 and few.count() == 20_000
+    assert tables.dealt(spark.read.parquet(path)).rdd.getNumPartitions() == 4
+
+
 def test_limits(spark):
     options = TermOptions((1, 1), min_df=2, max_features=2)
     kept = {r.term for r in tfidf(docs(spark), "i", "t", options).collect()}
@@ -546,6 +576,17 @@ def test_hash_embed_keeps_every_row(spark):
     assert sum(x * x for x in got[0]) == pytest.approx(1.0)
 
 
+def test_hash_counts_move_no_terms(spark):
+    df = spark.createDataFrame([(1, "red red bolt"), (1, "nut"), (2, None), (None, "é nut")], "id int, text string")
+    counts = enrich.hash_counts(df, "id", "text", 8)
+    assert "Generate" not in counts._jdf.queryExecution().executedPlan().toString()
+    want = defaultdict(lambda: [0.0] * 8)
+    for key, term in [(1, "red"), (1, "red"), (1, "bolt"), (1, "red red"), (1, "red bolt"), (1, "nut"), (None, "nut")]:
+        digest = hashlib.md5(term.encode()).hexdigest()
+        want[key][int(digest[:8], 16) % 8] += -1 if digest[8] >= "8" else 1
+    assert {r.id: r.vector for r in counts.collect()} == {**want, 2: [0.0] * 8}
+
+
 def test_csv_keeps_text(spark, tmp_path):
     df = spark.createDataFrame(
         [(0, 'a "quoted", text\nin two lines'), (1, ""), (2, None), (3, "back\\slash;é")], "i long, t string"
