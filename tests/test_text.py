@@ -479,3 +479,13 @@ def test_resolve_label(spark, answer, expected):
 def test_no_labels(spark):
     row = spark.createDataFrame([(None, [])], "a string, l array<string>")
     assert row.select(tx.resolve_label("a", "l").alias("r")).first().r.label == ""
+
+
+def test_texts_are_normalized_some_at_a_time(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(tx, "NORMALIZED", 3)
+    texts = ["ﬁ", None, "①", "", "x²", "É", None]
+    got = tx._nfkc.func(pa.array(texts, pa.string()))
+    assert got.to_pylist() == ["fi", None, "1", "", "x2", "É", None] and got.type == pa.string()
+    assert tx._nfkc.func(pa.array([], pa.string())).to_pylist() == []
