@@ -16,17 +16,21 @@ shuffled, at most ``CLASSES * BINS`` rows, whatever the corpus.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.llm.common import whole
+from shelfwise.session import stored
 
+# a candidate is only sought where a run begins, a name at a letter that begins one: neither changes what matches
 ASSIGN = (
-    r"((?i:password|passwd|secret|token|api_?key))[\x22\x27]?\x20*[:=]\x20*[\x22\x27]?([A-Za-z0-9+/_.=-]+)"
+    r"(?=[PSTApsta])((?i:password|passwd|secret|token|api_?key))[\x22\x27]?\x20*[:=]\x20*[\x22\x27]?([A-Za-z0-9+/_.=-]+)"
 )
 ACCESS = r"AKIA[A-Z0-9]{16,}"  # as AKIA[A-Z0-9]+ of 20 characters or more
 HEX = r"[0-9a-f]{24,}"  # as [0-9a-f]+ of 24 characters or more
-CANDIDATE = r"[A-Za-z0-9+/_-]{20,}={0,6}"  # base32 pads with up to six
+CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,6}"  # base32 pads with up to six
 KINDS = ("assign", "access", "hex", "random")
 
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -44,13 +48,21 @@ FDR = 0.01
 CLASSES, BINS = 8, 300  # lengths by power of two from 16; p in tenths of its decimal logarithm
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is evaluated once, however often and in whatever lambda it is used there."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def prefix_sums(values: Column) -> Column:
     """Running sums of an array. Chunks of the root of its length keep the appending cheap."""
-    size = F.greatest(F.ceil(F.sqrt(F.size(values))).cast("int"), F.lit(1))
-    starts = F.sequence(F.lit(1), F.greatest(F.size(values), F.lit(1)), size)
-    chunks = F.transform(starts, lambda i: F.slice(values, i, size))
+    zero = F.lit(0).cast("bigint")
     empty = F.array().cast("array<bigint>")
 
+    def chunked(values):
+        size = F.greatest(F.ceil(F.sqrt(F.size(values))).cast("int"), F.lit(1))
+        starts = F.sequence(F.lit(1), F.greatest(F.size(values), F.lit(1)), size)
+        return F.transform(starts, lambda i: F.slice(values, i, size))
+
     def running(xs, first):
         return F.aggregate(
             xs, F.struct(first.alias("t"), empty.alias("a")),
@@ -59,19 +71,25 @@ def prefix_sums(values: Column) -> Column:
             ),
         )["a"]
 
-    zero = F.lit(0).cast("bigint")
-    totals = F.transform(chunks, lambda c: F.aggregate(c, zero, lambda a, x: a + x))
-    offsets = F.concat(F.array(zero), running(totals, zero))
-    return F.flatten(F.transform(chunks, lambda c, i: running(c, F.get(offsets, i))))
+    def summed(chunks):
+        totals = F.transform(chunks, lambda c: F.aggregate(c, zero, lambda a, x: a + x))
+        return let(
+            F.concat(F.array(zero), running(totals, zero)),
+            lambda offsets: F.flatten(F.transform(chunks, lambda c, i: running(c, F.get(offsets, i)))),
+        )
+
+    return let(values, lambda v: let(chunked(v), summed))
 
 
 def spans(text: Column, hits: Column, pattern: str) -> Column:
-    """Start and end, in code points, of the ``hits`` of ``pattern``: lengths of what lies between add up."""
-    gaps = F.split(text, pattern, -1)
-    steps = F.transform(hits, lambda h, i: (F.length(F.get(gaps, i)) + F.length(h)).cast("bigint"))
-    ends = prefix_sums(steps)
+    """Start and end, in code points, of the ``hits`` of ``pattern``: lengths of what lies between add up.
+
+    The text is split once, not once for each hit.
+    """
+    gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(hits))
+    steps = F.zip_with(hits, gaps, lambda h, g: (F.length(g) + F.length(h)).cast("bigint"))
     found = F.zip_with(
-        hits, ends, lambda h, e: F.struct((e - F.length(h)).alias("start"), e.alias("end"), h.alias("hit"))
+        hits, prefix_sums(steps), lambda h, e: F.struct((e - F.length(h)).alias("start"), e.alias("end"), h.alias("hit"))
     )
     none = F.array().cast("array<struct<start:bigint,end:bigint,hit:string>>")
     return F.when(F.size(hits) > 0, found).otherwise(none)
@@ -161,8 +179,12 @@ def scanned(docs: DataFrame, text_col: str = "text") -> DataFrame:
         return F.transform(found, lambda x: F.struct(x["start"].alias("start"), F.lit(i).alias("kind"), x["end"].alias("end")))
 
     d = d.withColumn("__base", F.array_sort(F.concat(kind(long_enough, 0), kind(F.col("__s1"), 1), kind(F.col("__s2"), 2))))
+    # formats 1 and 2 lie within a candidate's run; only format 0 goes beyond one
+    d = d.withColumn("__assigned", F.filter("__base", lambda b: b["kind"] == 0))
     free = F.filter(
-        "__s3", lambda x: ~F.exists("__base", lambda b: (b["start"] < x["end"]) & (b["end"] > x["start"]))
+        "__s3",
+        lambda x: ~x["hit"].rlike(f"{ACCESS}|{HEX}")
+        & ~F.exists("__assigned", lambda b: (b["start"] < x["end"]) & (b["end"] > x["start"])),
     )
     tested = F.transform(
         free, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), chance(x["hit"]).alias("p"))
@@ -180,7 +202,11 @@ def scanned(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 def cutoffs(docs: DataFrame, text_col: str = "text", rate: float = FDR) -> dict[int, int]:
     """Least bin that counts as random, by class of length (Benjamini-Hochberg over all candidates)."""
-    found = scanned(docs.select(text_col), text_col).select(F.explode("__cand").alias("c"))
+    return _cuts(scanned(docs.select(text_col), text_col), rate)
+
+
+def _cuts(found: DataFrame, rate: float) -> dict[int, int]:
+    found = found.select(F.explode("__cand").alias("c"))
     counts = found.groupBy("c.cls", "c.bin").count().collect()  # at most CLASSES * (BINS + 1) rows
     cuts = {}
     for cls in {r["cls"] for r in counts}:
@@ -193,23 +219,26 @@ def cutoffs(docs: DataFrame, text_col: str = "text", rate: float = FDR) -> dict[
     return cuts
 
 
-def with_secrets(docs: DataFrame, text_col: str = "text", rate: float = FDR) -> DataFrame:
-    """``docs`` with ``__base`` and ``__spans``, arrays of (start, kind, end) by start, then kind."""
-    cuts = cutoffs(docs, text_col, rate)
-    bar = F.lit(None).cast("int")
-    d = scanned(docs, text_col)
+def _random(cuts: dict[int, int]) -> Column:
+    """The candidates at or above the cut of their class, as spans."""
 
     def bar_of(cls):
-        out = bar
+        out = F.lit(None).cast("int")
         for c, b in cuts.items():
             out = F.when(cls == c, b).otherwise(out)
         return out
 
-    random = F.transform(
+    return F.transform(
         F.filter("__cand", lambda x: F.coalesce(x["bin"] >= bar_of(x["cls"]), F.lit(False))),
         lambda x: F.struct(x["start"].alias("start"), F.lit(3).alias("kind"), x["end"].alias("end")),
     )
-    return d.withColumn("__spans", F.array_sort(F.concat("__base", random))).select(*docs.columns, "__base", "__spans")
+
+
+def with_secrets(docs: DataFrame, text_col: str = "text", rate: float = FDR) -> DataFrame:
+    """``docs`` with ``__base`` and ``__spans``, arrays of (start, kind, end) by start, then kind."""
+    cuts = cutoffs(docs, text_col, rate)
+    d = scanned(docs, text_col)
+    return d.withColumn("__spans", F.array_sort(F.concat("__base", _random(cuts)))).select(*docs.columns, "__base", "__spans")
 
 
 def written(found: Column) -> Column:
@@ -226,7 +255,9 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
     Repeated rows each have their row; an empty table gives none.
     """
-    d = with_secrets(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
+    d = scanned(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
+    d = stored(d.select("doc_id", "__base", "__cand"), "secret-spans")  # texts are scanned once
+    d = d.withColumn("__spans", F.array_sort(F.concat("__base", _random(_cuts(d, FDR)))))
 
     def n(i):
         return F.size(F.filter("__base", lambda x: x["kind"] == i)).cast("long")

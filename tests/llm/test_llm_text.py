@@ -165,6 +165,16 @@ def test_redaction(spark, odd):
 # --- personal data -----------------------------------------------------------------
 
 
+def test_secrets_split_a_text_once(spark):
+    docs = spark.createDataFrame([(1, "x")], "doc_id long, text string")
+    plan = secrets.scanned(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(__t") <= 4  # one for each pattern, none for each hit
+    many = " ".join(f"{hashlib.md5(str(i).encode()).hexdigest()} secret=abc{i}def é {'Zz9' * 9}{i}" for i in range(700))
+    got = rows(secrets.report(spark.createDataFrame([(1, many)], "doc_id long, text string")))[0]
+    line = ",".join(f"{secrets.KINDS[k]}:{a}:{e}" for a, k, e in brute_secrets(many))
+    assert (got["n_assign"], got["n_hex"]) == (700, 700) and got["base_sha256"] == hashlib.sha256(line.encode()).hexdigest()
+
+
 def digits(s):
     return re.sub("[^0-9]", "", s)
 
