@@ -300,27 +300,43 @@ def components(docs: DataFrame, id_col="doc_id", text_col="text", percent=PERCEN
     def compare(listed):
         """Clusters of lists, confirmed."""
         nonlocal sets
-        clusters = stored(_clusters(with_component(listed).join(sketches, "rep")), "near-clusters")
+        clusters = stored(_clusters(several(with_component(listed), "list").join(sketches, "rep")), "near-clusters")
         missing = stored(clusters.select("rep").distinct().join(sets.select("rep"), "rep", "left_anti"), "near-missing")
         if not missing.isEmpty():
             sets = sets.unionByName(stored(_sets(docs, missing, id_col, text_col), "near-sets"))
         confirm(clusters)
 
     def few(mixed):
-        """``(key, top, size)`` of nodes whose largest component ``top`` holds all but half a list."""
+        """``(key, top, size, most)`` of nodes whose largest component ``top`` holds all but half a list."""
         parts = mixed.groupBy("key", "component").agg(F.count("*").alias("n"))
         nodes = parts.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("top"), F.max("n").alias("most"), F.sum("n").alias("size"))
-        return nodes.filter(F.col("size") - F.col("most") <= LIMIT // 2).select("key", "top", "size")
+        return nodes.filter(F.col("size") - F.col("most") <= LIMIT // 2).select("key", "top", "size", "most")
 
     def ended(mixed, ending):
-        """Lists ``(list, rep)`` that end nodes: their few others with every chunk of the largest component."""
-        own = mixed.join(ending, "key")
-        chunks = F.ceil(F.col("size") / (LIMIT // 2))
-        every = F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)).alias("chunk")
-        rows = own.filter("component = top").select("key", "rep", F.pmod(F.xxhash64("rep"), chunks).alias("chunk")).unionByName(
-            own.filter("component <> top").select("key", "rep", every)
+        """Lists ``(list, rep)`` that end nodes: their few others with every chunk of the largest component.
+
+        Trees find a large component again and again. Its nodes are one then, where all others
+        with all members are no more pairs than the nodes have one by one.
+        """
+        half = LIMIT // 2
+        own = mixed.join(ending, "key").select("key", "top", "rep", (F.col("component") == F.col("top")).alias("in_top"))
+        own = stored(own, "near-own")
+        member, other = (F.count_distinct(F.when(is_, F.col("rep"))) for is_ in (F.col("in_top"), ~F.col("in_top")))
+        apart = ending.groupBy("top").agg(F.sum(F.col("most") * (F.col("size") - F.col("most"))).alias("pairs"))
+        as_one = own.groupBy("top").agg((member * other).alias("all")).join(apart, "top").filter("all <= pairs")
+        grouped = own.join(as_one.select("top", F.xxhash64(F.lit("top"), "top").alias("group")), "top", "left")
+        grouped = grouped.select(F.coalesce("group", "key").alias("group"), "rep", "in_top").distinct()
+        sizes = grouped.groupBy("group").agg(
+            F.ceil(F.count_if("in_top") / half).alias("chunks"), F.ceil(F.count_if(~F.col("in_top")) / half).alias("parts")
+        )
+        place = F.xxhash64("rep")
+        every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+        placed = grouped.join(sizes, "group")
+        lists = placed.filter("in_top").select("group", "rep", F.pmod(place, "chunks").alias("chunk"), every("parts").alias("part"))
+        lists = lists.unionByName(
+            placed.filter("NOT in_top").select("group", "rep", every("chunks").alias("chunk"), F.pmod(place, "parts").alias("part"))
         )
-        return rows.select(F.xxhash64("key", "chunk").alias("list"), "rep")
+        return lists.select(F.xxhash64("group", "chunk", "part").alias("list"), "rep")
 
     def confirm(clusters):
         """Join the components of clusters whose links are confirmed."""
