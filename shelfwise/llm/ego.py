@@ -31,6 +31,7 @@ COSINE = 0.95
 DIMS = 4  # leading principal dimensions that are gridded
 BLOCK = 4096
 TILE = 512
+LEAST_TILES, TILE_PARTS = 8, 8  # tiles that share the blocks, and partitions of blocks in one of many
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -200,31 +201,36 @@ def links(vectors: DataFrame, id_col="vec_id", vec_col="embedding", cosine=COSIN
     apart = F.exists(F.arrays_zip(F.col("i.lo").alias("a"), F.col("i.hi").alias("b"), F.col("j.lo").alias("c"), F.col("j.hi").alias("d")),
                      lambda z: (z["a"] - z["d"] > epsilon) | (z["c"] - z["b"] > epsilon))
     near = by_cell("i", epsilon).join(by_cell("j", epsilon), "cell").filter("i.block <= j.block").filter(~apart)
-    near = stored(near.select(F.col("i.block").alias("i"), F.col("j.block").alias("j")).distinct(), "ego-near")
-    few = max(1, near.count() // 4)  # pairs of some MB each: a handful per task
-
-    def named(side):
-        data = [F.col(c).alias(side + c) for c in ("reps", "ms", "xs", "ps")]
-        return blocks.select(F.col("block").alias(side), *data)
-
-    pairs = near.join(named("i"), "i").join(named("j"), "j")
-
-    def join(batches):
-        for b in batches:
-            for r in range(b.num_rows):
-                i, j = b.column("i")[r].as_py(), b.column("j")[r].as_py()
-
-                def side(s, b=b, r=r):
-                    get = lambda c: b.column(s + c)[r].as_py()
-                    reps = np.frombuffer(get("reps"), "<i8")
-                    return (
-                        reps, np.frombuffer(get("ms"), "<i8"),
-                        _unit(np.frombuffer(get("xs"), kind).reshape(len(reps), -1).astype(np.float64)),
-                        np.frombuffer(get("ps"), "<f8").reshape(len(reps), -1),
-                    )
-
-                ri, mi, ui, pi = side("i")
-                rj, mj, uj, pj = (ri, mi, ui, pi) if i == j else side("j")
+    # tiles of neighbouring blocks: a block moves once for each tile it meets, not for each block
+    tiles = min(parts, max(LEAST_TILES, math.ceil(parts / TILE_PARTS)))
+
+    def tile(c):
+        return F.floor(F.shiftright(c, 32) * tiles / parts)
+
+    near = near.select(F.col("i.block").alias("i"), F.col("j.block").alias("j")).distinct()
+    near = stored(near.select(tile(F.col("i")).alias("ti"), tile(F.col("j")).alias("tj"), "i", "j"), "ego-near")
+    met = near.groupBy("ti", "tj", F.col("i").alias("block")).agg(F.collect_list("j").alias("js"))
+    met = met.unionByName(near.select("ti", "tj", F.col("j").alias("block"), F.array().cast("array<bigint>").alias("js")))
+    met = met.groupBy("ti", "tj", "block").agg(F.flatten(F.collect_set("js")).alias("js"))
+    pairs = met.join(blocks.select("block", "reps", "ms", "xs", "ps"), "block").select(
+        "ti", "tj", "block", "js", *[F.col(c) for c in ("reps", "ms", "xs", "ps")]
+    )
+    tasks = max(1, near.select("ti", "tj").distinct().count())
+
+    def joined(group):
+        def side(r):
+            reps = np.frombuffer(r[4].as_py(), "<i8")
+            x = np.frombuffer(r[6].as_py(), kind).reshape(len(reps), -1)
+            return reps, np.frombuffer(r[5].as_py(), "<i8"), x, np.frombuffer(r[7].as_py(), "<f8").reshape(len(reps), -1)
+
+        held = {r[2].as_py(): side(r) for r in group}
+        for r in group:
+            i, js = r[2].as_py(), r[3].as_py()
+            ri, mi, xi, pi = held[i]
+            ui = _unit(xi.astype(np.float64)) if js else None
+            for j in js:
+                rj, mj, xj, pj = held[j]
+                uj = ui if i == j else _unit(xj.astype(np.float64))
                 count, low = join_blocks(ui, uj, mi, mj, pi, pj, i == j, cosine)
                 reps = ri if i == j else np.concatenate([ri, rj])
                 some = count > 0
@@ -232,10 +238,20 @@ def links(vectors: DataFrame, id_col="vec_id", vec_col="embedding", cosine=COSIN
                     [pa.array(reps[some]), pa.array(count[some]), pa.array(reps[low[some]])], ["rep", "n", "to"]
                 )
 
+    def join(batches):
+        key, group = None, []
+        for b in batches:
+            for r in range(b.num_rows):
+                row = [b.column(c)[r] for c in range(8)]
+                own = (row[0].as_py(), row[1].as_py())
+                if own != key:
+                    yield from joined(group)
+                    key, group = own, []
+                group.append(row)
+        yield from joined(group)
+
     linked = stored(
-        pairs.select("i", "j", *[s + c for s in "ij" for c in ("reps", "ms", "xs", "ps")]).repartition(few, "i", "j")
-        .mapInArrow(join, "rep long, n long, to long"),
-        "ego-linked",
+        pairs.repartition(tasks, "ti", "tj").sortWithinPartitions("ti", "tj").mapInArrow(join, "rep long, n long, to long"), "ego-linked"
     )
     found = connected(linked.select(F.col("rep").alias("a"), F.col("to").alias("b")), "ego-edges")
     counts = linked.groupBy("rep").agg(F.sum("n").alias("n"))

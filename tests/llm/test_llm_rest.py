@@ -120,6 +120,23 @@ def test_ego(vectors, monkeypatch):
     assert rows(ego.links(vectors.limit(0))) == []
 
 
+def test_blocks_move_once_per_tile(spark, monkeypatch):
+    """Links over many tiles of blocks equal brute force, whatever the tiles."""
+    rng = np.random.default_rng(3)
+    x = np.concatenate([c + rng.normal(0, s, (60, 5)) for c, s in zip(rng.normal(0, 1, (8, 5)), (0.05, 0.3) * 4)]).astype(np.float32)
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    links = ((u @ u.T >= ego.COSINE) & ~np.eye(len(u), dtype=bool)).sum(axis=1)
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    monkeypatch.setattr(ego, "BLOCK", 16)
+    found = []
+    for least, parts in ((8, 8), (1, 100), (3, 2)):
+        monkeypatch.setattr(ego, "LEAST_TILES", least)
+        monkeypatch.setattr(ego, "TILE_PARTS", parts)
+        found.append(sorted(map(tuple, ego.links(vectors).collect())))
+    assert [r[1] for r in found[0]] == links.tolist()
+    assert found[0] == found[1] == found[2]
+
+
 # --- packing -----------------------------------------------------------------------
 
 
