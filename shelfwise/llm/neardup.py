@@ -298,9 +298,18 @@ def components(docs: DataFrame, id_col="doc_id", text_col="text", percent=PERCEN
         return distinct.select(F.xxhash64("ids").alias("list"), F.explode("ids").alias("rep"))
 
     def compare(listed):
-        """Clusters of lists, confirmed."""
+        """Clusters of lists, confirmed.
+
+        The lists are written first: what reads them twice would else make them twice, and
+        the driver would hold the plans and broadcasts of both.
+        """
         nonlocal sets
-        clusters = stored(_clusters(several(with_component(listed), "list").join(sketches, "rep")), "near-clusters")
+        listed = stored(with_component(listed).select("list", "rep", "component"), "near-lists")
+        if listed.isEmpty():
+            return
+        clusters = stored(_clusters(several(listed, "list").join(sketches, "rep")), "near-clusters")
+        if clusters.isEmpty():
+            return
         missing = stored(clusters.select("rep").distinct().join(sets.select("rep"), "rep", "left_anti"), "near-missing")
         if not missing.isEmpty():
             sets = sets.unionByName(stored(_sets(docs, missing, id_col, text_col), "near-sets"))
@@ -325,7 +334,7 @@ def components(docs: DataFrame, id_col="doc_id", text_col="text", percent=PERCEN
         apart = ending.groupBy("top").agg(F.sum(F.col("most") * (F.col("size") - F.col("most"))).alias("pairs"))
         as_one = own.groupBy("top").agg((member * other).alias("all")).join(apart, "top").filter("all <= pairs")
         grouped = own.join(as_one.select("top", F.xxhash64(F.lit("top"), "top").alias("group")), "top", "left")
-        grouped = grouped.select(F.coalesce("group", "key").alias("group"), "rep", "in_top").distinct()
+        grouped = stored(grouped.select(F.coalesce("group", "key").alias("group"), "rep", "in_top").distinct(), "near-grouped")
         sizes = grouped.groupBy("group").agg(
             F.ceil(F.count_if("in_top") / half).alias("chunks"), F.ceil(F.count_if(~F.col("in_top")) / half).alias("parts")
         )
@@ -371,10 +380,16 @@ def components(docs: DataFrame, id_col="doc_id", text_col="text", percent=PERCEN
             ).filter("lo <> hi").drop("lo", "hi")
             inside = stored(members.join(nodes, "key"), "near-inside")
             last = depth == DEPTH
-            big = with_component(inside.filter(F.col("size") > LIMIT).select("key", "rep"))
-            ending = stored(few(big), "near-ending")
-            others = inside.join(ending.select("key"), "key", "left_anti")
-            compare(lists(others, last).unionByName(ended(big, ending)))
+            big = stored(with_component(inside.filter(F.col("size") > LIMIT).select("key", "rep")), "near-big")
+            if big.isEmpty():
+                compare(lists(inside, last))
+                break
+            ending, others = stored(few(big), "near-ending"), inside
+            if ending.isEmpty():
+                compare(lists(others, last))
+            else:
+                others = stored(inside.join(ending.select("key"), "key", "left_anti"), "near-others")
+                compare(lists(others, last).unionByName(ended(big, ending)))
             large = others.filter(F.col("size") > LIMIT).select("key", "rep")
             if last or large.isEmpty():
                 break

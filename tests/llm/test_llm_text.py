@@ -455,3 +455,13 @@ def test_near_pairs_in_a_half_similar_group(spark, monkeypatch):
     found = rows(neardup.components(docs))
     assert sum(not r["kept"] for r in found) == 20  # the recall at the limit is 1 here
     same_near(docs)
+
+
+def test_near_steps_without_candidates(spark, monkeypatch):
+    """Lists are written once, and a level without any plans nothing more: the driver holds every plan and its broadcasts."""
+    written, kept = [], neardup.stored
+    monkeypatch.setattr(neardup, "stored", lambda df, name: written.append(name) or kept(df, name))
+    texts = [" ".join(f"w{i}x{k}" for k in range(20)) for i in range(30)]
+    same_near(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert written.count("near-lists") == len(neardup.WAVES)
+    assert not {"near-clusters", "near-missing", "near-ending", "near-mixed", "near-own"} & set(written)
