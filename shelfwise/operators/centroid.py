@@ -18,7 +18,7 @@ from dataclasses import asdict, dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -39,7 +39,7 @@ from shelfwise.operators.weights import (
     vocabulary,
     weighted_postings,
 )
-from shelfwise.session import new_path, stored
+from shelfwise.session import stored
 
 SCORE_DIGITS = 9
 HEAD = 64  # classes kept with a term
@@ -105,41 +105,32 @@ def _labelled(df: DataFrame, row_id: str, text: str, label: str) -> tuple[DataFr
     return rows, classes
 
 
-def _model(shares: DataFrame, classes: DataFrame, options: TermOptions, head: int) -> CentroidModel:
-    """A model from ``(term, class_id, weight, w)``.
+def _model(shares: DataFrame, classes: DataFrame, options: TermOptions, head: int, stat: str, weight: Column) -> CentroidModel:
+    """A model from ``(term, class_id, stat, w)``, ``weight`` being the term's weight by ``stat``.
 
     Fitting ends here: the tables are written to the shared folder, so scoring
     does not fit again, however often it reads them.
     """
-    spark = shares.sparkSession
-    path = new_path(spark, "centroids")
     shares = stored(shares, "shares")
     lengths = shares.groupBy("class_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
     # a class whose documents have no term at all keeps a place, with length null
-    known = classes.select("class_id", "class_name").join(lengths, "class_id", "left")
-    known.write.parquet(f"{path}/classes")
-    known = spark.read.parquet(f"{path}/classes")
+    known = stored(classes.select("class_id", "class_name").join(lengths, "class_id", "left"), "model-classes")
     unit = shares.join(known.select("class_id", "length"), "class_id").withColumn("w", F.col("w") / F.col("length"))
     by_impact = Window.partitionBy("term").orderBy(F.desc("w"), "class_id")
-    # written as head and tail in one pass; a class's place in its term is found once
-    placed = unit.select("term", "class_id", "weight", "w", F.row_number().over(by_impact).alias("place"))
-    placed = stored(placed, "placed")
+    placed = unit.select("term", "class_id", stat, "w", F.row_number().over(by_impact).alias("place"))
+    # head and tail in one pass and one shuffle: the first places of a term are one row, each later one is its own
     cell = F.struct("place", "class_id", "w")
-    heads = (
-        placed.where(F.col("place") <= head + 1)
-        .groupBy("term")
-        .agg(F.any_value("weight").alias("weight"), F.array_sort(F.collect_list(cell)).alias("first"))
-        .select(
-            "term",
-            "weight",
-            F.transform(F.slice("first", 1, head), lambda c: F.struct(c["class_id"].alias("class_id"), c["w"].alias("w"))).alias("head"),
-            F.coalesce(F.get("first", F.lit(head))["w"], F.lit(0.0)).alias("rest"),
-        )
+    later = F.greatest(F.col("place") - (head + 1), F.lit(0)).alias("later")
+    rows = placed.groupBy("term", later).agg(F.max(stat).alias(stat), F.array_sort(F.collect_list(cell)).alias("first"))
+    rows = stored(rows.select("term", "later", weight.alias("weight"), "first"), "centroids")
+    heads = rows.where("later = 0").select(
+        "term",
+        "weight",
+        F.transform(F.slice("first", 1, head), lambda c: F.struct(c["class_id"].alias("class_id"), c["w"].alias("w"))).alias("head"),
+        F.coalesce(F.get("first", F.lit(head))["w"], F.lit(0.0)).alias("rest"),
     )
-    heads.write.parquet(f"{path}/heads")
-    placed.where(F.col("place") > head).select("term", "class_id", "w").write.parquet(f"{path}/tails")
-    read = spark.read.parquet
-    return CentroidModel(read(f"{path}/heads"), read(f"{path}/tails"), known, options)
+    tails = rows.select("term", F.inline("first")).where(F.col("place") > head).select("term", "class_id", "w")
+    return CentroidModel(heads, tails, known, options)
 
 
 def fit_tfidf(
@@ -153,18 +144,21 @@ def fit_tfidf(
     """Centroids of L2-normalized TF-IDF vectors.
 
     A mean divides by all documents of the class, also those without any term.
-    The texts are tokenized once: their counts are written and read twice.
+    The texts are tokenized once: their counts are written and read twice. What moves with a
+    term are counts: a weight is worked out where it is used, as doubles hardly compress.
     """
     rows, classes = _labelled(df, row_id, text, label)
     keep = ["class_id", "n_docs"]
     posted = exploded(stored(counted(rows, row_id, text, options, keep), "counted"), row_id, keep)
     n_docs = count_of(df)
-    weights = vocabulary(term_stats(posted), n_docs, options).select("term", idf(n_docs).alias("weight"))
-    unit = unit_postings(weighted_postings(posted, weights, options), row_id)
-    shares = unit.groupBy("term", "class_id").agg(
-        F.any_value("weight").alias("weight"), F.sum(F.col("w") / F.col("n_docs")).alias("w")
-    )
-    return _model(shares, classes, options, head)
+    known = vocabulary(term_stats(posted), n_docs, options).select("term", "df")
+    w = term_frequency(options) * idf(n_docs)
+    length = F.sqrt(F.sum(w * w).over(Window.partitionBy(row_id)))
+    # dealt before weights are worked out, as these would move, too
+    moved = posted.join(known, "term").select(row_id, *keep, "term", "tf", "df").repartition(row_id)
+    unit = moved.select("term", *keep, "df", (w / length).alias("w"))
+    shares = unit.groupBy("term", "class_id").agg(F.max("df").alias("df"), F.sum(F.col("w") / F.col("n_docs")).alias("w"))
+    return _model(shares, classes, options, head, "df", idf(n_docs))
 
 
 def fit_icf_tdcb(
@@ -193,7 +187,7 @@ def fit_icf_tdcb(
     shares = per_class.join(weights, "term").select(
         "term", "class_id", "weight", (F.col("cf") / F.col("n_docs") * F.col("weight")).alias("w")
     )
-    return _model(shares, classes, options, head)
+    return _model(shares, classes, options, head, "weight", F.col("weight"))
 
 
 def scores(model: CentroidModel, df: DataFrame, row_id: str, text: str) -> DataFrame:
@@ -224,7 +218,9 @@ def _bounded(model: CentroidModel, df: DataFrame, row_id: str, text: str, k: int
     """
     posted = postings(df, row_id, text, model.options)
     w = (term_frequency(model.options) * F.col("weight")).alias("w")
-    met = posted.join(model.heads, "term").select(row_id, w, "rest", F.col("head.class_id").alias("ids"), F.col("head.w").alias("ws"), "term")
+    # a term that has no remaining shares is never asked for
+    name = F.when(F.col("rest") > 0, F.col("term")).alias("term")
+    met = posted.join(model.heads, "term").select(row_id, w, "rest", F.col("head.class_id").alias("ids"), F.col("head.w").alias("ws"), name)
     schema = T.StructType(
         [
             met.schema[row_id],

@@ -361,6 +361,22 @@ def test_heads_decide_like_all_shares(spark, head):
     assert set(whole) == set(range(240))
 
 
+def test_a_model_is_written_once(spark, monkeypatch):
+    """Heads and tails come of one shuffle by term and one table; what goes back to documents are counts and no weights."""
+    written, kept = {}, centroid.stored
+    monkeypatch.setattr(centroid, "stored", lambda df, name: written.setdefault(name, df) and kept(df, name))
+    data = [(i, f"common own{i % 30} two{i % 3}", f"class {i % 30}") for i in range(60)]
+    docs = spark.createDataFrame(data, "i long, t string, c string")
+    models = [centroid.fit_tfidf(docs, "i", "t", "c", TermOptions((1, 2)), head=h) for h in (2, 1000)]
+    assert set(written) == {"classes", "counted", "shares", "model-classes", "centroids"}
+    plan = lambda name: written[name]._jdf.queryExecution().executedPlan().toString()
+    assert plan("centroids").count("Exchange hashpartitioning(term") == 1
+    moved = plan("shares").split("Exchange hashpartitioning(i#")[1].split("Join")[0]
+    assert "tf#" in moved and "ln(" not in moved.lower()
+    first, second = (values(m.shares().select("term", "class_id", F.round("w", 9))) for m in models)
+    assert first == second and models[0].tails.count() > 0 and models[1].tails.isEmpty()
+
+
 def test_a_common_term_is_not_spread_over_all_classes(spark):
     """Classes with terms of their own and one in common: the heads leave one class in question, which is looked up."""
     data = [(i, f"common own{i % 300} own{i % 300}", f"class {i % 300}") for i in range(600)]
