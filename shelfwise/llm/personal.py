@@ -9,11 +9,12 @@ like them in everything else scores high. As the others hold positives too, scor
 divided by the mean score of held-out positives. The threshold is the least at which
 the held-out part reaches ``PRECISION`` by its own calibrated scores.
 
-Candidates are generated over all documents. At most ``FIT_ROWS`` of them fit the trees,
-half of them positives, each half by the smallest hash; scores and the threshold allow
-for how many of each there were. The model is some kB. Spans are found in a second pass
-over the texts, without a shuffle. Only a corpus with under ``LEAST_POSITIVE`` positives or
-no other candidate has no trees; then a warning says so, and only base spans are found.
+All candidates of all documents fit the trees: equal ones are counted, halves are drawn by a
+hash of the document and the place, one to grow the trees, one to calibrate them. Tasks add up the
+histograms of a level over their counts; a few thousand sums a task come back. The model is some
+kB. Spans are found in a second pass over the texts, without a shuffle. Only a corpus with under
+``LEAST_POSITIVE`` positives or no other candidate has no trees; then a warning says so, and
+only base spans are found. ``fit`` is a model of a bounded draw for trials; nothing here uses it.
 """
 
 from __future__ import annotations
@@ -21,22 +22,26 @@ from __future__ import annotations
 import hashlib
 import re
 import warnings
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.llm.boosting import Boosted
+from shelfwise.llm.boosting import UNIT, Boosted
 from shelfwise.llm.common import shared_value
 from shelfwise.session import stored
 
 KINDS = ("email", "ip", "card", "phone", "found")
-FIT_ROWS = 20_000
+FIT_ROWS = 20_000  # of ``fit`` only
 PRECISION = 0.95
 LEAST_SCORE = 0.9
 LEAST_POSITIVE = 50  # with fewer, nothing is added
+COUNTED = 50_000  # distinct candidates that a task counts at a time
+PART_ROWS = 1 << 16  # distinct candidates of a task that adds up histograms
+CELLS = 1 << 15  # of scores, for the threshold
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -131,8 +136,7 @@ class Model:
         drawn = int((y == 0).sum()), int((y == 1).sum())
         seen = seen or drawn
         if drawn[1] < LEAST_POSITIVE or not drawn[0]:
-            warnings.warn(f"no trees, only fixed formats: {seen[1]} positive and {seen[0]} other candidates", stacklevel=2)
-            return cls(None)
+            return cls.without_trees(seen)
         each = seen[0] / drawn[0], seen[1] / drawn[1]
         weight, train = np.where(y == 1, each[1], each[0]), np.zeros(len(y), bool)
         for label in (0, 1):
@@ -147,6 +151,11 @@ class Model:
         good = np.flatnonzero(precision >= PRECISION)  # the best is at the mean of positives or above: it counts as 1
         return cls(trees, scale, max(float(calibrated[order[good[-1]]]), LEAST_SCORE))
 
+    @classmethod
+    def without_trees(cls, seen: tuple[int, int]) -> Model:
+        warnings.warn(f"no trees, only fixed formats: {seen[1]} positive and {seen[0]} other candidates", stacklevel=3)
+        return cls(None)
+
     def spans(self, text: str, base: list[list[tuple[int, int]]]) -> list[tuple[int, int]]:
         """Added spans: candidates clear of base spans, best first where they overlap."""
         if self.trees is None or not text:
@@ -167,7 +176,7 @@ class Model:
 
 
 def fit(docs: DataFrame, id_col="doc_id", text_col="text") -> Model:
-    """The model of all candidates in ``docs``. A task keeps at most ``FIT_ROWS`` of each label at a time."""
+    """A trial model of at most ``FIT_ROWS`` candidates, half of them positives; ``fit_all`` leaves none out."""
     names, half = len(features("", 0, 0, 0)), FIT_ROWS // 2
 
     def task(batches):
@@ -202,9 +211,98 @@ def fit(docs: DataFrame, id_col="doc_id", text_col="text") -> Model:
     return Model.fit(x, np.repeat([0.0, 1.0], list(map(len, drawn))), (seen.get(0, 0), seen.get(1, 0)))
 
 
+def counted_candidates(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
+    """``(x, y, train, n)``: how often each distinct candidate is in ``docs``, by its half."""
+
+    def batch(seen: Counter) -> pa.RecordBatch:
+        columns = list(zip(*[(x, y, train, n) for (x, y, train), n in seen.items()])) or [[]] * 4
+        types = pa.list_(pa.float64()), pa.int32(), pa.bool_(), pa.int64()
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["x", "y", "train", "n"])
+
+    def task(batches):
+        seen: Counter = Counter()
+        for b in batches:
+            for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                own = candidates(text)
+                base = {s for kind in base_spans(text) for s in kind} if own else set()
+                for a, e, g in own:
+                    drawn = hashlib.blake2b(f"{key}:{a}:{e}:{g}".encode(), digest_size=1).digest()[0]
+                    seen[tuple(map(float, features(text, a, e, g))), int((a, e) in base), drawn % 2 == 0] += 1
+                if len(seen) >= COUNTED:
+                    yield batch(seen)
+                    seen.clear()
+        yield batch(seen)
+
+    d = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("t"))
+    found = d.mapInArrow(task, "x array<double>, y int, train boolean, n long")
+    return found.groupBy("x", "y", "train").agg(F.sum("n").alias("n"))
+
+
+def _added(rows: DataFrame, trees: Boosted, add: Callable) -> np.ndarray:
+    """The sum of ``add(trees, x, y, n)``, arrays of whole numbers of one shape, over all rows."""
+    names, shared = len(features("", 0, 0, 0)), shared_value(rows.sparkSession, trees)
+
+    def task(batches):
+        total, own = None, shared()
+        for b in batches:
+            if b.num_rows:
+                x = b.column(0).flatten().to_numpy().reshape(-1, names)
+                found = add(own, x, b.column(1).to_numpy(), b.column(2).to_numpy())
+                total = found if total is None else total + found
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary()), pa.array([list(total.shape)], pa.list_(pa.int32()))], ["s", "shape"])
+
+    parts = rows.select("x", "y", "n").mapInArrow(task, "s binary, shape array<int>").collect()
+    return sum(np.frombuffer(r.s, np.int64).reshape(r["shape"]) for r in parts)
+
+
+def fit_all(docs: DataFrame, id_col="doc_id", text_col="text") -> Model:
+    """The model of all candidates in ``docs``."""
+    found = stored(counted_candidates(docs, id_col, text_col), "candidates")
+    n, distinct = {}, 0
+    for r in found.groupBy("y", "train").agg(F.sum("n").alias("n"), F.count("*").alias("rows")).collect():
+        n[r.y, r.train] = r.n
+        distinct += r.rows
+    negatives, positives = (n.get((y, True), 0) + n.get((y, False), 0) for y in (0, 1))
+    if positives < LEAST_POSITIVE or not negatives:
+        return Model.without_trees((negatives, positives))
+    found = found.coalesce(-(-distinct // PART_ROWS))
+    train, held = found.filter("train"), found.filter("NOT train")
+    if not (n.get((0, True)) and n.get((1, True)) and n.get((1, False))):  # rows of one id and place: no halves
+        train = held = found
+        n = {(0, True): negatives, (1, True): positives, (1, False): positives}
+
+    trees, names = Boosted(), len(features("", 0, 0, 0))
+    at = F.array(*map(F.lit, trees.quantiles()))
+    cuts = train.agg(*[F.percentile(F.col("x")[j], at, F.col("n")).alias(f"f{j}") for j in range(names)]).first()
+    edges = [np.unique(c) for c in cuts]
+
+    def histograms(splits, level):
+        return _added(train, trees, lambda own, x, y, n: own.histograms(x, y, n, splits, level))
+
+    trees.grow(edges, n[0, True] + n[1, True], n[1, True], histograms)
+
+    def scores(own, x, y, n):
+        return np.array([(np.rint(own.predict(x) * UNIT).astype(np.int64) * n)[y == 1].sum()])
+
+    scale = float(_added(held, trees, scores)[0] / UNIT / n[1, False])
+
+    def cells(own, x, y, n):
+        p = np.minimum(own.predict(x) / scale, 1)
+        at, out = ((1 - p) * (CELLS - 1)).astype(np.int64), np.zeros((2, CELLS), np.int64)
+        np.add.at(out[0], at, n)
+        np.add.at(out[1], at, np.rint(p * UNIT).astype(np.int64) * n)
+        return out
+
+    counts, sums = _added(held, trees, cells)
+    # the best is at the mean of positives or above: it counts as 1
+    good = np.flatnonzero((counts > 0) & (np.cumsum(sums) / UNIT >= PRECISION * np.cumsum(counts)))
+    return Model(trees, scale, max(1 - (int(good[-1]) + 1) / (CELLS - 1), LEAST_SCORE))
+
+
 def report(docs: DataFrame, id_col="doc_id", text_col="text", model: Model | None = None) -> DataFrame:
     """``(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans)`` of every row; null text is empty."""
-    shared = shared_value(docs.sparkSession, model or fit(docs, id_col, text_col))
+    shared = shared_value(docs.sparkSession, model or fit_all(docs, id_col, text_col))
     schema = pa.schema([
         ("doc_id", pa.int64()), *[(f"n_{k}", pa.int64()) for k in KINDS[:4]], ("base_sha256", pa.string()), ("spans", pa.string()),
     ])
@@ -231,7 +329,7 @@ def report(docs: DataFrame, id_col="doc_id", text_col="text", model: Model | Non
 
 def redacted(docs: DataFrame, id_col="doc_id", text_col="text", mark: str = "[PII]") -> DataFrame:
     """``docs``, same columns, every span of a text replaced, spans that overlap as one. Null stays null."""
-    shared = shared_value(docs.sparkSession, fit(docs, id_col, text_col))
+    shared = shared_value(docs.sparkSession, fit_all(docs, id_col, text_col))
 
     def task(batches):
         m = shared()

@@ -224,6 +224,35 @@ def test_boosted_candidates(spark):
     assert not any(f":{t.index('$') + 2}:" in r["spans"] for t, r in zip(texts[:400], found))
 
 
+def test_all_candidates_fit(spark, monkeypatch):
+    """Every candidate counts, however small the bounded draw is, and parts add up to the same trees."""
+    import numpy as np
+
+    texts = [f"call me: +49 30 55{i:05d} soon, paid $ 12{i:06d} for item {i}" for i in range(400)]
+    texts += [f"call me: 49 30 77{i:05d} soon" for i in range(40)] + [None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(personal, "FIT_ROWS", 4)
+    found = same_personal(docs)
+    assert sum("found:9:" in r["spans"] for r in found[400:]) >= 30
+    assert not any(f":{t.index('$') + 2}:" in r["spans"] for t, r in zip(texts[:400], found))
+
+    counts = rows(personal.counted_candidates(docs))
+    seen = [sum(r["n"] for r in counts if r["y"] == y) for y in (0, 1)]
+    own = [c for t in texts for c in personal.candidates(t or "")]
+    assert seen[1] == 400 and sum(seen) == len(own)
+    monkeypatch.setattr(personal, "PART_ROWS", 7)
+    model = personal.fit_all(docs.repartition(5))
+    each = [r for r in counts if r["train"] for _ in range(r["n"])]
+    plain = Boosted().fit(np.array([r["x"] for r in each]), np.array([float(r["y"]) for r in each]))
+    assert model.trees.trees == plain.trees and model.trees.start == plain.start
+
+
+def test_candidates_of_one_id(spark):
+    """Rows that repeat an id, a place and a text have no halves: all of them train and calibrate."""
+    docs = spark.createDataFrame([(None, "call +49 30 5512345 or 12345678")] * 60, "doc_id long, text string")
+    assert personal.fit_all(docs).trees is not None
+
+
 def test_rare_candidates(spark):
     """Trees are fitted when the whole corpus holds enough positives, however many documents have none."""
     texts = [f"plain text {i}" for i in range(40_000)]
