@@ -50,6 +50,7 @@ DEPTH = 12  # below that, what is still mixed is compared in full, chunk by chun
 SKETCH_AT_LEAST = 0.55
 LINKS = 1 << 20  # links between components that one task follows
 CHUNK_ROWS = 512
+TASK_PAIRS = 1 << 18  # pairs of clusters' members that one task confirms, or more where tasks are few
 
 _RNG = np.random.default_rng(20240131)
 _A = _RNG.integers(0, 2**63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -120,16 +121,41 @@ class _Union:
         return x != y
 
 
-def _close_pairs(sketches: list[bytes]) -> Iterator[tuple[int, int]]:
-    """Pairs of positions with close sketches, closest first."""
-    x = np.frombuffer(b"".join(sketches), np.uint8).reshape(-1, COORDINATES)
-    i, j = np.triu_indices(len(x), 1)
-    close = np.concatenate([_agreement(x[k], x[k + 1 :]) for k in range(len(x) - 1)] or [np.empty(0)])
+def _sketches(raw: Iterable[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(raw), np.uint8).reshape(-1, COORDINATES)
+
+
+def _close_pairs(x: np.ndarray, comps: np.ndarray, n: np.ndarray, percent: int) -> Iterator[tuple[int, int]]:
+    """Pairs of positions with close sketches, closest first; none of one component or of sizes too far apart."""
+    found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+    for k in range(len(x) - 1):
+        low, high = np.minimum(n[k], n[k + 1 :]), np.maximum(n[k], n[k + 1 :])
+        j = k + 1 + np.flatnonzero((comps[k + 1 :] != comps[k]) & (low * 100 >= percent * high))
+        if len(j):
+            close = _agreement(x[k], x[j])
+            near = close >= SKETCH_AT_LEAST
+            found.append((np.full(near.sum(), k), j[near], close[near]))
+    i, j, close = (np.concatenate(c) for c in zip(*found))
     order = np.argsort(-close, kind="stable")
-    order = order[close[order] >= SKETCH_AT_LEAST]
     yield from zip(i[order].tolist(), j[order].tolist())
 
 
+def _connected(x: np.ndarray) -> Iterator[np.ndarray]:
+    """Positions that close sketches connect, group by group."""
+    left = np.arange(len(x))
+    while len(left):
+        group, at = [left[:1]], 0
+        left = left[1:]
+        while at < len(group) and len(left):
+            for k in group[at]:
+                near = _agreement(x[k], x[left]) >= SKETCH_AT_LEAST
+                if near.any():
+                    group.append(left[near])
+                    left = left[~near]
+            at += 1
+        yield np.concatenate(group)
+
+
 def _clusters(rows: DataFrame) -> DataFrame:
     """``(cluster, rep)`` of lists ``(list, rep, component, sketch)``: connected by close sketches.
 
@@ -140,13 +166,7 @@ def _clusters(rows: DataFrame) -> DataFrame:
         out: list[tuple] = []
         for own in _groups(batches):
             _, reps, comps, sketches = zip(*own)
-            near = _Union(range(len(reps)))
-            for i, j in _close_pairs(list(sketches)):
-                near.join(i, j)
-            members: dict[int, list[int]] = {}
-            for i in range(len(reps)):
-                members.setdefault(near.find(i), []).append(i)
-            for at in members.values():
+            for at in _connected(_sketches(sketches)):
                 if len({comps[i] for i in at}) > 1:
                     ids = sorted({reps[i] for i in at})
                     digest = hashlib.blake2b(np.array(ids, "<i8").tobytes(), digest_size=8).digest()
@@ -166,7 +186,7 @@ def _batch(rows: list[tuple], names: tuple[str, ...]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], list(names))
 
 
-def _confirmed(rows: DataFrame, percent: int) -> DataFrame:
+def _confirmed(rows: DataFrame, percent: int, tasks: int) -> DataFrame:
     """Components ``(a, b)`` that links join, of clusters ``(cluster, rep, component, sketch, n, items)``.
 
     ``b`` is the smallest component that the links of a cluster lead ``a`` to.
@@ -182,8 +202,8 @@ def _confirmed(rows: DataFrame, percent: int) -> DataFrame:
         for own in _groups(batches):
             _, reps, comps, sketches, n, items = zip(*own)
             joined, sets = _Union(comps), {}
-            for i, j in _close_pairs(list(sketches)):
-                if joined.find(comps[i]) == joined.find(comps[j]) or min(n[i], n[j]) * 100 < percent * max(n[i], n[j]):
+            for i, j in _close_pairs(_sketches(sketches), np.array(comps), np.array(n), percent):
+                if joined.find(comps[i]) == joined.find(comps[j]):
                     continue
                 for k in (i, j):
                     if k not in sets:
@@ -203,7 +223,9 @@ def _confirmed(rows: DataFrame, percent: int) -> DataFrame:
                 out = []
         yield _batch(out, ("a", "b"))
 
-    ordered = rows.select("cluster", "rep", "component", "sketch", "n", "items").repartition("cluster")
+    # sets of copies are few bytes and much work: what is dealt out by bytes may all be one task
+    by = ("cluster",) if tasks == 1 else (tasks, "cluster")
+    ordered = rows.select("cluster", "rep", "component", "sketch", "n", "items").repartition(*by)
     return ordered.sortWithinPartitions("cluster").mapInArrow(task, "a long, b long")
 
 
@@ -263,8 +285,9 @@ def components(docs: DataFrame, id_col="doc_id", text_col="text", percent=PERCEN
         linkable.join(reps, ["f1", "f2"]).filter("doc_id = rep").select("rep", "sig", "sketch"), "near-reps"
     )
     sketches = classes.select("rep", "sketch")
-    found = spark.createDataFrame([], "rep long, component long")
-    sets = spark.createDataFrame([], "rep long, n long, items binary")
+    # false by a filter, these fall out of the plans they are part of
+    found = spark.range(0).select(F.col("id").alias("rep"), F.col("id").alias("component")).filter("false")
+    sets = spark.range(0).select(F.col("id").alias("rep"), F.col("id").alias("n"), F.lit(b"").alias("items")).filter("false")
 
     def with_component(rows):
         return rows.join(found, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
@@ -308,12 +331,14 @@ def components(docs: DataFrame, id_col="doc_id", text_col="text", percent=PERCEN
         if listed.isEmpty():
             return
         clusters = stored(_clusters(several(listed, "list").join(sketches, "rep")), "near-clusters")
-        if clusters.isEmpty():
+        pairs = clusters.groupBy("cluster").agg(F.count("*").alias("n")).agg(F.sum(F.col("n") * F.col("n"))).first()[0]
+        if not pairs:
             return
         missing = stored(clusters.select("rep").distinct().join(sets.select("rep"), "rep", "left_anti"), "near-missing")
         if not missing.isEmpty():
             sets = sets.unionByName(stored(_sets(docs, missing, id_col, text_col), "near-sets"))
-        confirm(clusters)
+        most = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        confirm(clusters, min(-(-pairs // TASK_PAIRS), most))
 
     def few(mixed):
         """``(key, top, size, most)`` of nodes whose largest component ``top`` holds all but half a list."""
@@ -347,11 +372,11 @@ def components(docs: DataFrame, id_col="doc_id", text_col="text", percent=PERCEN
         )
         return lists.select(F.xxhash64("group", "chunk", "part").alias("list"), "rep")
 
-    def confirm(clusters):
+    def confirm(clusters, tasks):
         """Join the components of clusters whose links are confirmed."""
         nonlocal found
         rows = several(with_component(clusters), "cluster")
-        new = stored(_confirmed(rows.join(sketches, "rep").join(sets, "rep"), percent), "near-links")
+        new = stored(_confirmed(rows.join(sketches, "rep").join(sets, "rep"), percent, tasks), "near-links")
         if not new.isEmpty():
             # components, not documents, are what is linked from here on
             into = stored(_followed(new).select("id", F.col("component").alias("into")), "near-into")

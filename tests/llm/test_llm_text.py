@@ -288,6 +288,27 @@ def test_boosting():
     assert ((Boosted().fit(x[:1000], y[:1000]).predict(x[1000:]) > 0.5) == y[1000:]).mean() > 0.95
 
 
+def test_clusters_of_copies_are_dealt(spark, monkeypatch):
+    """Pairs of one component or of sizes too far apart are never looked at; heavy clusters go to several tasks."""
+    import numpy as np
+
+    from shelfwise.llm import neardup
+
+    x = np.zeros((5, neardup.COORDINATES), np.uint8)
+    x[4] = 9
+    comps, n = np.array([1, 1, 2, 3, 4]), np.array([100, 100, 100, 70, 100])
+    assert list(neardup._close_pairs(x, comps, n, 75)) == [(0, 2), (1, 2)]
+    assert sorted(sorted(g.tolist()) for g in neardup._connected(x)) == [[0, 1, 2, 3], [4]]
+
+    used, confirmed = [], neardup._confirmed
+    monkeypatch.setattr(neardup, "TASK_PAIRS", 100)
+    monkeypatch.setattr(neardup, "_confirmed", lambda rows, percent, tasks: used.append(tasks) or confirmed(rows, percent, tasks))
+    texts = [" ".join(f"w{g}x{j}" if j != i else "other" for j in range(120)) for g in range(6) for i in range(10)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: r["component_id"] for r in rows(neardup.components(docs))}
+    assert found == {i: i // 10 * 10 for i in range(60)} and max(used) > 1
+
+
 # --- quality -----------------------------------------------------------------------
 
 
