@@ -1,11 +1,10 @@
 """Pairs of similar texts: an exact cosine join over sparse term vectors.
 
-Terms are ordered from the rarest to the most frequent one. A text's prefix is its first
-terms up to where the length of the rest falls below the threshold. The first term that
-two texts share is in both prefixes if they are similar enough: otherwise all they share
-lies in the rest of one of them, whose length bounds the cosine. So only prefixes are
-joined, by rare terms; what they share and the length of the rest bound a pair once more,
-and the pairs left are multiplied out.
+Only terms that some query has can add to a cosine; the others count in a text's length
+alone. Vectors of the known terms are packed in blocks of a bounded number of cells, and
+every block of items meets every block of queries: their products are summed up by an
+inverted index of the queries of the block, where the item lies. No pair of texts is a row
+before its cosine is known, and no text moves for a pair.
 """
 
 from __future__ import annotations
@@ -22,66 +21,99 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from shelfwise.operators.weights import TermOptions, count_of, counted, exploded, idf, term_frequency, term_stats, vocabulary
 from shelfwise.session import stored
 
-SLACK = 1e-9  # more than rounding can move a cosine
+CELLS = 1 << 16  # of a block; a longer text is one of its own
+PRODUCTS = 1 << 20  # products of cells held at a time
 
 
-def ordered_vectors(rows: DataFrame, row_id: str, weights: DataFrame, options: TermOptions, at_least: float) -> DataFrame:
-    """``(row_id, terms, ws, n_prefix, rest)`` of counted rows: unit vectors, rarest term first.
+def known_vectors(rows: DataFrame, row_id: str, weights: DataFrame, options: TermOptions) -> DataFrame:
+    """``(row_id, square, cells)`` of counted rows: the squared length of all terms, and ``(place, w)`` of those with a place.
 
-    The first ``n_prefix`` terms are the prefix, ``rest`` is the length of the others.
+    A row without such terms is left out, as is one without an id.
     """
-    w = (term_frequency(options) * F.col("weight")).alias("w")
-    cells = exploded(rows, row_id).join(weights, "term").select(row_id, F.struct("df", "term", w).alias("c"))
-    grouped = cells.groupBy(row_id).agg(F.array_sort(F.collect_list("c")).alias("cells"))
-    schema = T.StructType(
-        [
-            *grouped.schema.fields[:1], T.StructField("terms", T.ArrayType(T.StringType())), T.StructField("ws", T.ArrayType(T.DoubleType())),
-            T.StructField("n_prefix", T.IntegerType()), T.StructField("rest", T.DoubleType()),
-        ]
-    )
+    w = term_frequency(options) * F.col("weight")
+    cells = exploded(rows.where(F.col(row_id).isNotNull()), row_id).join(weights, "term").select(row_id, "place", w.alias("w"))
+    known = F.collect_list(F.when(F.col("place").isNotNull(), F.struct("place", "w")))
+    return cells.groupBy(row_id).agg(F.sum(F.col("w") * F.col("w")).alias("square"), known.alias("cells")).where(F.size("cells") > 0)
+
+
+def packed(vectors: DataFrame, side: str, largest: bool) -> DataFrame:
+    """``(<side>_ids, <side>_rows, <side>_places, <side>_ws)``: blocks of unit vectors, cells by row and place.
+
+    Texts that share an id are one vector. With ``largest`` a term that it has more than
+    once counts by its largest weight, otherwise by all of them.
+    """
+    kinds = (T.ArrayType(vectors.schema.fields[0].dataType), *[T.BinaryType()] * 3)
+    schema = T.StructType([T.StructField(f"{side}_{n}", t) for n, t in zip(("ids", "rows", "places", "ws"), kinds)])
     arrow = to_arrow_schema(schema)
 
+    def block(b: pa.RecordBatch) -> pa.RecordBatch:
+        lists = b.column(2)
+        flat, sizes = lists.flatten(), lists.value_lengths().to_numpy()
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        place = flat.field("place").to_numpy()
+        w = flat.field("w").to_numpy() / np.sqrt(b.column(1).to_numpy())[row]
+        order = np.lexsort((w, place, row))
+        row, place, w = row[order], place[order], w[order]
+        if largest:
+            last = np.append((np.diff(row) != 0) | (np.diff(place) != 0), True)
+            row, place, w = row[last], place[last], w[last]
+        cells = [b.column(0).to_pylist(), row.astype("<i8").tobytes(), place.astype("<i8").tobytes(), w.astype("<f8").tobytes()]
+        return pa.RecordBatch.from_arrays([pa.array([c], f.type) for c, f in zip(cells, arrow)], schema=arrow)
+
     def task(batches: Iterable[pa.RecordBatch]):
         for b in batches:
-            ws, sizes, rests = [], [], []
-            cells = b.column(1)
-            for i in range(b.num_rows):
-                w = cells[i].values.field("w").to_numpy()
-                w = w / np.sqrt((w * w).sum())
-                # the length of what follows each term, and before the first one
-                after = np.sqrt(np.maximum(np.concatenate([np.cumsum((w * w)[::-1])[::-1], [0.0]]), 0))
-                n = int(np.flatnonzero(after < at_least - SLACK)[0]) if (after < at_least - SLACK).any() else len(w)
-                ws.append(w)
-                sizes.append(n)
-                rests.append(float(after[n]))
-            terms = pa.array([cells[i].values.field("term") for i in range(b.num_rows)], pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), terms, pa.array(ws, pa.list_(pa.float64())), pa.array(sizes, pa.int32()), pa.array(rests, pa.float64())], schema=arrow
-            )
-
-    return grouped.mapInArrow(task, schema)
-
-
-def _prefixes(vectors: DataFrame, row_id: str, side: str) -> DataFrame:
-    first = F.arrays_zip(F.slice("terms", F.lit(1), F.col("n_prefix")).alias("term"), F.slice("ws", F.lit(1), F.col("n_prefix")).alias("w"))
-    return vectors.select(F.col(row_id).alias(side), F.col("rest").alias(f"{side}_rest"), F.inline(first)).withColumnRenamed("w", f"{side}_w")
-
-
-def _multiplied(pairs: DataFrame, at_least: float) -> DataFrame:
-    """``(item, query, score)`` of ``(item, query, item_terms, item_ws, query_terms, query_ws)``."""
-    schema = T.StructType([*pairs.select("item", "query").schema.fields, T.StructField("score", T.DoubleType())])
+            ends = np.cumsum(b.column(2).value_lengths().to_numpy())
+            i = 0
+            while i < b.num_rows:
+                j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + CELLS, "right")))
+                yield block(b.slice(i, j - i))
+                i = j
+
+    return vectors.mapInArrow(task, schema)
+
+
+def products(item: tuple[np.ndarray, ...], query: tuple[np.ndarray, ...], n_items: int, n_queries: int) -> Iterable[tuple[int, np.ndarray]]:
+    """Scores of a block of items with a block of queries, a range of items at a time: its first item and a dense matrix.
+
+    Both are ``(rows, places, ws)``, those of the items in the order of rows.
+    """
+    order = np.argsort(query[1], kind="stable")
+    q_row, q_w = query[0][order], query[2][order]
+    places, begins, counts = np.unique(query[1][order], return_index=True, return_counts=True)
+    row, place, w = item
+    at = np.minimum(np.searchsorted(places, place), len(places) - 1)
+    met = places[at] == place
+    row, at, w = row[met], at[met], w[met]
+    step = max(1, PRODUCTS // max(len(q_row), 1))
+    for first in range(0, n_items, step):
+        own = slice(*np.searchsorted(row, (first, first + step)))
+        n = counts[at[own]]
+        if not len(n):
+            continue
+        cell = np.repeat(begins[at[own]] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        pair = np.repeat((row[own] - first) * n_queries, n) + q_row[cell]
+        size = min(step, n_items - first)
+        yield first, np.bincount(pair, np.repeat(w[own], n) * q_w[cell], size * n_queries).reshape(size, n_queries)
+
+
+def _multiplied(met: DataFrame, schema: T.StructType, at_least: float) -> DataFrame:
+    """``(item, query, score)`` of blocks that meet, from ``at_least`` on."""
     arrow = to_arrow_schema(schema)
 
     def task(batches: Iterable[pa.RecordBatch]):
         for b in batches:
-            scores = []
             for i in range(b.num_rows):
-                own = dict(zip(b.column(2)[i].as_py(), b.column(3)[i].as_py()))
-                other = zip(b.column(4)[i].as_py(), b.column(5)[i].as_py())
-                scores.append(sum(own[t] * w for t, w in other if t in own))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(scores, pa.float64())], schema=arrow)
+                sides = []
+                for c in (0, 4):
+                    cells = [np.frombuffer(b.column(c + j)[i].as_buffer(), t) for j, t in ((1, "<i8"), (2, "<i8"), (3, "<f8"))]
+                    sides.append((b.column(c)[i].values, cells))
+                (items, x), (queries, y) = sides
+                for first, scores in products(x, y, len(items), len(queries)):
+                    item, query = np.nonzero(scores >= at_least)
+                    found = [items.take(pa.array(item + first)), queries.take(pa.array(query)), pa.array(scores[item, query])]
+                    yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(found, arrow)], schema=arrow)
 
-    return pairs.mapInArrow(task, schema).where(F.col("score") >= at_least)
+    return met.mapInArrow(task, schema)
 
 
 def similar_texts(
@@ -101,21 +133,18 @@ def similar_texts(
     if at_least <= 0:
         raise ValueError("at_least must be above 0: unrelated texts would be pairs")
     own = stored(counted(items, item_id, text, options), "counted")
+    asked = stored(counted(queries, query_id, text, options), "counted-queries")
     stats = vocabulary(term_stats(exploded(own, item_id)), count_of(items), options)
-    weights = stored(stats.select("term", "df", idf(count_of(items)).alias("weight")), "weights")
-    left = stored(ordered_vectors(own, item_id, weights, options, at_least), "item-vectors")
-    right = stored(ordered_vectors(counted(queries, query_id, text, options), query_id, weights, options, at_least), "query-vectors")
-    met = _prefixes(left, item_id, "item").join(_prefixes(right, query_id, "query"), "term")
-    candidates = (
-        met.groupBy("item", "query")
-        .agg(
-            F.sum(F.col("item_w") * F.col("query_w")).alias("shared"),
-            F.max(F.greatest("item_rest", "query_rest")).alias("rest"),
-        )
-        .where(F.col("shared") + F.col("rest") >= at_least - SLACK)
-        .select("item", "query")
+    terms = exploded(asked, query_id).select("term").distinct().withColumn("known", F.lit(True))
+    place = F.when(F.col("known"), F.monotonically_increasing_id())  # fixed once it is written
+    weights = stats.join(terms, "term", "left").select("term", idf(count_of(items)).alias("weight"), place.alias("place"))
+    weights = stored(weights, "weights")
+    left = packed(known_vectors(own, item_id, weights, options), "item", True)
+    right = packed(known_vectors(asked, query_id, weights.where("place IS NOT NULL"), options), "query", False)
+    schema = T.StructType(
+        [
+            T.StructField("item", items.schema[item_id].dataType), T.StructField("query", queries.schema[query_id].dataType),
+            T.StructField("score", T.DoubleType()),
+        ]
     )
-    pairs = candidates.join(
-        left.select(F.col(item_id).alias("item"), F.col("terms").alias("item_terms"), F.col("ws").alias("item_ws")), "item"
-    ).join(right.select(F.col(query_id).alias("query"), F.col("terms").alias("query_terms"), F.col("ws").alias("query_ws")), "query")
-    return _multiplied(pairs.select("item", "query", "item_terms", "item_ws", "query_terms", "query_ws"), at_least)
+    return _multiplied(stored(left, "item-blocks").crossJoin(stored(right, "query-blocks")), schema, at_least)

@@ -423,6 +423,29 @@ def test_similar_texts(spark):
         assert found
 
 
+def test_similar_texts_move_no_pairs(spark, monkeypatch):
+    """Blocks meet, not pairs: as many rows whatever the number of pairs; small blocks and repeated ids change nothing."""
+    words = [" ".join(f"w{(i * 7 + j * j) % 23}" for j in range(1, 6 + i % 3)) for i in range(60)]
+    left = spark.createDataFrame([*enumerate(words), (3, words[3]), (None, words[0])], "i long, t string")
+    right = spark.createDataFrame([*enumerate(words[:20]), (None, words[0])], "q long, t string")
+    moved = []
+    whole = similarity._multiplied
+    monkeypatch.setattr(similarity, "_multiplied", lambda met, *a: moved.append(met.count()) or whole(met, *a))
+
+    def found():
+        rows = similarity.similar_texts(left.repartition(1), right.repartition(1), "i", "q", "t", 0.1).collect()
+        assert len(rows) == len({(r.item, r.query) for r in rows})
+        return {(r.item, r.query): r.score for r in rows}
+
+    first = found()
+    assert len(first) > 500 and all(r[0] is not None and r[1] is not None for r in first)
+    assert first[5, 5] == pytest.approx(1) and first[3, 3] == pytest.approx(2**-0.5)
+    assert sum(moved) <= 16  # blocks, at most one per shuffle partition and side
+    monkeypatch.setattr(similarity, "CELLS", 9)
+    monkeypatch.setattr(similarity, "PRODUCTS", 40)
+    assert found() == pytest.approx(first) and moved[1] > 16
+
+
 # --- metrics, votes, split ---------------------------------------------------------------------
 
 
