@@ -175,6 +175,56 @@ def test_forest_limits(spark):
     assert all(counts[n] == trees.n_rows[n] for n in np.flatnonzero(trees.feature < 0).tolist())
 
 
+def test_forest_counts_a_node_twice_at_most(spark, monkeypatch):
+    """Tries after the first one follow from one count of all features, and are what try after try gives."""
+    x = random_rows(300)
+    labels = ["abc"[int(r[0] > 0) + int(r[1] > 0.3)] for r in x]
+    counted, splits = [], forest._splits
+    monkeypatch.setattr(forest, "_splits", lambda *a: counted.append(splits(*a)) or counted[-1])
+    trees, cuts, _ = grown(spark, x, labels, share=0.01)
+    times = np.bincount([r.node for found in counted for r in found])
+    assert times.max() == 2
+    # after a failed try a node takes the first feature of its draw that can split it, at the try that shows it
+    later = np.flatnonzero((trees.tries > 1) & (trees.feature >= 0))
+    assert len(later) > 6
+    entries = [(np.flatnonzero(r).tolist(), r[np.flatnonzero(r)].tolist()) for r in x]
+    _, dense = forest.binned(Rows.of(*[pa.array(c) for c in zip(*entries)]), cuts)
+    keys = np.array([r[0] for r in spark.range(300).select(F.xxhash64(F.col("id").cast("string"))).collect()])
+    up = {int(c) + side: n for n, c in enumerate(trees.child) if trees.feature[n] >= 0 for side in (0, 1)}
+    for n in later.tolist():
+        draw = forest.mixed(42, n, np.arange(x.shape[1]))
+        assert 0.01 * 2.0 ** (trees.tries[n] - 1) <= draw[trees.feature[n]] < 0.01 * 2.0 ** trees.tries[n]
+        path = [n]
+        while path[-1] in up:
+            path.append(up[path[-1]])
+        mine = np.searchsorted(forest.DRAWS, forest.mixed(42, path[-1], keys), "right") > 0
+        for child, node in zip(path, path[1:]):
+            mine &= (dense[:, trees.feature[node]] > trees.cut[node]) == (child == trees.child[node] + 1)
+        assert mine.sum() == trees.n_rows[n]
+        low = [[min((dense[mine, j] <= c).sum(), (dense[mine, j] > c).sum()) for c in range(forest.BINS - 1)] for j in range(x.shape[1])]
+        able = np.flatnonzero(np.max(low, axis=1) >= 2)
+        assert trees.feature[n] == able[np.argmin(draw[able])]
+
+
+def test_forest_blocks_are_counted_together(monkeypatch):
+    """Joined blocks give the same counts, and a task adds its own up."""
+    x = random_rows(90)
+    rows = Rows.of(*[pa.array(c) for c in zip(*[(np.flatnonzero(r).tolist(), r[np.flatnonzero(r)].tolist()) for r in x])])
+    codes, keys = (x[:, :1] > 0).astype(np.int32), np.arange(90)
+    cuts = np.tile(np.linspace(0.1, 0.9, forest.BINS - 2), (x.shape[1], 1))
+    trees, growth = forest.Trees(np.zeros(5, np.int32)), forest.Growth(5, 9, 5, 2, 0.5, 1)
+    found = []
+    for together in (1, 1 << 24):
+        monkeypatch.setattr(forest, "TOGETHER", together)
+        parts = [(rows.part(i, i + 10), codes[i : i + 10], keys[i : i + 10]) for i in range(0, 90, 10)]
+        whole = list(forest.gathered(parts, x.shape[1]))
+        assert len(whole) == (9 if together == 1 else 1)
+        cells = list(forest._summed(c for p in whole for c in forest._counted(*p, trees, trees.open, cuts, growth, 2)))
+        assert len(cells) == 1
+        found.append([c.tolist() for c in cells[0]])
+    assert found[0] == found[1]
+
+
 def test_best_split_is_the_best():
     rng = np.random.default_rng(5)
     x = random_rows(60, 4, 7)
