@@ -3,7 +3,10 @@
 import hashlib
 import math
 import random
+import re
 from collections import Counter, defaultdict
+from dataclasses import replace
+from pathlib import Path
 
 import ahocorasick
 import numpy as np
@@ -15,10 +18,11 @@ from pyspark.sql import functions as F
 from conftest import values
 from shelfwise.functions import vectors
 from shelfwise.functions.codes import path_key, type_name
-from shelfwise.operators import baseline, centroid, enrich, lookup, metrics, nearest, rows, similarity, validate, votes
+from shelfwise.operators import baseline, centroid, enrich, lookup, metrics, nearest, rows, similarity, termblocks, validate, votes
 from shelfwise.operators import taxonomy as tree
 from shelfwise.operators import weights
 from shelfwise.operators.weights import TermOptions, tfidf
+from shelfwise.session import shared_dir
 from shelfwise.sources import tables
 from shelfwise.sources.state import processed_ids
 
@@ -312,6 +316,49 @@ def test_limits(spark):
     assert kept == {"bag", "bean"}  # of bag 3, tea 2, bean 2, coffee 2: the most frequent, then by text
 
 
+# ids that repeat, none, and texts without terms
+ODD_DOCS = [*DOCS, (1, "red tea bag", "tea"), (None, "green tea", "tea"), (None, "tea tea bag", None), (7, None, "tea"), (8, "", None)]
+
+
+def test_texts_are_weighted_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(termblocks, "FEW_TERMS", 3)
+    df = spark.createDataFrame(ODD_DOCS, "i long, t string, c string").repartition(3)
+    for options in (TermOptions((1, 2)), TermOptions((1, 2), 2, 0.3, None, True)):
+        whole = replace(options, max_features=1_000)  # terms meet the postings
+        got, want = (sorted((r.i or 0, r.term, round(r.w, 9)) for r in tfidf(df, "i", "t", o).collect()) for o in (options, whole))
+        assert got == want and len(got) > 5
+        models = [centroid.fit_tfidf(df, "i", "t", "c", o, head=2) for o in (options, whole)]
+        got, want = (sorted((r.term, r.class_id, round(r.w, 9)) for r in m.shares().collect()) for m in models)
+        assert got == want and len(got) > 5
+        got, want = (sorted(map(str, centroid.predict(m, df, "i", "t").withColumn("score_1", F.round("score_1", 9)).select("i", "label", "score_1").collect())) for m in models)
+        assert got == want
+    alone = spark.createDataFrame(DOCS, "i long, t string, c string")
+    plan = tfidf(alone, "i", "t", TermOptions((1, 2)))._jdf.queryExecution().toString()
+    assert not re.search("Window|Join|Generate", plan)  # no term of a text is a row before it is weighted
+
+
+def test_fitting_leaves_only_the_model(spark):
+    at = Path(shared_dir(spark).removeprefix("file://")) / "shelfwise"
+    before = {p.name for p in at.glob("*")}
+    for fit in (centroid.fit_tfidf, centroid.fit_icf_tdcb):
+        fit(docs(spark), "i", "t", "c")
+    left = {p.name.rsplit("-", 1)[0] for p in at.glob("*") if p.name not in before}
+    assert left == {"classes", "repeated-ids", "model-classes", "centroids"}
+
+
+def test_pieces_of_terms_come_back_in_order():
+    terms = pa.array(["", "a", "tea", "é茶", "x" * 300, *map(str, range(500))])
+    order = np.argsort(termblocks.hashes(terms))
+    terms = terms.take(pa.array(order))
+    assert (termblocks.hashes(terms.slice(7, 90)) == termblocks.hashes(terms)[7:97]).all()
+    counts = np.arange(len(terms))
+    for parts in (1, 2, 7, 300):
+        cells = termblocks.pieces_of(5, terms, parts, None, counts)
+        back = [termblocks.restored(x.as_py()) for x in cells.column(2)]
+        assert [t for text, _ in back for t in termblocks.strings_of(*text).to_pylist()] == terms.to_pylist()
+        assert np.concatenate([d for _, d in back]).tolist() == counts.tolist()
+
+
 def test_centroids(spark):
     unit = brute_tfidf()
     classes = defaultdict(list)
